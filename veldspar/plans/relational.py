@@ -51,7 +51,7 @@ def outer_plus_right(spark, d):
 @query("dept_summary", """
 SELECT n_nationkey, n_name, count(c_custkey) AS emp_count,
        coalesce(sum(CAST(c_acctbal AS DECIMAL(18,2))), 0)::DOUBLE AS total_salary,
-       round(coalesce(sum(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE / count(c_custkey), 0.0), 4) AS avg_salary
+       coalesce(sum(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE / nullif(count(c_custkey), 0), 0.0) AS avg_salary
 FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_nationkey % 4 <> 0) ON n_nationkey = c_nationkey
 GROUP BY n_nationkey, n_name
 """)
@@ -62,7 +62,7 @@ def dept_summary(spark, d):
     out = aggregates.summary(
         load(spark, d, "nation").select("n_nationkey", "n_name"), c, ["n_nationkey"],
         {"emp_count": F.count("c_custkey"), "total_salary": total,
-         "avg_salary": F.round(total / F.count("c_custkey"), 4)})
+         "avg_salary": total / F.count("c_custkey")})
     return out
 
 

@@ -242,15 +242,15 @@ def add_months(spark, d):
 WITH s AS (SELECT event_id, TIMESTAMP '2024-02-29 06:00:00' + to_hours(CAST(event_id % 9000 AS INTEGER)) AS a, ts AS b FROM events),
 t AS (SELECT *, (year(a) - year(b)) * 12 + month(a) - month(b) AS whole,
       CAST(a AS DATE) = last_day(CAST(a AS DATE)) AND CAST(b AS DATE) = last_day(CAST(b AS DATE)) AS ends FROM s)
-SELECT event_id, round(CASE WHEN ends OR day(a) = day(b) THEN whole
-       ELSE whole + (day(a) - day(b) + (hour(a) * 3600 + minute(a) * 60 + second(a)
-            - hour(b) * 3600 - minute(b) * 60 - second(b)) / 86400.0) / 31.0 END, 6) AS months FROM t
+SELECT event_id, CASE WHEN ends OR day(a) = day(b) THEN whole::DOUBLE
+       ELSE whole + ((day(a) - day(b)) * 86400 + hour(a) * 3600 + minute(a) * 60 + second(a)
+            - hour(b) * 3600 - minute(b) * 60 - second(b)) / 2678400.0::DOUBLE END AS months FROM t
 """)
 def months_between(spark, d):
     a = F.lit(datetime(2024, 2, 29, 6)).cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), (F.col("event_id") % 9000).cast("int"))
     return load(spark, d, "events").select(
-        "event_id", F.round(S.months_between_ora(a, F.col("ts")), 6).alias("months"))
+        "event_id", S.months_between_ora(a, F.col("ts")).alias("months"))
 
 
 @query("trunc_date", """
