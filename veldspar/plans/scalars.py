@@ -81,11 +81,10 @@ def normalize_newlines_q(spark, d):
 SELECT o_orderkey, o_orderkey * 2 + 1 AS odd, 'X' AS dummy FROM orders
 """)
 def from_dual(spark, d):
-    one = dual(spark).select((F.lit(2)).alias("two"), "dummy")
-    # the one-row relation is a constant side input
-    return load(spark, d, "orders").join(F.broadcast(one)).select(
-        "o_orderkey", (F.col("o_orderkey") * F.col("two") + 1).alias("odd"), "dummy"
-    )
+    dual(spark).createOrReplaceTempView("dual")
+    load(spark, d, "orders").createOrReplaceTempView("from_dual_orders")
+    return spark.sql("""SELECT o_orderkey, o_orderkey * (SELECT 1 + 1 FROM dual) + 1 AS odd, (SELECT dummy FROM dual) AS dummy
+                        FROM from_dual_orders""")
 
 
 @query("sysdate_fixed", """
