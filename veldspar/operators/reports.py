@@ -9,9 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.arrays import let
 from veldspar.operators.rule_table import SEVERITIES, Rule
-from veldspar.operators.rules import rewrite_expr, rules_list
+from veldspar.operators.rules import rewrite_sql, rule_facts, rules_list
 from veldspar.operators.skew import lookup_join
 from veldspar.operators.statements import classify, statement_structs
 
@@ -75,24 +74,24 @@ def compose_output(scripts: DataFrame, rules: DataFrame | Iterable[Rule], as_of:
     through without a shuffle.
     """
     ruleset = rules_list(rules)
-    severities = F.array(*[F.lit(r.severity_override or r.severity) for r in ruleset])
-    labels = F.array(*[
-        F.lit(f"--   [{r.severity_override or r.severity}] [{r.category}] {r.description}") for r in ruleset])
+    facts = rule_facts(ruleset)
     split = statement_structs(scripts)
-    done = split.withColumn("_done", F.transform(
-        "statements", lambda s: let(classify(s["text"]), lambda t: rewrite_expr(s["text"], t, ruleset))))
+    typed = split.withColumn("_typed", F.transform(
+        "statements", lambda s: F.struct(s["text"].alias("text"), classify(s["text"]).alias("kind"))))
+    done = typed.withColumn("_done", F.expr(f"transform(_typed, s -> {rewrite_sql('s.text', 's.kind', ruleset)})"))
     applied = done.withColumn("_ids", F.flatten(F.transform("_done", lambda x: x["ledger"])))
-    counted = applied.withColumn("_sev", F.transform("_ids", lambda i: F.element_at(severities, i + 1)))
+    counted = applied.withColumn("_found", F.transform("_ids", lambda i: F.element_at(facts, i + 1)))
 
     def count(severity: str) -> Column:
-        return F.size(F.filter("_sev", lambda s: s == severity)).cast("string")
+        return F.size(F.filter("_found", lambda f: f["severity"] == severity)).cast("string")
 
     header = F.concat(
         F.lit(f"{RULE}\n-- Source: "), F.col(name).cast("string"),
         F.lit(f"\n-- Generated: {as_of:%Y-%m-%d %H:%M:%S}\n-- Auto-converted: "), count("AUTO"),
         F.lit(" | Review needed: "), count("REVIEW"), F.lit(" | Manual: "), count("MANUAL"), F.lit(f"\n{RULE}\n"))
-    changes = F.array_join(F.transform("_ids", lambda i: F.element_at(labels, i + 1)), "\n")
-    summary = F.when(F.size("_ids") > 0, F.concat(F.lit("-- Migration Changes:\n"), changes, F.lit(f"\n{RULE}\n"))).otherwise("")
+    changes = F.array_join(F.transform("_found", lambda f: F.concat(
+        F.lit("--   ["), f["severity"], F.lit("] ["), f["category"], F.lit("] "), f["description"])), "\n")
+    summary = F.when(F.size("_found") > 0, F.concat(F.lit("-- Migration Changes:\n"), changes, F.lit(f"\n{RULE}\n"))).otherwise("")
     body = F.array_join(F.transform("_done", lambda x: F.concat(x["text"], F.lit(";"))), "\n\n")
     kept = [c for c in scripts.columns if c != "text"]
     return counted.select(*kept, F.concat(header, summary, body).alias("text"))

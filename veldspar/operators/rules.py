@@ -8,7 +8,7 @@ from dataclasses import astuple, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.functions.arrays import let, unnest
+from veldspar.functions.arrays import unnest
 from veldspar.operators.rule_table import Rule, default_rules
 from veldspar.operators.skew import lookup_join
 
@@ -89,8 +89,19 @@ def add_user_rules(rules: DataFrame, user_rules: DataFrame) -> DataFrame:
 
 # --- scan -----------------------------------------------------------------------------------
 
-def _in_scope(rule: Rule, stmt_type: Column | None) -> Column | None:
-    return stmt_type.isin(*rule.scope) if rule.scope and stmt_type is not None else None
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _due_sql(rule: Rule, upper: str, kind: str | None, token: str) -> str:
+    """Condition under which a rule has to look at a text: statement type first, then the token."""
+    tests = []
+    if rule.scope and kind:
+        tests.append(f"{kind} IN ({', '.join(map(sql_text, rule.scope))})")
+    if token:
+        tests.append(f"contains({upper}, {sql_text(token)})")
+    return " AND ".join(tests) or "true"
 
 
 def match_patterns(texts: DataFrame, rules: DataFrame | Iterable[Rule], text: str = "text",
@@ -101,32 +112,23 @@ def match_patterns(texts: DataFrame, rules: DataFrame | Iterable[Rule], text: st
     rule's token against its upper-cased text.  Nothing is joined or shuffled.
     """
     ruleset = rules_list(rules)
-    kind = F.col(stmt_type) if stmt_type else None
-
-    def hits(upper: Column) -> Column:
-        found = []
-        for i, rule in enumerate(ruleset):
-            test = F.col(text).rlike(rule.pattern)
-            if rule.token:
-                test = upper.contains(rule.token) & test
-            scope = _in_scope(rule, kind)
-            found.append(F.when(test if scope is None else scope & test, F.lit(i)))
-        return F.array_compact(F.array(*found))
-
     kept = list(texts.columns)
-    ready = texts.withColumn("_upper", F.upper(text)).withColumn("_hits", hits(F.col("_upper")))
-    pairs = unnest(ready, kept, F.col("_hits"), "_pos", "_rule")
-    facts = _rule_facts(ruleset)
-    return pairs.select(*kept, F.element_at(facts, F.col("_rule") + 1).alias("r")).select(*kept, "r.*")
+    hits = ", ".join(
+        f"CASE WHEN {_due_sql(r, '_upper', stmt_type, r.token)} AND `{text}` RLIKE {sql_text(r.pattern)} "
+        f"THEN {_facts_sql(r)} END" for r in ruleset)
+    ready = texts.withColumn("_upper", F.upper(text)).withColumn("_hits", F.expr(f"array_compact(array({hits}))"))
+    return unnest(ready, kept, F.col("_hits"), "_pos", "r").select(*kept, "r.*")
+
+
+def _facts_sql(rule: Rule) -> str:
+    return (f"named_struct('rule_id', {sql_text(rule.rule_id)}, 'category', {sql_text(rule.category)}, "
+            f"'severity', {sql_text(rule.severity_override or rule.severity)}, "
+            f"'description', {sql_text(rule.description)}, 'rule_order', {rule.rule_order})")
 
 
-def _rule_facts(ruleset: list[Rule]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"),
-                 F.lit(r.severity_override or r.severity).alias("severity"),
-                 F.lit(r.description).alias("description"), F.lit(r.rule_order).alias("rule_order"))
-        for r in ruleset
-    ])
+def rule_facts(ruleset: list[Rule]) -> Column:
+    """What a finding says about each rule, as a constant array."""
+    return F.expr(f"array({', '.join(map(_facts_sql, ruleset))})")
 
 
 def scan(stmts: DataFrame, rules: DataFrame | Iterable[Rule], text: str = "text") -> DataFrame:
@@ -149,51 +151,58 @@ def locate_matches(findings: DataFrame, rules: DataFrame | Iterable[Rule], text:
 
 # --- rewrite --------------------------------------------------------------------------------
 
-def rewrite_expr(text: Column, stmt_type: Column, rules: Iterable[Rule]) -> Column:
-    """struct(text, ledger): all rules applied in order, and the positions (in ``rules``) that acted.
+def due_rules_sql(ruleset: list[Rule], upper: str, kind: str) -> str:
+    """Array of the rules a statement has to go through, in order.
 
-    Rules whose token is absent or whose scope excludes the statement are filtered out first, so
-    the fold sees a handful of rules.  A rule is kept unseen only if no earlier replacement could
-    have brought its token in.
+    A rule is left out by its token only if no earlier replacement could have brought the token in.
     """
-    ruleset = list(rules)
-    literals = []
+    cases = []
     for i, r in enumerate(ruleset):
         brought_in = any(r.token in e.replacement.upper() for e in ruleset[:i] if e.mode == "fix")
-        literals.append(F.struct(
-            F.lit(i).alias("i"), F.lit("" if brought_in else r.token).alias("token"),
-            F.array(*[F.lit(s) for s in r.scope]).cast("array<string>").alias("scope"),
-            F.lit(r.pattern).alias("pattern"), F.lit(r.replacement).alias("replacement"),
-            F.lit(r.mode == "fix").alias("fix")))
-    table = F.array(*literals)
-    start = F.struct(text.alias("text"), F.array().cast("array<int>").alias("ledger"))
+        cases.append(
+            f"CASE WHEN {_due_sql(r, upper, kind, '' if brought_in else r.token)} THEN named_struct('i', {i}, "
+            f"'fix', {str(r.mode == 'fix').lower()}, 'pattern', {sql_text(r.pattern)}, "
+            f"'replacement', {sql_text(r.replacement)}) END")
+    return f"array_compact(array({', '.join(cases)}))"
 
-    def entry(acc: Column, new_text: Column, r: Column) -> Column:
-        return F.struct(new_text.alias("text"), F.array_append(acc["ledger"], r["i"]).alias("ledger"))
 
-    def step(acc: Column, r: Column) -> Column:
-        fixed = let(F.regexp_replace(acc["text"], r["pattern"], r["replacement"]),
-                    lambda new: F.when(new != acc["text"], entry(acc, new, r)).otherwise(acc))
-        seen = F.when(F.rlike(acc["text"], r["pattern"]), entry(acc, acc["text"], r)).otherwise(acc)
-        return F.when(r["fix"], fixed).otherwise(seen)
+def fold_sql(text: str, due: str) -> str:
+    """struct(text, ledger): the due rules applied one after the other, and those that acted.
+
+    The replaced text is bound by a one-element ``transform`` so that it is computed once.
+    """
+    entry = "named_struct('text', {}, 'ledger', array_append(acc.ledger, r.i))"
+    return (
+        f"aggregate({due}, named_struct('text', {text}, 'ledger', CAST(array() AS array<int>)), (acc, r) -> "
+        "CASE WHEN r.fix THEN transform(array(regexp_replace(acc.text, r.pattern, r.replacement)), "
+        f"new -> CASE WHEN new <> acc.text THEN {entry.format('new')} ELSE acc END)[0] "
+        f"WHEN acc.text RLIKE r.pattern THEN {entry.format('acc.text')} ELSE acc END)"
+    )
 
-    def fold(upper: Column) -> Column:
-        due = F.filter(table, lambda r: F.contains(upper, r["token"]) & (
-            (F.size(r["scope"]) == 0) | F.array_contains(r["scope"], stmt_type)))
-        return F.aggregate(due, start, step)
 
-    return let(F.upper(text), fold)
+def rewrite_sql(text: str, kind: str, ruleset: list[Rule]) -> str:
+    """The whole rewrite as one expression over SQL fragments, for use inside array lambdas."""
+    return (f"transform(array(named_struct('text', {text}, 'upper', upper({text}), 'kind', {kind})), "
+            f"v -> {fold_sql('v.text', due_rules_sql(ruleset, 'v.upper', 'v.kind'))})[0]")
 
 
 def rewrite(stmts: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame:
-    """Statements with ``new_text`` and ``ledger`` (structs of the rules that acted, in order)."""
+    """Statements with ``new_text`` and ``ledger`` (structs of the rules that acted, in order).
+
+    The due rules are worked out in generated code; the fold then sees the handful that remain, and
+    statements without any skip it.
+    """
     ruleset = rules_list(rules)
-    done = stmts.withColumn("_done", rewrite_expr(F.col("text"), F.col("stmt_type"), ruleset))
-    facts = _rule_facts(ruleset)
+    due = stmts.withColumn("_upper", F.upper("text")).withColumn(
+        "_due", F.expr(due_rules_sql(ruleset, "_upper", "stmt_type")))
+    untouched = F.struct(F.col("text").alias("text"), F.array().cast("array<int>").alias("ledger"))
+    done = due.withColumn(
+        "_done", F.when(F.size("_due") == 0, untouched).otherwise(F.expr(fold_sql("text", "_due"))))
+    facts = rule_facts(ruleset)
     return done.withColumns({
         "new_text": F.col("_done.text"),
         "ledger": F.transform("_done.ledger", lambda i: F.element_at(facts, i + 1)),
-    }).drop("_done")
+    }).drop("_done", "_due", "_upper")
 
 
 def rewrite_distinct(stmts: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame:
