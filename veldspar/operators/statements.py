@@ -89,10 +89,11 @@ def _closing_line(lines: Column, package: Column) -> Column:
         plain = F.when(acc["comment"], F.regexp_replace(line, r"^(?s:.*?)\*/", "")).otherwise(line)
         still = acc["comment"] & ~F.contains(line, F.lit("*/"))
         counts = ~still & plain.rlike(r"(?i)\b(?:BEGIN|END|CASE)\b")
-        depth = acc["depth"] + F.when(counts, depth_change(plain)).otherwise(0)
-        bare_end = counts & mask_sql(plain).rlike(r"(?i)\bEND\s*;?\s*$")
+        clean = F.regexp_replace(mask_sql(plain), r"/\*.*$", "")  # a comment left open hides the rest
+        depth = acc["depth"] + F.when(counts, depth_change(clean)).otherwise(0)
+        bare_end = counts & clean.rlike(r"(?i)\bEND\s*;?\s*$")
         ends = ~still & ((F.trim(plain) == "/") | (bare_end & (depth <= 0)))
-        opens = F.contains(plain, F.lit("/*")) & mask_sql(plain).contains("/*")
+        opens = ~still & F.contains(plain, F.lit("/*")) & mask_sql(plain).contains("/*")
         return F.when(acc["close"] >= 0, acc).otherwise(F.struct(
             depth.alias("depth"), (acc["i"] + 1).alias("i"),
             F.when(ends, acc["i"]).otherwise(-1).alias("close"), (still | opens).alias("comment")))

@@ -34,13 +34,16 @@ def read_scripts(spark: SparkSession, path: str, exts: Iterable[str] = EXTENSION
     """Script table (file_id, path, text, error) of a directory tree.
 
     Endings are matched while listing, so other files are never opened.  UTF-8 stays in the JVM;
-    other encodings go through Arrow batches.  With ``on_unreadable='row'`` a file that cannot be
-    read becomes a row with NULL text and an error; this needs a second pass over the bytes.
+    other encodings go through Arrow batches.  With ``on_unreadable='row'`` a file that is too large
+    or cannot be read becomes a row with NULL text and an error; this needs a second pass over the
+    bytes.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case_glob(exts))
     files = reader.load(path)
     if on_unreadable == "row":
+        most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
         lenient = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(path)
+        lenient = lenient.filter(F.col("length") <= most)  # applied before a file is opened
         opened = lenient.select("path", F.octet_length("content").alias("_bytes")).filter("_bytes >= 0").select("path")
         broken = files.select("path").join(opened, "path", "left_anti").select(
             F.sha2("path", 256).alias("file_id"), "path", F.lit(None).cast("string").alias("text"),
