@@ -33,13 +33,16 @@ BLOCK_TEMPLATES = (7, 8)  # ended by a lone '/', the others by ';'
 PER_FILE = 10
 
 
-def _file():
-    return F.floor(F.col("o_orderkey") / PER_FILE)
+def _keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Order keys by file: only keys are shuffled, the texts are made where they are joined."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    file_id = F.floor(F.col("o_orderkey") / PER_FILE).alias("file_id")
+    return load(spark, folder, "orders").select("o_orderkey", file_id).repartition(parts, "file_id")
 
 
 def statements(spark: SparkSession, folder: str) -> DataFrame:
     """(k, tid, file_id, stmt): the statements the scripts are made of."""
-    return _statements(load(spark, folder, "orders").select("o_orderkey", _file().alias("file_id")))
+    return _statements(_keys(spark, folder))
 
 
 def _statements(keys: DataFrame) -> DataFrame:
@@ -55,10 +58,7 @@ def scripts(spark: SparkSession, folder: str) -> DataFrame:
     """(file_id, text): ten statements to a file, so every group is small."""
     ended = F.concat("stmt", F.when(F.col("tid").isin(*BLOCK_TEMPLATES), "\n/").otherwise(";"))
     pieces = F.array_sort(F.collect_list(F.struct("k", ended.alias("p"))))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # only keys are shuffled; the texts are made where they are joined
-    keys = load(spark, folder, "orders").select("o_orderkey", _file().alias("file_id")).repartition(parts, "file_id")
-    return _statements(keys).groupBy("file_id").agg(
+    return statements(spark, folder).groupBy("file_id").agg(
         F.array_join(F.transform(pieces, lambda s: s["p"]), "\n").alias("text"))
 
 
