@@ -23,12 +23,19 @@ def hot(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_lookup_join_equals_plain_join(spark, hot, how, monkeypatch):
-    lookup = spark.createDataFrame([(i, f"n{i}") for i in range(0, 40, 2)] + [(1, "hot")], "k int, name string")
+    lookup = spark.createDataFrame([(i, f"n{i}") for i in range(0, 40, 2)] + [(1, "hot"), (99, "unused")], "k int, name string")
     want = rows(hot.join(lookup, ["k"], how))
     assert rows(skew.lookup_join(hot, lookup, ["k"], how)) == want
     monkeypatch.setattr(skew, "fits_broadcast", lambda *a, **k: False)
     assert rows(skew.lookup_join(hot, lookup, ["k"], how)) == want
     assert rows(skew.lookup_join(hot, lookup, ["k"], how, hot_rows=100)) == want
+    assert rows(skew.lookup_join(hot.repartition(1), lookup, ["k"], how, hot_rows=7)) == want
+
+
+def test_broadcast_bounds(spark):
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("s"), F.array("id").alias("a"))
+    assert skew.fits_broadcast(df) and not skew.fits_broadcast(df, max_rows=99)
+    assert not skew.fits_broadcast(df, max_bytes=90_000) and skew.fits_broadcast(df.select("id"), max_bytes=1)
 
 
 def test_old_new_hot_keys(spark, hot):

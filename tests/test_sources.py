@@ -121,9 +121,9 @@ def test_stream_audit_equals_batch(spark, tmp_path):
     data = [(i, (i * 7) % 5 if i % 3 else 1, i * i % 11) for i in range(90)]
     src, out, mark = (str(tmp_path / n) for n in ("chg", "out", "mark"))
     schema = "id int, k int, v int"
-    for lo in (0, 30, 60):
-        spark.createDataFrame(data[lo:lo + 30], schema).write.mode("append").parquet(src)
-        stream_audit(spark.readStream.schema(schema).parquet(src), ["k"], ["id"], ["v"], out, mark).awaitTermination()
+    for lo in (0, 18, 36, 54, 72):
+        spark.createDataFrame(data[lo:lo + 18], schema).write.mode("append").parquet(src)
+        stream_audit(spark.readStream.schema(schema).parquet(src), ["k"], ["id"], ["v"], out, mark, fold_every=2).awaitTermination()
     got = spark.read.parquet(f"{out}/audit").select("id", "k", "v", "old_v", "action")
     want = old_new(spark.createDataFrame(data, schema), ["k"], ["id"], ["v"]).withColumn("first", F.row_number().over(
         __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("k").orderBy("id")) == 1)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.operators.skew import BROADCAST_ROWS
+from veldspar.operators.skew import maybe_broadcast
 from veldspar.session import shared_folder
 
 
@@ -57,9 +57,7 @@ def connect_by(df: DataFrame, id: str, parent: str, start: Column, path: str | N
             break
         kept = ["level", "_ids", *(["path"] if path else []), *(["sibling_key"] if siblings else [])]
         above = stored.select(F.col(id).alias("_above"), *kept).alias("p")
-        if rows <= BROADCAST_ROWS:
-            above = F.broadcast(above)
-        joined = table.join(above, F.col(f"c.{parent}") == F.col("p._above"))
+        joined = table.join(maybe_broadcast(above), F.col(f"c.{parent}") == F.col("p._above"))
         seen = F.array_contains("p._ids", own(id))
         if nocycle:
             joined = joined.filter(~seen)

@@ -3,23 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veldspar.session import materialize
 
 # A key group above this many rows is treated as hot and spread over several tasks.
 HOT_ROWS = 2_000_000
-# Row bound under which a side may be broadcast (a few tens of MB of keys and short columns).
+# Bounds under which a side may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+MAX_SALTS = 4096
+
+
+def _wide_bytes(field: T.StructField) -> Column | None:
+    """Size of a variable-width value, None for fixed-width types."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(F.col(field.name))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(field.name)))
+    return None
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; stops reading once the bound is passed."""
-    return df.select(F.lit(1).alias("one")).limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """True if ``df`` is within the row and the byte bound, by counting it.
+
+    The row count needs no columns; only a small row count is followed by a sum of value sizes.
+    """
+    if df.count() > (BROADCAST_ROWS if max_rows is None else max_rows):
+        return False
+    wide = [w for w in map(_wide_bytes, df.schema) if w is not None]
+    if not wide:
+        return True
+    total = sum((F.coalesce(w, F.lit(0)).cast("bigint") for w in wide), F.lit(0))
+    size = df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
+    return size <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven small; a stored table is cheap to count."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -36,26 +62,34 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
 
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join ``df`` with a lookup that has one row per key.
+    """Join ``df`` with a lookup that has one row per key, whatever the spread of keys in ``df``.
 
-    Rows of hot keys meet a broadcast of the few lookup rows they need (one per hot key), the
-    others are joined by key as usual, so no task receives a whole hot group.
+    A lookup within the broadcast bounds is broadcast.  Otherwise, if some key owns more than
+    ``hot_rows`` rows, the rows of hot keys get a salt and meet one copy of their lookup row per
+    salt, while all other rows are joined by key as usual.
     """
     keys = list(keys)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join keeps the rows of its left side, not {how!r}")
     if fits_broadcast(lookup):
         return df.join(F.broadcast(lookup), keys, how)
-    if largest_group(df, keys) <= hot_rows:
+    largest = largest_group(df, keys)
+    if largest <= hot_rows:
         return df.join(lookup, keys, how)
-    hot = hot_keys(df, keys, hot_rows)
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    no_key = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
-    spread = F.coalesce(F.col("_hot"), F.lit(False)) | no_key  # rows without a key match nothing
-    hot_lookup = F.broadcast(lookup.join(F.broadcast(hot), keys, "left_semi"))
-    hot_part = marked.filter(spread).drop("_hot").join(hot_lookup, keys, how)
-    cold_part = marked.filter(~spread).drop("_hot").join(lookup, keys, how)
-    return cold_part.unionByName(hot_part)
+    return _salted_join(df, lookup, keys, how, hot_rows, min(-(-largest // max(hot_rows, 1)), MAX_SALTS))
+
+
+def _salted_join(df: DataFrame, lookup: DataFrame, keys: list[str], how: str, hot_rows: int, salts: int) -> DataFrame:
+    hot = hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True))
+    hot = maybe_broadcast(materialize(hot, "hot-keys"))
+    # The input partition is a salt that stays the same if a task is run again.
+    by_task = F.pmod(F.spark_partition_id(), F.lit(salts))
+    placed = df.withColumn("_task", by_task).join(hot, keys, "left")
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])  # matches nothing, goes anywhere
+    left = placed.withColumn("_salt", F.when(F.coalesce("_hot", F.lit(False)) | no_key, F.col("_task")).otherwise(0))
+    copies = F.when(F.coalesce("_hot", F.lit(False)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.drop("_hot", "_task").join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def unique_or_raise(df: DataFrame, keys: Sequence[str], message: str) -> DataFrame:

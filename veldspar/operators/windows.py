@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.operators.sequences import dense_index, range_numbered
-from veldspar.operators.skew import HOT_ROWS, largest_group
+from veldspar.operators.skew import HOT_ROWS, largest_group, maybe_broadcast
+from veldspar.session import materialize
 
 
 def rownum(df: DataFrame, order: Sequence, name: str = "rn") -> DataFrame:
@@ -58,7 +59,8 @@ def _old_new_ranges(df: DataFrame, key: list, order: list, cols: list) -> DataFr
         .alias(f"old_{c}")
         for c in cols
     ]
-    return marked.join(F.broadcast(edges), "_part").select(*df.columns, *old)  # one row per range
+    edges = maybe_broadcast(materialize(edges, "edges"))  # one row per range
+    return marked.join(edges, "_part").select(*df.columns, *old)
 
 
 def running_depth(lines: DataFrame, part: Sequence[str], order: Sequence[str], delta: Column,

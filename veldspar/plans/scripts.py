@@ -143,13 +143,14 @@ def columns(spark, d):
 
 
 @query("constraints", f"""
-WITH {STATEMENTS_SQL} SELECT file_id, stmt_no, 't_' || k AS table_name, c.n || k AS constraint_name, kind, ['id'] AS columns,
-       CASE WHEN n = 'fk_' THEN 'orders' END AS ref_table, CASE WHEN n = 'fk_' THEN ['o_orderkey'] END AS ref_columns,
+WITH {STATEMENTS_SQL} SELECT file_id, stmt_no, 't_' || k AS table_name, c.n || k AS constraint_name, kind, 'id' AS columns,
+       CASE WHEN n = 'fk_' THEN 'orders' END AS ref_table, CASE WHEN n = 'fk_' THEN 'o_orderkey' END AS ref_columns,
        NULL::VARCHAR AS condition
 FROM stmts CROSS JOIN (VALUES ('pk_', 'PRIMARY KEY'), ('fk_', 'FOREIGN KEY')) c(n, kind) WHERE tid = 1
 """)
 def constraints(spark, d):
-    return inventory.constraints(split(spark, d))
+    return inventory.constraints(split(spark, d)).withColumns(
+        {c: F.array_join(c, ",") for c in ("columns", "ref_columns")})
 
 
 @query("parameters", f"""
@@ -183,11 +184,11 @@ def package_members(spark, d):
 
 
 @query("triggers", f"""
-WITH {STATEMENTS_SQL} SELECT file_id, stmt_no, 'tr_' || k AS trigger_name, 'BEFORE' AS timing, ['INSERT'] AS events, 'orders' AS table_name,
+WITH {STATEMENTS_SQL} SELECT file_id, stmt_no, 'tr_' || k AS trigger_name, 'BEFORE' AS timing, 'INSERT' AS events, 'orders' AS table_name,
        true AS row_level, NULL::VARCHAR AS when_clause FROM stmts WHERE tid = 8
 """)
 def triggers(spark, d):
-    return inventory.triggers(split(spark, d))
+    return inventory.triggers(split(spark, d)).withColumn("events", F.array_join("events", ","))
 
 
 _PROPERTIES = {
@@ -218,11 +219,11 @@ _USED = {0: [("NVL",), ("SYSDATE",)], 1: [("SYSDATE",)], 6: [("DECODE",), ("ROWN
 
 
 @query("functions_used", f"""
-WITH {STATEMENTS_SQL} SELECT file_id, coalesce(list_sort(list_distinct(list(name) FILTER (name IS NOT NULL))), []) AS functions
+WITH {STATEMENTS_SQL} SELECT file_id, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS functions
 FROM stmts LEFT JOIN {per_template(_USED, 'tid, name')} USING (tid) GROUP BY file_id
 """)
 def functions_used(spark, d):
-    return inventory.functions_used(fx.scripts(spark, d))
+    return inventory.functions_used(fx.scripts(spark, d)).withColumn("functions", F.array_join("functions", ","))
 
 
 @query("parse_errors", f"""

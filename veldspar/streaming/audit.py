@@ -13,21 +13,36 @@ from veldspar.operators.windows import old_new
 
 
 class AuditState:
-    """Last row per key, stored as one folder per batch under ``path``.
+    """Last row per key in versioned folders under ``path``.
 
-    Batch n reads version n - 1 and writes version n, so repeating a batch reads the same state.
+    A batch stores only the keys it touched (``delta=n``); every ``fold_every`` batches the deltas
+    are folded into a ``base=n``.  Batch n reads what batches before it wrote and replaces its own
+    folder, so repeating a batch reads the same state.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, key: Sequence[str], order: Sequence[str], fold_every: int = 16):
+        self.path, self.key, self.order, self.fold_every = path, list(key), list(order), fold_every
+
+    def latest(self, rows: DataFrame) -> DataFrame:
+        """The last row of each key, as a combined maximum."""
+        values = F.struct(*[F.col(c) for c in rows.columns if c not in self.key])
+        last = rows.groupBy(*self.key).agg(F.max_by(values, F.struct(*self.order)).alias("v"))
+        return last.select(*self.key, "v.*").select(*rows.columns)
 
     def read(self, like: DataFrame, batch_id: int) -> DataFrame:
-        if batch_id == 0:
+        base = batch_id // self.fold_every * self.fold_every - 1
+        folders = [f"{self.path}/delta={i}" for i in range(base + 1, batch_id)]
+        if base >= 0:
+            folders.append(f"{self.path}/base={base}")
+        if not folders:
             return like.limit(0)
-        return like.sparkSession.read.schema(like.schema).parquet(f"{self.path}/version={batch_id - 1}")
+        return self.latest(like.sparkSession.read.schema(like.schema).parquet(*folders))
 
-    def write(self, last: DataFrame, batch_id: int) -> None:
-        last.write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+    def write(self, changes: DataFrame, batch_id: int) -> None:
+        self.latest(changes).write.mode("overwrite").parquet(f"{self.path}/delta={batch_id}")
+        if batch_id % self.fold_every == self.fold_every - 1:
+            whole = self.latest(self.read(changes, batch_id).unionByName(changes))
+            whole.write.mode("overwrite").parquet(f"{self.path}/base={batch_id}")
 
 
 def audit_batch(batch: DataFrame, state: AuditState, batch_id: int, key: Sequence[str],
@@ -38,8 +53,9 @@ def audit_batch(batch: DataFrame, state: AuditState, batch_id: int, key: Sequenc
     """
     key, order, cols = list(key), list(order), list(cols)
     changes = batch.select(*dict.fromkeys([*key, *order, *cols]))
-    stored = state.read(changes.select(*key, *dict.fromkeys([*order, *cols])), batch_id)
-    before = stored.select(*key, *[F.col(c).alias(f"_stored_{c}") for c in cols], F.lit(True).alias("_known"))
+    touched = changes.select(*key).distinct()
+    before = state.read(changes, batch_id).join(touched, key, "left_semi")
+    before = before.select(*key, *[F.col(c).alias(f"_stored_{c}") for c in cols], F.lit(True).alias("_known"))
     marked = changes.withColumn("_here", F.lit(True))
     rows = lookup_join(old_new(marked, key, order, [*cols, "_here"]), before, key, "left")
     first = F.col("old__here").isNull()
@@ -47,17 +63,14 @@ def audit_batch(batch: DataFrame, state: AuditState, batch_id: int, key: Sequenc
         *changes.columns,
         F.when(first & F.col("_known").isNull(), "INSERT").otherwise("UPDATE").alias("action"),
         *[F.when(first, F.col(f"_stored_{c}")).otherwise(F.col(f"old_{c}")).alias(f"old_{c}") for c in cols])
-    values = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *cols])])
-    everything = stored.unionByName(changes.select(*stored.columns))
-    last = everything.groupBy(*key).agg(F.max_by(values, F.struct(*order)).alias("v")).select(*key, "v.*")
-    state.write(last.select(*stored.columns), batch_id)
+    state.write(changes, batch_id)
     return audit
 
 
 def stream_audit(changes: DataFrame, key: Sequence[str], order: Sequence[str], cols: Sequence[str],
-                 out: str, checkpoint: str) -> StreamingQuery:
+                 out: str, checkpoint: str, fold_every: int = 16) -> StreamingQuery:
     """Write audit rows of a change stream to ``out``; ``order`` is total within a key."""
-    state = AuditState(f"{out}/state")
+    state = AuditState(f"{out}/state", key, order, fold_every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
