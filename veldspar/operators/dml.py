@@ -83,10 +83,12 @@ def insert_unique(target: DataFrame, rows: DataFrame, key: Sequence[str],
     large part of the batch is not gathered anywhere.
     """
     key, order = list(key), list(order)
-    place = F.struct(*order)
-    firsts = rows.groupBy(*key).agg(F.min(place).alias("_first"))
+    if len(order) == 1:  # a plain minimum stays a hash aggregate
+        firsts = rows.groupBy(*key).agg(F.min(order[0]).alias(order[0]))
+    else:
+        firsts = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first")).select(*key, "_first.*")
     taken = target.select(*key).distinct()
-    winners = firsts.join(taken, key, "left_anti").select(*key, *[F.col(f"_first.{o}").alias(o) for o in order])
+    winners = firsts.join(taken, key, "left_anti")
     whole = key + [o for o in order if o not in key]
     accepted = rows.join(winners, whole, "left_semi")
     rejects = rows.join(winners, whole, "left_anti")

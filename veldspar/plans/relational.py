@@ -191,6 +191,26 @@ def top_earners(spark, d):
     return windows.top_n_by(c, ["c_nationkey"], [F.col("c_acctbal").desc(), F.col("c_custkey")], 10)
 
 
+@query("top_earners_function", """
+SELECT n_nationkey, c_custkey, c_acctbal FROM (SELECT n_nationkey, c_custkey, c_acctbal, row_number() OVER
+  (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer JOIN nation ON c_nationkey = n_nationkey
+   WHERE c_custkey % 5 <> 0) WHERE rn <= 3
+""")
+def top_earners_function(spark, d):
+    """The pipelined function as a SQL table function, called for every nation.
+
+    The limit is a row number: ORDER BY ... LIMIT inside a lateral call is applied once, not per call.
+    """
+    load(spark, d, "customer").createOrReplaceTempView("earners_customer")
+    load(spark, d, "nation").createOrReplaceTempView("earners_nation")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION get_top_earners(dept INT)
+                 RETURNS TABLE (c_custkey BIGINT, c_acctbal DOUBLE)
+                 RETURN SELECT c_custkey, c_acctbal FROM (
+                   SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place
+                   FROM earners_customer WHERE c_custkey % 5 <> 0) WHERE place <= 3 AND c_nationkey = dept""")
+    return spark.sql("SELECT n_nationkey, e.* FROM earners_nation, LATERAL get_top_earners(n_nationkey) e")
+
+
 _OLD_NEW_SQL = """
 SELECT event_id, user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_value FROM events
 """
