@@ -70,7 +70,10 @@ def to_lines(scripts: DataFrame) -> DataFrame:
 
 def depth_change(line: Column) -> Column:
     """BEGIN and CASE open, END closes; END IF and END LOOP close what is not counted."""
-    clean = mask_sql(line)
+    return _depth_of(mask_sql(line))
+
+
+def _depth_of(clean: Column) -> Column:
     opened = F.regexp_count(clean, F.lit(r"(?i)\bBEGIN\b|(?<!\bEND )\bCASE\b"))
     closed = F.regexp_count(clean, F.lit(r"(?i)\bEND\b(?!\s+(?:IF|LOOP)\b)"))
     return (opened - closed).cast("int")
@@ -89,14 +92,19 @@ def _closing_line(lines: Column, package: Column) -> Column:
         plain = F.when(acc["comment"], F.regexp_replace(line, r"^(?s:.*?)\*/", "")).otherwise(line)
         still = acc["comment"] & ~F.contains(line, F.lit("*/"))
         counts = ~still & plain.rlike(r"(?i)\b(?:BEGIN|END|CASE)\b")
-        clean = F.regexp_replace(mask_sql(plain), r"/\*.*$", "")  # a comment left open hides the rest
-        depth = acc["depth"] + F.when(counts, depth_change(clean)).otherwise(0)
-        bare_end = counts & clean.rlike(r"(?i)\bEND\s*;?\s*$")
-        ends = ~still & ((F.trim(plain) == "/") | (bare_end & (depth <= 0)))
         opens = ~still & F.contains(plain, F.lit("/*")) & mask_sql(plain).contains("/*")
-        return F.when(acc["close"] >= 0, acc).otherwise(F.struct(
-            depth.alias("depth"), (acc["i"] + 1).alias("i"),
-            F.when(ends, acc["i"]).otherwise(-1).alias("close"), (still | opens).alias("comment")))
+
+        def moved(depth: Column, ends: Column) -> Column:
+            return F.struct(depth.alias("depth"), (acc["i"] + 1).alias("i"),
+                            F.when(ends, acc["i"]).otherwise(-1).alias("close"), (still | opens).alias("comment"))
+
+        def counted(clean: Column) -> Column:
+            bare_end = clean.rlike(r"(?i)\bEND\s*;?\s*$")
+            return let(acc["depth"] + _depth_of(clean), lambda depth: moved(depth, bare_end & (depth <= 0)))
+
+        clean = F.regexp_replace(mask_sql(plain), r"/\*.*$", "")  # a comment left open hides the rest
+        return F.when(acc["close"] >= 0, acc).when(counts, let(clean, counted)).otherwise(
+            moved(acc["depth"], ~still & (F.trim(plain) == "/")))
 
     return F.aggregate(lines, start, step, lambda acc: acc["close"])
 

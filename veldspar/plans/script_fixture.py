@@ -33,7 +33,7 @@ BLOCK_TEMPLATES = (7, 8)  # ended by a lone '/', the others by ';'
 PER_FILE = 10
 
 
-def _keys(spark: SparkSession, folder: str) -> DataFrame:
+def order_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Order keys by file: only keys are shuffled, the texts are made where they are joined."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     file_id = F.floor(F.col("o_orderkey") / PER_FILE).alias("file_id")
@@ -42,7 +42,7 @@ def _keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def statements(spark: SparkSession, folder: str) -> DataFrame:
     """(k, tid, file_id, stmt): the statements the scripts are made of."""
-    return _statements(_keys(spark, folder))
+    return _statements(order_keys(spark, folder))
 
 
 def _statements(keys: DataFrame) -> DataFrame:

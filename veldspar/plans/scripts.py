@@ -165,13 +165,11 @@ def parameters(spark, d):
 
 def _packages(spark, d):
     """One package body per order: three members, one with a literal and a nested call."""
-    from veldspar.sources.tables import load
-
     body = ("CREATE OR REPLACE PACKAGE BODY pkg_{k} AS\n  PROCEDURE hire(p_name IN VARCHAR2, p_pay IN NUMBER DEFAULT f(1, 2)) IS\n"
             "  BEGIN\n    log('FUNCTION in text');\n  END hire;\n  -- PROCEDURE old_one\n  PROCEDURE fire IS BEGIN NULL; END fire;\n"
             "  FUNCTION head_count RETURN NUMBER IS\n  BEGIN\n    RETURN 0;\n  END head_count;\nEND pkg_{k};\n/\n")
     text = F.replace(F.lit(body), F.lit("{k}"), F.col("o_orderkey").cast("string"))
-    return load(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), text.alias("text"))
+    return fx.order_keys(spark, d).select(F.col("o_orderkey").alias("file_id"), text.alias("text"))
 
 
 @query("package_members", """
