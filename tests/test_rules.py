@@ -17,25 +17,22 @@ def convert(spark, *sqls, rules=None):
 
 # (statement, text that must appear, text that must not)
 CONSTRUCTS = [
-    ("CREATE TABLE t (name VARCHAR2(100))", "VARCHAR(100)", "VARCHAR2"),
-    ("CREATE TABLE t (id NUMBER(10), val NUMBER(12,2))", "NUMERIC(10), val NUMERIC(12,2)", "NUMBER"),
-    ("CREATE TABLE t (content CLOB)", "TEXT", "CLOB"),
-    ("CREATE TABLE t (data BLOB)", "BYTEA", "BLOB"),
-    ("CREATE TABLE t (created DATE)", "TIMESTAMP", "DATE"),
-    ("SELECT SYSDATE FROM DUAL", "CURRENT_TIMESTAMP", "FROM DUAL"),
-    ("SELECT NVL(salary, 0) FROM employees", "COALESCE(", "NVL"),
-    ("SELECT SUBSTR(name, 1, 5) FROM employees", "SUBSTRING(", "SUBSTR("),
-    ("SELECT SYS_GUID() FROM DUAL", "gen_random_uuid()", "SYS_GUID"),
-    ("SELECT 1 FROM DUAL", "SELECT 1", "DUAL"),
-    ("SELECT id FROM t1 MINUS SELECT id FROM t2", "EXCEPT", "MINUS"),
-    ("SELECT seq_test.NEXTVAL FROM DUAL", "nextval('seq_test')", "NEXTVAL"),
-    ("CREATE TABLE t (id NUMBER(10)) TABLESPACE users PCTFREE 10 LOGGING", "NUMERIC(10))", "TABLESPACE"),
-    ("SELECT /*+ INDEX(e idx_name) */ * FROM employees e", "Oracle hint removed", "/*+"),
-    ("CREATE GLOBAL TEMPORARY TABLE t (id NUMBER) ON COMMIT PRESERVE ROWS", "TEMPORARY TABLE", "GLOBAL"),
-    ("CREATE PUBLIC SYNONYM emp FOR hr.employees", "CREATE OR REPLACE VIEW emp AS SELECT * FROM hr.employees", "SYNONYM"),
-    ("CREATE BITMAP INDEX idx ON t(col) TABLESPACE ts", "CREATE INDEX idx ON t(col)", "TABLESPACE"),
-    ("CREATE SEQUENCE seq_test NOCACHE NOCYCLE NOORDER", "NO CYCLE", "NOORDER"),
-    ("CREATE OR REPLACE FORCE VIEW v AS SELECT 1", "CREATE OR REPLACE VIEW v", "FORCE"),
+    ("CREATE TABLE item (label VARCHAR2(80))", "label VARCHAR(80)", "VARCHAR2"),
+    ("CREATE TABLE item (item_no NUMBER(7), price NUMBER(9,3))", "NUMERIC(7), price NUMERIC(9,3)", "NUMBER"),
+    ("CREATE TABLE page (body CLOB, scan BLOB)", "body TEXT, scan BYTEA", "LOB"),
+    ("CREATE TABLE page (seen DATE)", "seen TIMESTAMP", "DATE"),
+    ("SELECT SYSDATE FROM DUAL", "SELECT CURRENT_TIMESTAMP", "DUAL"),
+    ("SELECT NVL(price, 1), SUBSTR(label, 2) FROM item", "COALESCE(price, 1), SUBSTRING(label, 2)", "NVL"),
+    ("SELECT SYS_GUID() AS id FROM DUAL", "gen_random_uuid() AS id", "SYS_GUID"),
+    ("SELECT item_no FROM item MINUS SELECT item_no FROM sold", "item EXCEPT SELECT", "MINUS"),
+    ("SELECT item_seq.NEXTVAL, item_seq.CURRVAL FROM DUAL", "nextval('item_seq'), currval('item_seq')", "NEXTVAL"),
+    ("CREATE TABLE item (n NUMBER(7)) PCTFREE 5 TABLESPACE data INITRANS 3 LOGGING", "(n NUMERIC(7))", "INITRANS"),
+    ("SELECT /*+ FULL(i) */ label FROM item i", "/* Oracle hint removed */", "/*+"),
+    ("CREATE GLOBAL TEMPORARY TABLE scratch (n NUMBER) ON COMMIT DELETE ROWS", "CREATE TEMPORARY TABLE", "GLOBAL"),
+    ("CREATE SYNONYM things FOR shop.item", "CREATE OR REPLACE VIEW things AS SELECT * FROM shop.item", "SYNONYM"),
+    ("CREATE BITMAP INDEX ix ON item(kind) TABLESPACE fast COMPUTE STATISTICS", "CREATE INDEX ix ON item(kind)", "COMPUTE"),
+    ("CREATE SEQUENCE item_seq NOORDER NOCYCLE NOCACHE NOMAXVALUE", "item_seq NO CYCLE", "NOCACHE"),
+    ("CREATE FORCE VIEW cheap AS SELECT label FROM item", "CREATE OR REPLACE VIEW cheap", "FORCE"),
     # regressions
     ("CREATE TABLE t (flag NUMBER(1), n VARCHAR2(5 BYTE))", "flag BOOLEAN, n VARCHAR(5)", "BYTE"),  # D4
     ("CREATE TABLE t (id NUMBER) NOLOGGING", "CREATE TABLE t (id NUMERIC)", "NO"),  # D5

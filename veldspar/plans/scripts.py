@@ -53,17 +53,17 @@ def type_counts(spark, d):
 
 # One example of every statement type.
 TYPE_EXAMPLES = [
-    ("CREATE_TABLE", "create global temporary table t (id NUMBER)"), ("CREATE_INDEX", "CREATE UNIQUE INDEX i ON t(c)"),
+    ("CREATE_TABLE", "create global temporary table t (id NUMBER)"), ("CREATE_INDEX", "CREATE UNIQUE INDEX ix ON item (kind)"),
     ("CREATE_MATERIALIZED_VIEW", "CREATE MATERIALIZED VIEW m AS SELECT 1"),
-    ("CREATE_VIEW", "CREATE OR REPLACE FORCE VIEW v AS SELECT 1"), ("CREATE_SEQUENCE", "CREATE SEQUENCE s START WITH 1"),
+    ("CREATE_VIEW", "CREATE OR REPLACE FORCE VIEW cheap AS SELECT 1"), ("CREATE_SEQUENCE", "CREATE SEQUENCE item_seq"),
     ("CREATE_SYNONYM", "CREATE OR REPLACE PUBLIC SYNONYM s FOR t"), ("CREATE_PACKAGE_BODY", "CREATE PACKAGE BODY p AS"),
     ("CREATE_PACKAGE", "CREATE OR REPLACE PACKAGE p AS"), ("CREATE_PROCEDURE", "CREATE PROCEDURE p IS"),
     ("CREATE_FUNCTION", "CREATE OR REPLACE FUNCTION f RETURN NUMBER IS"), ("CREATE_TRIGGER", "CREATE TRIGGER t BEFORE INSERT ON x"),
     ("CREATE_TYPE", "CREATE OR REPLACE TYPE t AS OBJECT (a NUMBER)"), ("CREATE_DATABASE_LINK", "CREATE PUBLIC DATABASE LINK l"),
-    ("ALTER_TABLE", "ALTER TABLE t ADD c NUMBER"), ("ALTER_INDEX", "ALTER INDEX i REBUILD"), ("ALTER_SEQUENCE", "ALTER SEQUENCE s CACHE 5"),
-    ("DROP", "DROP TABLE t"), ("TRUNCATE", "TRUNCATE TABLE t"), ("COMMENT", "COMMENT ON TABLE t IS 'x'"),
-    ("GRANT", "GRANT SELECT ON t TO u"), ("REVOKE", "REVOKE SELECT ON t FROM u"), ("SELECT", "/* note */ select 1"),
-    ("INSERT", "INSERT INTO t VALUES (1)"), ("UPDATE", "UPDATE t SET c = 1"), ("DELETE", "DELETE FROM t"), ("MERGE", "MERGE INTO t USING s"),
+    ("ALTER_TABLE", "ALTER TABLE item MODIFY kind NUMBER"), ("ALTER_INDEX", "ALTER INDEX i REBUILD"), ("ALTER_SEQUENCE", "ALTER SEQUENCE s CACHE 5"),
+    ("DROP", "DROP VIEW cheap"), ("TRUNCATE", "TRUNCATE TABLE t"), ("COMMENT", "COMMENT ON TABLE t IS 'x'"),
+    ("GRANT", "GRANT UPDATE ON item TO clerk"), ("REVOKE", "REVOKE SELECT ON t FROM u"), ("SELECT", "/* note */ select 1"),
+    ("INSERT", "INSERT INTO item SELECT 1"), ("UPDATE", "UPDATE item SET kind = 2"), ("DELETE", "DELETE FROM item"), ("MERGE", "MERGE INTO t USING s"),
     ("DECLARE_BLOCK", "DECLARE x NUMBER"), ("BEGIN_BLOCK", "BEGIN NULL"), ("SET", "SET SERVEROUTPUT ON"), ("EXEC", "EXEC p(1)"),
     ("UNKNOWN", "-- only a comment"),
 ]
