@@ -36,3 +36,87 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from veldspar.llm.packing import pack
 
     return pack(table(spark, folder, "documents"), tokenizer_path())
+
+
+# Verdict and host/path of the rules the url contract names (fixed values).
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@query("op10_redirect_equivalence", r"""
+    WITH RECURSIVE p AS (
+        SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+               coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+    tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p
+             WHERE contains(url, '://')),
+    targets AS (
+        SELECT url AS source, replace(nullif(CASE
+            WHEN regexp_matches(tag, '(?i)^<link\b') AND regexp_matches(tag, '(?i)\brel\s*=\s*["'']?\s*canonical\b')
+            THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+            WHEN regexp_matches(tag, '(?i)^<meta\b') AND regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?\s*refresh\b')
+            THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, ''), '&amp;', '&') AS t FROM tags),
+    links AS (
+        SELECT source, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+            WHEN t LIKE '//%' THEN regexp_extract(source, '^(.*?)://', 1, 's') || ':' || t
+            WHEN t LIKE '/%' THEN regexp_extract(source, '^(.*?://[^/?#]*)', 1, 's') || t END AS target FROM targets),
+    edges AS (SELECT source AS a, target AS b FROM links WHERE target IS NOT NULL
+              UNION SELECT target, source FROM links WHERE target IS NOT NULL),
+    reach AS (SELECT a AS url, a AS alias FROM edges UNION SELECT reach.url, edges.b FROM reach JOIN edges ON reach.alias = edges.a),
+    rules(kind, rhost, rpath, rule) AS (VALUES ('block', 'net', '/', 'net/'), ('allow', 'example.net', '/en/', 'example.net/en/'),
+        ('block', 'example.com', '/de/', 'example.com/de/'), ('allow', 'org', '/fr/', 'org/fr/')),
+    urls AS (
+        SELECT DISTINCT url, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+        FROM (SELECT url FROM p UNION SELECT alias FROM reach) WHERE url IS NOT NULL),
+    own AS (
+        SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(kind, length(rule)) AS kind FROM urls
+        JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY url),
+    far AS (SELECT reach.url, min(own.kind) AS kind FROM reach JOIN own ON own.url = reach.alias GROUP BY reach.url)
+    SELECT page_id, host, path, own.rule, coalesce(own.kind, far.kind, 'allow') AS verdict
+    FROM p LEFT JOIN own USING (url) LEFT JOIN far USING (url)""")
+def redirect_equivalence(spark: SparkSession, folder: str) -> DataFrame:
+    from veldspar.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+TOXIC_AT, QUALITY_AT = 0.7, 0.3
+
+
+def _judged(scores: DataFrame, modulus: int, remainder: int, at: float) -> DataFrame:
+    from veldspar.llm.tables import learnable
+
+    return scores.select("doc_id", learnable("doc_id", modulus, remainder)[0].alias("held_out"), "score",
+                         (F.col("score") >= at).cast("int").alias("predicted"))
+
+
+@query("op3_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from veldspar.llm import toxicity as op
+    from veldspar.llm.tables import learnable
+
+    docs = table(spark, folder, "documents")
+    machine = op.fit(docs, table(spark, folder, "labels"), learnable("doc_id", 3, 1)[1])
+    return _judged(op.score(docs, machine), 3, 1, TOXIC_AT)
+
+
+@query("op5_factorisation_machine")
+def factorisation_machine(spark: SparkSession, folder: str) -> DataFrame:
+    from veldspar.llm import quality as op
+    from veldspar.llm.tables import learnable
+
+    docs = table(spark, folder, "documents")
+    machine = op.fit(docs, table(spark, folder, "labels"), learnable("doc_id", 5, 0)[1])
+    return _judged(op.score(docs, machine), 5, 0, QUALITY_AT)
+
+
+@query("op9_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from veldspar.llm import language_id as op
+    from veldspar.llm.tables import learnable
+
+    docs = table(spark, folder, "documents")
+    held_out, learn_from = learnable("doc_id", 4, 2)
+    model = op.learn(docs.filter(learn_from))
+    return op.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
