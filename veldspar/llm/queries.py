@@ -120,3 +120,19 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     held_out, learn_from = learnable("doc_id", 4, 2)
     model = op.learn(docs.filter(learn_from))
     return op.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_pivot_top_k", """
+    WITH v AS (
+        SELECT row_number() OVER () AS key, vec_id,
+               list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT q.key, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda z: z[1] * z[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND len(q.vec) = len(c.vec) AND q.key <> c.key),
+    r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""")
+def pivot_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from veldspar.llm.topk import top_k
+
+    return top_k(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
