@@ -136,3 +136,31 @@ def pivot_top_k(spark: SparkSession, folder: str) -> DataFrame:
     from veldspar.llm.topk import top_k
 
     return top_k(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op2_decontamination", r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS key, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (
+        SELECT item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    bw AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[s:s + 9], ' ') AS needle
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT m FROM bw),
+    dw AS (
+        SELECT key, m, s, array_to_string(w[s:s + m - 1], ' ') AS needle
+        FROM (SELECT key, w, m, unnest(generate_series(1, len(w) - m + 1)) AS s FROM d JOIN sizes ON len(w) >= m)),
+    h AS (SELECT key, item_id, m, s FROM dw JOIN bw USING (m, needle)),
+    words AS (SELECT key, count(DISTINCT i) AS n_hit FROM (SELECT key, unnest(generate_series(s, s + m - 1)) AS i FROM h) GROUP BY key),
+    items AS (SELECT key, count(DISTINCT item_id) AS n_items, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS ids FROM h GROUP BY key)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (key) LEFT JOIN items USING (key)""")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from veldspar.llm.decontaminate import decontaminate
+
+    found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
