@@ -57,7 +57,7 @@ class HashFilter:
         return at
 
 
-def _filter_of(column: DataFrame) -> HashFilter:
+def filter_of(column: DataFrame) -> HashFilter:
     """A filter over a stored column of longs, joined from one filter per task."""
     n = column.count()
     name = column.columns[0]
@@ -180,12 +180,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     of_items = stored(item_windows(items, item_col, item_text_col), "item-windows")
     windows = stored(of_items.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
     shingles = stored(_window_shingles(windows), "window-shingles")
-    counts = _corpus_counts(docs, _filter_of(shingles.select("shingle")))
+    counts = _corpus_counts(docs, filter_of(shingles.select("shingle")))
     # The prefix of a window that must be contained whole is one shingle, the rarest.
     rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "place")
     prefix = shingles.join(counts, "shingle", "left").groupBy("window").agg(F.min(rarity).alias("p"), F.first("words").alias("needle"))
     prefix = stored(prefix.filter("p.n > 0").select("window", "needle", F.col("p.shingle").alias("shingle"), F.col("p.place").alias("place")), "prefixes")
-    found = stored(keyed(_candidates(docs, _filter_of(prefix.select("shingle")))), "candidates")
+    found = stored(keyed(_candidates(docs, filter_of(prefix.select("shingle")))), "candidates")
     c = found.filter("size(found) > 0").select("key", "n_words", F.explode("found").alias("c")).select("key", "n_words", "c.*")
     start = F.col("at") - F.col("place")
     at = start - F.col("first")

@@ -171,3 +171,11 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from veldspar.llm.ngram_join import jaccard_groups
 
     return jaccard_groups(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+@query("op8_line_dedup")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from veldspar.llm.line_dedup import line_classes
+
+    found = line_classes(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", F.size("repeats").alias("n_removed"), "n_links", "repeats")
