@@ -29,7 +29,7 @@ from veldspar.llm.text import Words, signed, slices
 
 WINDOW = 10
 SHINGLE = 3
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 28
 WORDS_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 

@@ -35,14 +35,14 @@ def candidates(tokens: DataFrame) -> DataFrame:
     return connected_components(star, "item", "head").withColumnRenamed("node", "item")
 
 
-def units(items: DataFrame) -> DataFrame:
+def units(items: DataFrame, block_load: int = BLOCK_LOAD, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(item, unit, side) for stored ``items`` (item, component, load, buckets)."""
     totals = items.groupBy("component").agg(F.sum("load").alias("load"), F.count("*").alias("n"))
-    need = F.ceil(F.greatest(F.col("load") / BLOCK_LOAD, F.col("n") / BLOCK_ITEMS)).cast("long")
+    need = F.ceil(F.greatest(F.col("load") / block_load, F.col("n") / block_items)).cast("long")
     totals = stored(totals.withColumn("blocks", F.greatest(need, F.lit(1))), "components")
     small = totals.filter("blocks = 1").agg(F.coalesce(F.sum("load"), F.lit(0)).alias("load"), F.count("*").alias("c"),
                                             F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    shards = max(1, -(-small["load"] // BLOCK_LOAD), -(-small["n"] // BLOCK_ITEMS))
+    shards = max(1, -(-small["load"] // block_load), -(-small["n"] // block_items))
     placed = items.join(totals.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")))
     alone = placed.filter("blocks = 1").select("item", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(shards))).alias("unit"),
                                                F.lit(0).alias("side"))

@@ -179,3 +179,12 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     found = line_classes(table(spark, folder, "documents"))
     return found.select("doc_id", "n_lines", F.size("repeats").alias("n_removed"), "n_links", "repeats")
+
+
+@query("op7_repeated_passages")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    from veldspar.llm.repeats import remove_repeats
+
+    found = remove_repeats(table(spark, folder, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

@@ -23,6 +23,7 @@ LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE_2 = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -46,12 +47,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any substrings of ``data`` from one prefix sum modulo 2**64."""
+    """Hashes of any substrings of ``data`` from one prefix sum modulo 2**64; ``second`` gives other hashes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, second: bool = False):
         up, self._down = _power(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self._sums[1:])
+        np.cumsum((_BYTE_2 if second else _BYTE)[data] * up[: len(data)], out=self._sums[1:])
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._sums[ends] - self._sums[starts]) * self._down[starts])
