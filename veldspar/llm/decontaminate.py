@@ -138,12 +138,13 @@ def _corpus_counts(docs: DataFrame, near: HashFilter) -> DataFrame:
 def _candidates(docs: DataFrame, near: HashFilter) -> DataFrame:
     """Every document with its number of words and the places whose shingle passes the filter, each with the words around it."""
     shared = docs.sparkSession.sparkContext.broadcast(near)
-    id_type = docs.schema["doc"].dataType
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
 
     def find(batches):
         item = pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("words", pa.string())])
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            names = [x for x in batch.schema.names if x != "text"]
+            for lo, hi, data, offsets in slices(batch.column("text")):
                 words = Words(data, offsets)
                 low = words.data.tobytes()
                 size = np.diff(words.offsets)
@@ -164,19 +165,20 @@ def _candidates(docs: DataFrame, near: HashFilter) -> DataFrame:
                 found = pa.StructArray.from_arrays([pa.array(signed(hash_)), pa.array((at - first).astype(np.int32)), pa.array((a - first).astype(np.int32)),
                                                     pa.array(around, pa.string())], fields=list(item))
                 ends = np.searchsorted(row[at], np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)),
-                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["doc", "n_words", "found"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(lo, hi - lo) for x in names), pa.array(size.astype(np.int64)),
+                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], [*names, "n_words", "found"])
 
-    schema = f"doc {id_type.simpleString()}, n_words long, found array<struct<shingle: long, at: int, first: int, words: string>>"
+    schema = f"{fields}, n_words long, found array<struct<shingle: long, at: int, first: int, words: string>>"
     return docs.mapInArrow(find, schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text") -> DataFrame:
-    """key, id_col, n_words, spans (array of first and end word of the hit runs), n_hit, items (sorted ids) of every document row."""
+                  item_text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """key, id_col, [row_col], n_words, spans (array of first and end word of the hit runs), n_hit, items (sorted ids) of every document row."""
     spark: SparkSession = docs.sparkSession
     prepare_workers(spark)
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    row = [F.col(row_col).alias("row")] if row_col else []
+    docs = docs.select(F.col(id_col).alias("doc"), *row, F.col(text_col).cast("string").alias("text"))
     of_items = stored(item_windows(items, item_col, item_text_col), "item-windows")
     windows = stored(of_items.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
     shingles = stored(_window_shingles(windows), "window-shingles")
@@ -201,7 +203,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     runs = runs.select("key", F.aggregate("runs", empty, merge).alias("spans"))
     keys = of_items.join(windows, "words").select("window", "item").filter("item IS NOT NULL")
     listed = hits.select("key", "window").distinct().join(keys, "window").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = found.select("key", "doc", "n_words").join(runs, "key", "left").join(listed, "key", "left")
+    row = ["row"] if row_col else []
+    out = found.select("key", "doc", *row, "n_words").join(runs, "key", "left").join(listed, "key", "left")
     n_hit = F.aggregate(F.coalesce("spans", empty), F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
-    return out.select("key", F.col("doc").alias(id_col), "n_words", F.coalesce("spans", empty).alias("spans"), n_hit.alias("n_hit"),
+    row = [F.col("row").alias(row_col)] if row_col else []
+    return out.select("key", F.col("doc").alias(id_col), *row, "n_words", F.coalesce("spans", empty).alias("spans"), n_hit.alias("n_hit"),
                       F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))

@@ -17,8 +17,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldspar.llm.tables import prepare_workers
 from veldspar.llm.text import mix
@@ -120,21 +121,20 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     return langs, np.vstack([np.log(body) - np.log(body.sum(0)), prior]).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: Column | str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; names of its columns must not be lang_pred or score."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", lang: str = "lang_pred", share: str = "score") -> DataFrame:
+    """``docs`` with two more columns, the predicted language and its score."""
     spark = docs.sparkSession
     prepare_workers(spark)
     langs, table = model
     shared = spark.sparkContext.broadcast(table)
-    width = len(docs.columns)
     fields = [*docs.schema.fields]
-    text_at = docs.columns.index(text) if isinstance(text, str) else width
+    text_at = docs.columns.index(text_col)
 
     def score(batches):
         table = shared.value
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
-            best, share = np.full(len(texts), -1), np.zeros(len(texts))
+            best, certain = np.full(len(texts), -1), np.zeros(len(texts))
             for lo, hi, bucket, offsets in ngram_slices(texts):
                 n = np.diff(offsets)
                 some = np.flatnonzero(n)
@@ -144,10 +144,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: Column |
                 scaled = (total - total.max(1, keepdims=True)) / np.sqrt(n[some])[:, None]
                 p = np.exp(scaled)
                 best[lo + some] = total.argmax(1)
-                share[lo + some] = 1 / p.sum(1)
+                certain[lo + some] = 1 / p.sum(1)
             names = pa.array([langs[i] if i >= 0 else UND for i in best], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(share, pa.float64())], [f.name for f in fields] + ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(certain, pa.float64())], [*(f.name for f in fields), lang, share])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(score, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*fields, T.StructField(lang, T.StringType()), T.StructField(share, T.DoubleType())]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +36,25 @@ def learnable(id_col: str, modulus: int, held_out: int):
     """(held out, learn from) conditions on crc32 of the id's text; a row without an id is not learnt from and not held out."""
     rest = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
     return F.coalesce(rest == held_out, F.lit(False)), F.coalesce(rest != held_out, F.lit(False))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def row_keyed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a key that stays with its row however often it is read.
+
+    Rows read from Parquet are known by their file and their place in it; other frames are stored first.
+    """
+    if "_metadata" not in df.columns:
+        file = F.hex(F.xxhash64("_metadata.file_path"))
+        try:
+            return df.select("*", F.concat(file, F.lit(":"), F.col("_metadata.row_index").cast("string")).alias(name))
+        except AnalysisException:
+            pass  # no files behind this frame
+    return stored(keyed(df, name).withColumn(name, F.col(name).cast("string")), "keyed-rows")
