@@ -72,12 +72,10 @@ def _ngrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         value = (value[:m] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) + code[n - 1:]
         if n not in ORDERS:
             continue
-        # within one row (the border after it may end an n-gram), with a letter, borders only at the ends
-        ok = letter[:m] if n == 1 else letter[1:m + 1] & (letter[:m] | letter[1:m + 1])
-        for j in range(1, n - 1):
+        # within one row; only the first and, from the third on, the last character may be a border
+        ok = letter[:m] if n == 1 else letter[1:m + 1] & (rows[1:m + 1] == rows[:m])
+        for j in range(2, n - 1):
             ok = ok & letter[j:j + m]
-        if n > 1:
-            ok = ok & (rows[1:m + 1] == rows[:m])
         out.append((mix(value[ok]) >> np.uint64(64 - BITS)).astype(np.int32))
         out_rows.append(rows[:m][ok])
     if not out:
