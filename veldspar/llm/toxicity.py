@@ -38,7 +38,7 @@ WORD_CHARS = 24
 TELLING_WORDS = 400
 TELLING_LANDMARKS = 32
 OTHER_LANDMARKS = 4
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 2_500
 SAMPLE_BYTES = 64 << 10
 MEMO_WORDS = 300_000
 
