@@ -34,17 +34,33 @@ ORACLE_FUNCTIONS = [
 ]
 
 
-def balanced(depth: int = 6) -> str:
-    """Pattern of a parenthesised group with literals and up to ``depth`` nested levels."""
-    inner = rf"[^()']++|{LITERAL}"
-    content = inner
-    for _ in range(depth):
-        content = rf"{inner}|\((?:{content})*+\)"
-    return rf"\(((?:{content})*+)\)"
+# A literal, a bracket or comma, or the text between them.
+PIECE = rf"{LITERAL}|[(),]|[^(),']+|'"
 
 
-GROUP = balanced()
-ITEM = rf"((?:[^,()']++|{LITERAL}|{balanced().replace('((?:', '(?:(?:', 1)})++)"
+def group_items(c: Column) -> Column:
+    """struct(whole, items, closed) of the first parenthesised group, nested to any depth.
+
+    One fold over the text's brackets and commas; commas inside nested groups or literals don't separate.  ``whole`` is the
+    group without its own brackets.  A group that never ends has ``closed`` false.
+    """
+    start = F.expr("named_struct('depth', 0, 'item', '', 'whole', '', 'items', cast(array() as array<string>), 'closed', false)")
+
+    def state(depth: Column, item: Column, whole: Column, items: Column, closed: Column) -> Column:
+        return F.struct(depth.alias("depth"), item.alias("item"), whole.alias("whole"), items.alias("items"), closed.alias("closed"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth, item, whole, items, open_ = acc["depth"], acc["item"], acc["whole"], acc["items"], F.lit(False)
+        trimmed = F.trim(item, F.lit(" \t\n"))
+        listed = F.when(trimmed == "", items).otherwise(F.array_append(items, trimmed))
+        grown = state(depth + F.when(piece == "(", 1).when(piece == ")", -1).otherwise(0), F.concat(item, piece), F.concat(whole, piece), items, open_)
+        return (F.when(acc["closed"] | ((depth == 0) & (piece != "(")), acc)
+                .when(depth == 0, state(F.lit(1), item, whole, items, open_))
+                .when((depth == 1) & (piece == ")"), state(F.lit(0), F.lit(""), whole, listed, F.lit(True)))
+                .when((depth == 1) & (piece == ","), state(depth, F.lit(""), F.concat(whole, piece), listed, open_))
+                .otherwise(grown))
+
+    return F.aggregate(F.regexp_extract_all(c, F.lit(PIECE), F.lit(0)), start, step)
 
 
 def strip_comments(c: Column) -> Column:
@@ -61,12 +77,6 @@ def _names(c: Column) -> Column:
     return F.transform(F.split(c, ","), lambda n: F.trim(n, F.lit(' \t\n"')))
 
 
-def _items(group: Column) -> Column:
-    """Top-level comma-separated items of a parenthesised group."""
-    return F.filter(F.transform(F.regexp_extract_all(group, F.lit(ITEM), F.lit(1)),
-                                lambda i: F.trim(i, F.lit(" \t\n"))), lambda i: i != "")
-
-
 def _of_type(stmts: DataFrame, *types: str) -> DataFrame:
     return stmts.filter(F.col("stmt_type").isin(*types))
 
@@ -98,8 +108,8 @@ _CONSTRAINT_ITEM = r"(?i)^(?:CONSTRAINT|PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE|CHECK
 def _table_items(stmts: DataFrame) -> DataFrame:
     text = strip_comments(F.col("text"))
     table = F.regexp_extract(text, rf"(?i){CREATE}TABLE\s+{QUALIFIED}", 2)
-    body = F.regexp_extract(text, GROUP, 1)
-    return unnest(_of_type(stmts, "CREATE_TABLE"), [*KEYS, table.alias("table_name")], _items(body), "pos", "item")
+    items = group_items(F.regexp_extract(text, r"(?s)\(.*$", 0))["items"]
+    return unnest(_of_type(stmts, "CREATE_TABLE"), [*KEYS, table.alias("table_name")], items, "pos", "item")
 
 
 def columns(stmts: DataFrame) -> DataFrame:
@@ -137,7 +147,7 @@ def constraints(stmts: DataFrame) -> DataFrame:
         F.when(keyed, _names(F.regexp_extract(rest, r"\(([^)]*)\)", 1))).alias("columns"),
         _extract(rest, ref, 1).alias("ref_table"),
         F.when(rest.rlike(rf"(?i)\bREFERENCES\s+[\w.]+\s*\("), _names(F.regexp_extract(rest, ref, 2))).alias("ref_columns"),
-        F.when(kind == "CHECK", F.trim(F.regexp_extract(rest, GROUP, 1))).alias("condition"),
+        F.when(kind == "CHECK", F.trim(group_items(rest)["whole"])).alias("condition"),
     )
 
 
@@ -148,10 +158,10 @@ def parameters(stmts: DataFrame) -> DataFrame:
     shape = r"(?is)^(\w+)\s+(?:(IN\s+OUT|IN|OUT)\b\s*)?(?:NOCOPY\s+)?(.+?)(?:\s*(?:\bDEFAULT\b|:=)\s*(.+))?$"
     base = _of_type(stmts, "CREATE_PROCEDURE", "CREATE_FUNCTION").select(
         *KEYS, F.regexp_extract(text, head, 2).alias("routine"), text.alias("text"),
-        F.regexp_extract(text, rf"{head}\s*{GROUP}", 3).alias("list"),
+        group_items(F.regexp_extract(text, rf"(?s){head}\s*(\(.*)$", 3))["items"].alias("list"),
         (F.col("stmt_type") == "CREATE_FUNCTION").alias("is_function"))
     item = F.col("item")
-    given = unnest(base, [*KEYS, "routine"], _items(F.col("list")), "pos", "item").select(
+    given = unnest(base, [*KEYS, "routine"], F.col("list"), "pos", "item").select(
         *KEYS, "routine", (F.col("pos") + 1).alias("position"),
         F.regexp_extract(item, shape, 1).alias("parameter"),
         F.coalesce(F.upper(F.regexp_replace(_extract(item, shape, 2), r"\s+", " ")), F.lit("IN")).alias("direction"),
@@ -190,20 +200,20 @@ def triggers(stmts: DataFrame) -> DataFrame:
         events.alias("events"),
         F.regexp_extract(head, rf"(?i)\bON\s+{QUALIFIED}", 2).alias("table_name"),
         head.rlike(r"(?i)\bFOR\s+EACH\s+ROW\b").alias("row_level"),
-        F.trim(_extract(head, rf"(?i)\bWHEN\s*{GROUP}")).alias("when_clause"))
+        F.nullif(F.trim(group_items(F.regexp_extract(head, r"(?is)\bWHEN\s*(\(.*)$", 1))["whole"]), F.lit("")).alias("when_clause"))
 
 
 def properties(stmts: DataFrame) -> DataFrame:
     """Index and sequence properties as a map; absent ones are left out."""
     text = strip_comments(F.col("text"))
-    index = rf"(?i)\bINDEX\s+{QUALIFIED}\s+ON\s+{QUALIFIED}\s*{GROUP}"
+    index = rf"(?is)\bINDEX\s+{QUALIFIED}\s+ON\s+{QUALIFIED}\s*(\(.*)$"
     number = r"\s+(-?\d+)"
     cycle = F.when(text.rlike(r"(?i)\bNOCYCLE\b"), "false").when(text.rlike(r"(?i)\bCYCLE\b"), "true").otherwise("false")
     of_index = {
         "unique": text.rlike(r"(?i)^CREATE\s+UNIQUE\b").cast("string"),
         "bitmap": text.rlike(r"(?i)^CREATE\s+(?:UNIQUE\s+)?BITMAP\b").cast("string"),
         "table": _extract(text, index, 4),
-        "columns": F.array_join(_items(F.regexp_extract(text, index, 5)), ","),
+        "columns": F.array_join(group_items(F.regexp_extract(text, index, 5))["items"], ","),
         "tablespace": _extract(text, r"(?i)\bTABLESPACE\s+(\w+)"),
     }
     of_sequence = {

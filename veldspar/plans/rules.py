@@ -315,9 +315,9 @@ def findings_flat(spark, d):
 def _compose_sql() -> str:
     used = {tid: [] for tid in LEDGER}
     by_hand = {  # rules listed twice under one id: which of their descriptions acts on the template
-        ("SX_STORAGE", 0): "TABLESPACE removed", ("SX_STORAGE", 1): "PCTFREE removed", ("SX_STORAGE", 2): "NOLOGGING removed",
-        ("FN_022", 0): "LISTAGG WITHIN GROUP to ordered STRING_AGG", ("SX_001", 0): "Query on DUAL", ("SX_001", 1): "FROM DUAL removed",
-        ("SX_009", 0): "TABLESPACE removed from index"}
+        ("SX_STORAGE", 0): "TABLESPACE: clause left out", ("SX_STORAGE", 1): "PCTFREE: clause left out",
+        ("SX_STORAGE", 2): "NOLOGGING: clause left out", ("FN_022", 0): "LISTAGG: kept, needs a decision",
+        ("SX_001", 0): "DUAL: kept, nothing to do", ("SX_001", 1): "DUAL: clause left out", ("SX_009", 0): "TABLESPACE: clause left out"}
     single = {r.rule_id: r.description for r in default_rules()}
     for tid, ids in LEDGER.items():
         seen: dict[str, int] = {}
