@@ -137,7 +137,7 @@ def test_compose_output_and_reports(spark):
     scripts = spark.createDataFrame([("f1", text), ("f2", "ALTER TABLE t ADD c NUMBER;")], "file_id string, text string")
     out = {r["file_id"]: r["text"] for r in reports.compose_output(scripts, default_rules(), datetime(2020, 1, 2, 3, 4, 5)).collect()}
     assert "-- Auto-converted: 2 | Review needed: 0 | Manual: 1" in out["f1"]
-    assert "--   [MANUAL] [PLSQL] PACKAGE to schema and functions" in out["f1"] and "SELECT COALESCE(a, 0) FROM t;" in out["f1"]
+    assert "--   [MANUAL] [PLSQL] PACKAGE: becomes -- [MANUAL] Nothing on the other side" in out["f1"] and "SELECT COALESCE(a, 0) FROM t;" in out["f1"]
     assert "Migration Changes" not in out["f2"] and "-- Generated: 2020-01-02 03:04:05" in out["f2"]
     done = R.rewrite(split_statements(scripts), default_rules())
     found = R.findings_of(done)

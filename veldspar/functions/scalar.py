@@ -7,6 +7,7 @@ is a string of length zero, not NULL.
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,9 +214,10 @@ def trunc_date(c, unit: str = "DD") -> Column:
 
 
 def trunc_num(c, digits: int = 0) -> Column:
-    """TRUNC(number, digits): towards zero."""
-    exact = as_col(c).cast(T.DecimalType(28, 10))
-    return F.when(exact < 0, -F.floor(-exact, F.lit(digits))).otherwise(F.floor(exact, F.lit(digits)))
+    """TRUNC(number, digits): towards zero, over the whole range of NUMBER as this library maps it (28 digits before the point)."""
+    exact = as_col(c).cast(T.DecimalType(38, 10))
+    rest = exact % F.lit(Decimal(1).scaleb(-digits))  # has the sign of the number
+    return (exact - rest).cast(T.DecimalType(38, max(digits, 0)))
 
 
 def trunc_ora(df: DataFrame, c, arg=None) -> Column:
@@ -256,6 +258,12 @@ def varray(c, limit: int) -> Column:
     ).otherwise(c)
 
 
+def varray_split(df: DataFrame, c: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose array fits VARRAY(limit), and those that an assignment would refuse; NULL fits."""
+    fits = F.coalesce(F.size(c) <= limit, F.lit(True)) | F.col(c).isNull()
+    return df.filter(fits), df.filter(~fits)
+
+
 def nested_table(df: DataFrame, c: str, name: str = "column_value") -> DataFrame:
     """TABLE(nested): one row per element with its position; empty arrays give no row."""
     kept = [F.col(x) for x in df.columns if x != c]

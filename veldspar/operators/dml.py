@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from veldspar.functions.scalar import as_col, sysdate
 from veldspar.operators.joins import compare_versions
 from veldspar.operators.sequences import nextval
 from veldspar.operators.skew import lookup_join, unique_or_raise
+from veldspar.session import materialize
 
 
 def _source_as(source: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -30,19 +32,22 @@ def merge_upsert(target: DataFrame, source: DataFrame, on: Sequence[str],
     occurs twice is an error, since the update would not be defined.
     """
     on = list(on)
-    single = unique_or_raise(source, on, "MERGE source holds a key twice")
-    joined = target.withColumn("_tgt", F.lit(True)).join(_source_as(single, on), on, "full")
-    matched = F.col("_tgt").isNotNull() & F.col("_src").isNotNull()
-    fresh = F.col("_tgt").isNull()
-    out = []
-    for c in target.columns:
-        if c in on:
-            out.append(F.col(c))
-            continue
-        value = F.when(matched, as_col(update[c])) if c in update else F.when(matched, F.col(c))
-        value = value.when(fresh, as_col(insert[c])) if c in insert else value.when(fresh, F.lit(None))
-        out.append(value.otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c))
-    return joined.select(*out)
+    single = materialize(unique_or_raise(source, on, "MERGE source holds a key twice"), "merge-source")
+    joined = lookup_join(target, _source_as(single, on), on, "left")
+    hit = F.col("_src").isNotNull()
+    kept = joined.select(*[
+        F.when(hit, as_col(update[c])).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c)
+        if c in update and c not in on else F.col(c)
+        for c in target.columns
+    ])
+    # the target's keys are combined before they meet the source, so a key it repeats is one row here
+    fresh = _source_as(single, on).join(target.select(*on).distinct(), on, "left_anti")
+    nothing = [F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns if c not in on]
+    added = fresh.select("*", *nothing).select(*[
+        F.col(c) if c in on else (as_col(insert[c]) if c in insert else F.col(c)).cast(target.schema[c].dataType).alias(c)
+        for c in target.columns
+    ])
+    return kept.unionByName(added)
 
 
 def update_by_key(target: DataFrame, changes: DataFrame, on: Sequence[str],
@@ -60,7 +65,8 @@ def update_by_key(target: DataFrame, changes: DataFrame, on: Sequence[str],
         if c in set else F.col(c)
         for c in target.columns
     ])
-    touched = target.groupBy(*on).agg(F.count(F.lit(1)).alias("row_count"))
+    mine = target.join(changes.select(*on).distinct(), on, "left_semi")
+    touched = mine.groupBy(*on).agg(F.count(F.lit(1)).alias("row_count"))
     status = changes.select(*on).distinct().join(touched, on, "left").select(
         *on,
         F.coalesce("row_count", F.lit(0)).alias("row_count"),
@@ -78,20 +84,21 @@ def insert_unique(target: DataFrame, rows: DataFrame, key: Sequence[str],
                   order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """INSERT under a unique key; returns the new table and the rejected rows.
 
-    Of new rows sharing a key the first in ``order`` (total within a key) enters.  The first of a
+    Of new rows sharing a key the first in ``order`` (total within a key; NULLs first) enters.  The first of a
     key comes from a combined minimum and rejects are found by (key, order), so a key repeated in a
-    large part of the batch is not gathered anywhere.
+    large part of the batch is not gathered anywhere.  A key with a NULL in it never violates uniqueness.
     """
     key, order = list(key), list(order)
-    if len(order) == 1:  # a plain minimum stays a hash aggregate
-        firsts = rows.groupBy(*key).agg(F.min(order[0]).alias(order[0]))
-    else:
-        firsts = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first")).select(*key, "_first.*")
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    free, bound = rows.filter(~whole), rows.filter(whole)
+    firsts = bound.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first")).select(*key, "_first.*")
     taken = target.select(*key).distinct()
     winners = firsts.join(taken, key, "left_anti")
-    whole = key + [o for o in order if o not in key]
-    accepted = rows.join(winners, whole, "left_semi")
-    rejects = rows.join(winners, whole, "left_anti")
+    names = key + [o for o in order if o not in key]
+    winners = winners.select(*[F.col(c).alias(f"_w_{c}") for c in names])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in names])
+    accepted = bound.join(winners, same, "left_semi").unionByName(free)
+    rejects = bound.join(winners, same, "left_anti")
     return target.unionByName(accepted.select(*target.columns)), rejects
 
 

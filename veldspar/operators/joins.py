@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,13 @@ def compare_versions(old: DataFrame, new: DataFrame, key: Sequence[str],
                      cols: Sequence[str]) -> DataFrame:
     """Pair two versions of a keyed table: key, change, and old_/new_ value of each column.
 
-    ``change`` is INSERT, DELETE, UPDATE or SAME.  The key is unique in both versions, so one
-    shuffle per side on it is even.
+    ``change`` is INSERT, DELETE, UPDATE or SAME.  A key that occurs twice in a version is an error; the count shuffles as
+    the join needs it.  Rows without a whole key match nothing and stay out of the join.
     """
     key, cols = list(key), list(cols)
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    stray = [v.filter(~whole) for v in (old, new)]
+    old, new = (unique_or_raise(v.filter(whole).select(*key, *cols), key, "a version holds a key twice") for v in (old, new))
     left = old.select(*key, *[F.col(c).alias(f"old_{c}") for c in cols], F.lit(True).alias("_in_old"))
     right = new.select(*key, *[F.col(c).alias(f"new_{c}") for c in cols], F.lit(True).alias("_in_new"))
     same = F.lit(True)
@@ -46,8 +50,10 @@ def compare_versions(old: DataFrame, new: DataFrame, key: Sequence[str],
         .when(same, "SAME")
         .otherwise("UPDATE")
     )
-    pairs = left.join(right, key, "full").withColumn("change", change)
-    return pairs.drop("_in_old", "_in_new")
+    pairs = left.join(right, key, "full").withColumn("change", change).drop("_in_old", "_in_new")
+    gone = stray[0].select(*key, *[F.col(c).alias(f"old_{c}") for c in cols], F.lit("DELETE").alias("change"))
+    come = stray[1].select(*key, *[F.col(c).alias(f"new_{c}") for c in cols], F.lit("INSERT").alias("change"))
+    return pairs.unionByName(gone, allowMissingColumns=True).unionByName(come, allowMissingColumns=True)
 
 
 def lookup_one(df: DataFrame, ref: DataFrame, keys: Sequence[str], cols: Sequence[str],

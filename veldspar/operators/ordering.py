@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldspar.operators.windows import rownum
 
-# Largest offset + n that is answered by a heap; deeper pages are cut by row number.
+# Largest offset + n that is answered by a heap; deeper pages are cut by row number.  Both ways give the same rows.
 TOP_K_ROWS = 10_000
 
 
@@ -38,8 +39,14 @@ def limit_rownum(df: DataFrame, n: int, order: Sequence[str] | None = None) -> D
 
 
 def page(df: DataFrame, order: Sequence[str], offset: int, n: int) -> DataFrame:
-    """OFFSET/FETCH.  A deep page is cut by row number, so its prefix never meets in one task."""
+    """OFFSET/FETCH.  A deep page is cut by row number, so its prefix never meets in one task.
+
+    Rows equal in ``order`` are told apart by the other columns, so the page is the same whichever way it is cut.
+    """
+    named = {spec.partition(" ")[0] for spec in order}
+    rest = [f.name for f in df.schema if f.name not in named and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keys = ora_keys(*order, *rest)
     if offset + n <= TOP_K_ROWS:
-        return df.orderBy(*ora_keys(*order)).offset(offset).limit(n)
-    numbered = rownum(df, ora_keys(*order), "_rn")
+        return df.orderBy(*keys).offset(offset).limit(n)
+    numbered = rownum(df, keys, "_rn")
     return numbered.filter(F.col("_rn").between(offset + 1, offset + n)).drop("_rn")

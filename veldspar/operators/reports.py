@@ -13,6 +13,7 @@ from veldspar.operators.rule_table import SEVERITIES, Rule
 from veldspar.operators.rules import rewrite_sql, rule_facts, rules_list
 from veldspar.operators.skew import lookup_join
 from veldspar.operators.statements import classify, statement_structs
+from veldspar.session import materialize
 
 
 def _severity_counts() -> list[Column]:
@@ -51,8 +52,12 @@ def review_items(findings: DataFrame) -> DataFrame:
 
 
 def file_details(findings: DataFrame) -> DataFrame:
-    """Findings beside the counts of their file, one row per finding."""
-    return lookup_join(findings, file_counts(findings), ["file_id"], "inner")
+    """Findings beside the counts of their file, one row per finding.
+
+    The findings are stored once: they are counted per file and read again for the rows.
+    """
+    once = materialize(findings, "findings")
+    return lookup_join(once, file_counts(once), ["file_id"], "inner")
 
 
 def findings_flat(findings: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import astuple, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions.arrays import unnest
@@ -18,6 +18,9 @@ RULE_SCHEMA = (
 )
 
 
+# Rules become literals of the plan; more than this is not configuration any more.
+MOST_RULES = 5_000
+
 # --- the registry as a table ----------------------------------------------------------------
 
 def rules_df(spark: SparkSession, rules: Iterable[Rule] | None = None) -> DataFrame:
@@ -30,7 +33,9 @@ def rules_list(rules: DataFrame | Iterable[Rule]) -> list[Rule]:
     if not isinstance(rules, DataFrame):
         return sorted(rules, key=lambda r: r.rule_order)
     names = [f.name for f in fields(Rule)]
-    rows = rules.select(*names).orderBy("rule_order", "rule_id").collect()
+    rows = rules.select(*names).orderBy("rule_order", "rule_id").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a rule table has at most {MOST_RULES} rows")
     return [Rule(**{**r.asDict(), "scope": tuple(r["scope"] or ())}) for r in rows]
 
 
@@ -83,8 +88,11 @@ def select_rules(rules: DataFrame, toggles: Mapping[str, bool] | None = None,
 
 
 def add_user_rules(rules: DataFrame, user_rules: DataFrame) -> DataFrame:
-    """User rules come last unless they carry a rule_order of their own."""
-    return rules.unionByName(user_rules)
+    """User rules come last, in the order of their ids, unless they carry a rule_order of their own."""
+    last = rules.agg(F.coalesce(F.max("rule_order"), F.lit(0))).first()[0]
+    place = F.row_number().over(Window.orderBy("rule_id", "pattern"))  # a rule table is configuration, see rules_list
+    unset = user_rules.filter("rule_order = 0").withColumn("rule_order", (F.lit(last) + place).cast("int"))
+    return rules.unionByName(user_rules.filter("rule_order <> 0")).unionByName(unset)
 
 
 # --- scan -----------------------------------------------------------------------------------
@@ -141,8 +149,8 @@ def locate_matches(findings: DataFrame, rules: DataFrame | Iterable[Rule], text:
     """Position of each finding's first match in its text, and the line it lies on."""
     ruleset = rules_list(rules)
     patterns = F.array(*[F.lit(r.pattern) for r in ruleset])
-    order = F.array(*[F.lit(r.rule_order) for r in ruleset])
-    pattern = F.element_at(patterns, F.array_position(order, F.col("rule_order")).cast("int"))
+    names = F.array(*[F.lit(f"{r.rule_order} {r.rule_id}") for r in ruleset])
+    pattern = F.element_at(patterns, F.array_position(names, F.concat_ws(" ", "rule_order", "rule_id")).cast("int"))
     placed = findings.withColumn("match_pos", F.regexp_instr(F.col(text), pattern))
     before = F.substring(F.col(text), F.lit(1), F.col("match_pos") - 1)
     down = F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,6 @@ HOT_ROWS = 2_000_000
 # Bounds under which a side may be broadcast.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
-MAX_SALTS = 4096
 
 
 def _wide_bytes(field: T.StructField) -> Column | None:
@@ -55,50 +54,55 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys owning more than ``hot_rows`` rows: at most total / hot_rows of them."""
+    """Keys owning more than ``hot_rows`` rows, at most total / hot_rows of them, with the parts ``_parts`` each is cut into."""
     present = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    return present.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
+    counted = present.groupBy(*keys).count().filter(F.col("count") > hot_rows)
+    return counted.select(*keys, F.ceil(F.col("count") / F.lit(max(hot_rows, 1))).cast("int").alias("_parts"))
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``df`` with a lookup that has one row per key, whatever the spread of keys in ``df``.
 
-    A lookup within the broadcast bounds is broadcast.  Otherwise, if some key owns more than
-    ``hot_rows`` rows, the rows of hot keys get a salt and meet one copy of their lookup row per
-    salt, while all other rows are joined by key as usual.
+    The lookup is stored once, so that counting it doesn't work it out again.  One within the broadcast bounds is
+    broadcast.  Otherwise, if some key owns more than ``hot_rows`` rows, the rows of hot keys get a salt and meet one copy
+    of their lookup row per salt, while all other rows are joined by key as usual.
     """
     keys = list(keys)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join keeps the rows of its left side, not {how!r}")
+    lookup = materialize(lookup, "lookup")
     if fits_broadcast(lookup):
         return df.join(F.broadcast(lookup), keys, how)
     largest = largest_group(df, keys)
     if largest <= hot_rows:
         return df.join(lookup, keys, how)
-    return _salted_join(df, lookup, keys, how, hot_rows, min(-(-largest // max(hot_rows, 1)), MAX_SALTS))
+    return _salted_join(df, lookup, keys, how, hot_rows, -(-largest // max(hot_rows, 1)))
 
 
-def _salted_join(df: DataFrame, lookup: DataFrame, keys: list[str], how: str, hot_rows: int, salts: int) -> DataFrame:
-    hot = hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True))
-    hot = maybe_broadcast(materialize(hot, "hot-keys"))
-    # The input partition is a salt that stays the same if a task is run again.
-    by_task = F.pmod(F.spark_partition_id(), F.lit(salts))
-    placed = df.withColumn("_task", by_task).join(hot, keys, "left")
+def row_salt(df: DataFrame, salts: Column) -> Column:
+    """A number below ``salts`` from the row's own values: the same if a task runs again, whatever partition the row is in."""
+    hashed = [F.col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.pmod(F.xxhash64(*hashed), salts.cast("bigint")).cast("int")
+
+
+def _salted_join(df: DataFrame, lookup: DataFrame, keys: list[str], how: str, hot_rows: int, most: int) -> DataFrame:
+    hot = maybe_broadcast(materialize(hot_keys(df, keys, hot_rows), "hot-keys"))
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])  # matches nothing, goes anywhere
-    left = placed.withColumn("_salt", F.when(F.coalesce("_hot", F.lit(False)) | no_key, F.col("_task")).otherwise(0))
-    copies = F.when(F.coalesce("_hot", F.lit(False)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.drop("_hot", "_task").join(right, [*keys, "_salt"], how).drop("_salt")
+    parts = F.when(no_key, F.lit(most)).otherwise(F.coalesce("_parts", F.lit(1)))
+    left = df.join(hot, keys, "left").withColumn("_salt", row_salt(df, parts)).drop("_parts")
+    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_parts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def unique_or_raise(df: DataFrame, keys: Sequence[str], message: str) -> DataFrame:
     """``df`` unchanged, failing when read if two rows share a key.
 
-    A row number over the key shuffles and sorts as the following key join needs anyway, so the
-    check adds no exchange of its own.
+    Keys are counted with a combined aggregate, so a key repeated very often is noticed without gathering its rows.
     """
     keys = list(keys)
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    guard = F.when(number > 1, F.raise_error(F.lit(message))).otherwise(F.lit(True))
-    return df.withColumn("_single", guard).filter("_single").drop("_single")
+    others = [F.first(c).alias(c) for c in df.columns if c not in keys]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"), *others)
+    guard = F.when(F.col("_count") > 1, F.raise_error(F.lit(message))).otherwise(F.lit(True))
+    return counted.filter(guard).select(*df.columns)

@@ -214,7 +214,7 @@ def nextval_cycle(spark, d):
     return sequences.nextval(o, ["o_orderkey"], start=100, inc=10, minv=5, maxv=995, cycle=True)
 
 
-@query("nextval_blocks")
+@query("nextval_blocks", "SELECT count(*) AS ids, count(*) AS n FROM lineitem")
 def nextval_blocks(spark, d):
     ids = sequences.nextval_blocks(load(spark, d, "lineitem").select("l_orderkey"), cache=20)
     return ids.agg(F.count_distinct("nextval").alias("ids"), F.count(F.lit(1)).alias("n"))

@@ -134,10 +134,10 @@ def listagg_by_order(spark, d):
 
 @query("wm_concat", """
 SELECT l_returnflag, string_agg(CAST(l_quantity AS BIGINT)::VARCHAR, ',' ORDER BY CAST(l_quantity AS BIGINT)::VARCHAR) AS wm_concat
-FROM lineitem WHERE l_linenumber = 7 GROUP BY l_returnflag
+FROM lineitem GROUP BY l_returnflag
 """)
 def wm_concat(spark, d):
-    q = load(spark, d, "lineitem").filter("l_linenumber = 7").select(
+    q = load(spark, d, "lineitem").select(
         "l_returnflag", F.col("l_quantity").cast("bigint").cast("string").alias("q"))
     return aggregates.wm_concat(q, ["l_returnflag"], "q")
 

@@ -60,7 +60,7 @@ def _rule_rows(found: dict[int, str]) -> dict[int, list[tuple]]:
 
 
 _COLUMNS = "tid, pos, rule_id, category, severity, line"
-_LEDGER_SQL = per_template(_rule_rows(LEDGER), _COLUMNS)
+LEDGER_SQL = per_template(_rule_rows(LEDGER), _COLUMNS)
 _SCAN_SQL = per_template(_rule_rows(SCANNED), _COLUMNS)
 _NEW_SQL = per_template({t: [(x,)] for t, x in REWRITTEN.items()}, "tid, new_text")
 _LINE_SQL = f"""placed AS (SELECT s.*, 1 + skip + CAST(coalesce(sum(lines) OVER
@@ -130,7 +130,7 @@ def rewrite_text(spark, d):
 
 
 @query("rewrite_ledger", f"""
-WITH {STATEMENTS_SQL} SELECT file_id, stmt_no, pos AS finding_no, rule_id, category, severity FROM stmts JOIN {_LEDGER_SQL} USING (tid)
+WITH {STATEMENTS_SQL} SELECT file_id, stmt_no, pos AS finding_no, rule_id, category, severity FROM stmts JOIN {LEDGER_SQL} USING (tid)
 """)
 def rewrite_ledger(spark, d):
     return findings(spark, d).select("file_id", "stmt_no", "finding_no", "rule_id", "category", "severity")
@@ -151,7 +151,7 @@ def rewrite_distinct(spark, d):
 
 
 @query("rewrite_scoped", f"""
-WITH {STATEMENTS_SQL} SELECT file_id, stmt_no, rule_id FROM stmts JOIN {_LEDGER_SQL} USING (tid)
+WITH {STATEMENTS_SQL} SELECT file_id, stmt_no, rule_id FROM stmts JOIN {LEDGER_SQL} USING (tid)
 WHERE category IN ('DATATYPE', 'SEQUENCE', 'TRIGGER') AND rule_id <> 'TR_001'
 """)
 def rewrite_scoped(spark, d):
@@ -169,7 +169,7 @@ def rewrite_fixpoint(spark, d):
 
 
 @query("severity_counts", f"""
-WITH {STATEMENTS_SQL} SELECT severity, count(*) AS n FROM stmts JOIN {_LEDGER_SQL} USING (tid) GROUP BY severity
+WITH {STATEMENTS_SQL} SELECT severity, count(*) AS n FROM stmts JOIN {LEDGER_SQL} USING (tid) GROUP BY severity
 """)
 def severity_counts(spark, d):
     return reports.severity_counts(findings(spark, d))
@@ -203,7 +203,7 @@ def _with_use(spark, d, table):
 def _use_sql(where: str) -> str:
     rows = ", ".join(sorted({f"('{r.rule_id}', '{r.category}', '{r.severity_override or r.severity}', '{r.mode}')" for r in default_rules()}))
     return f"""WITH {STATEMENTS_SQL}, r(rule_id, category, severity, mode) AS (VALUES {rows}),
-u AS (SELECT rule_id, count(*) AS n FROM stmts JOIN {_LEDGER_SQL} USING (tid) GROUP BY rule_id)
+u AS (SELECT rule_id, count(*) AS n FROM stmts JOIN {LEDGER_SQL} USING (tid) GROUP BY rule_id)
 SELECT DISTINCT r.rule_id, r.category, coalesce(n, 0) AS findings FROM r LEFT JOIN u ON u.rule_id = r.rule_id WHERE {where}"""
 
 
@@ -232,7 +232,7 @@ def select_rules(spark, d):
 
 @query("file_counts", f"""
 WITH {STATEMENTS_SQL} SELECT file_id, count(*) FILTER (severity = 'AUTO') AS auto, count(*) FILTER (severity = 'REVIEW') AS review,
-       count(*) FILTER (severity = 'MANUAL') AS manual, count(*) AS total FROM stmts JOIN {_LEDGER_SQL} USING (tid) GROUP BY file_id
+       count(*) FILTER (severity = 'MANUAL') AS manual, count(*) AS total FROM stmts JOIN {LEDGER_SQL} USING (tid) GROUP BY file_id
 """)
 def file_counts(spark, d):
     return reports.file_counts(findings(spark, d))
@@ -240,14 +240,14 @@ def file_counts(spark, d):
 
 @query("category_matrix", f"""
 WITH {STATEMENTS_SQL} SELECT category, count(*) FILTER (severity = 'AUTO') AS auto, count(*) FILTER (severity = 'REVIEW') AS review,
-       count(*) FILTER (severity = 'MANUAL') AS manual, count(*) AS total FROM stmts JOIN {_LEDGER_SQL} USING (tid) GROUP BY category
+       count(*) FILTER (severity = 'MANUAL') AS manual, count(*) AS total FROM stmts JOIN {LEDGER_SQL} USING (tid) GROUP BY category
 """)
 def category_matrix(spark, d):
     return reports.category_matrix(findings(spark, d))
 
 
 @query("run_totals", f"""
-WITH {STATEMENTS_SQL}, f AS (SELECT * FROM stmts JOIN {_LEDGER_SQL} USING (tid))
+WITH {STATEMENTS_SQL}, f AS (SELECT * FROM stmts JOIN {LEDGER_SQL} USING (tid))
 SELECT (SELECT count(DISTINCT file_id) FROM stmts) AS files, count(*) AS changes, count(*) FILTER (severity = 'AUTO') AS auto,
        count(*) FILTER (severity = 'REVIEW') AS review, count(*) FILTER (severity = 'MANUAL') AS manual, 0::BIGINT AS errors FROM f
 """)
@@ -258,7 +258,7 @@ def run_totals(spark, d):
 
 
 @query("review_items", f"""
-WITH {STATEMENTS_SQL}, {_LINE_SQL} SELECT file_id, stmt_no, stmt_line, rule_id, severity FROM placed JOIN {_LEDGER_SQL} USING (tid)
+WITH {STATEMENTS_SQL}, {_LINE_SQL} SELECT file_id, stmt_no, stmt_line, rule_id, severity FROM placed JOIN {LEDGER_SQL} USING (tid)
 WHERE severity IN ('REVIEW', 'MANUAL')
 """)
 def review_items(spark, d):
@@ -266,7 +266,7 @@ def review_items(spark, d):
 
 
 @query("file_details", f"""
-WITH {STATEMENTS_SQL}, f AS (SELECT * FROM stmts JOIN {_LEDGER_SQL} USING (tid)),
+WITH {STATEMENTS_SQL}, f AS (SELECT * FROM stmts JOIN {LEDGER_SQL} USING (tid)),
 c AS (SELECT file_id, count(*) FILTER (severity = 'AUTO') AS auto, count(*) FILTER (severity = 'REVIEW') AS review, count(*) AS total FROM f GROUP BY 1)
 SELECT file_id, auto, review, total, stmt_no, pos AS finding_no, rule_id, severity FROM f JOIN c USING (file_id)
 """)
@@ -292,27 +292,15 @@ def _message_case(column: str) -> str:
 
 @query("localized_findings", f"""
 WITH {STATEMENTS_SQL} SELECT file_id, stmt_no, pos AS finding_no, rule_id, {_message_case('rule_id')} AS message
-FROM stmts JOIN {_LEDGER_SQL} USING (tid)
+FROM stmts JOIN {LEDGER_SQL} USING (tid)
 """)
 def localized_findings(spark, d):
     found = findings(spark, d).select("file_id", "stmt_no", "finding_no", "rule_id")
     return joins.localize(found, _messages(spark), "ja", key="rule_id")
 
 
-@query("findings_flat", f"""
-WITH {STATEMENTS_SQL}, {_LINE_SQL}, t(rule_id, description) AS (VALUES {", ".join(sorted({
-    f"('{r.rule_id}', '{r.description.replace(chr(39), chr(39) * 2)}')" for r in default_rules()
-    if r.rule_id in ("FN_001", "FN_003", "SX_007", "SYN_001", "SEQ_002", "SEQ_003", "SEQ_004")}))})
-SELECT file_id AS file, rule_id, category, severity, description, {_message_case('rule_id')} AS description_local, stmt_line AS line
-FROM placed JOIN {_LEDGER_SQL} USING (tid) JOIN t USING (rule_id)
-""")
-def findings_flat(spark, d):
-    listed = ["FN_001", "FN_003", "SX_007", "SYN_001", "SEQ_002", "SEQ_003", "SEQ_004"]
-    found = findings(spark, d).filter(F.col("rule_id").isin(listed))
-    return reports.findings_flat(joins.localize(found, _messages(spark), "ja", key="rule_id"))
-
-
-def _compose_sql() -> str:
+def _described() -> dict[int, list[tuple]]:
+    """(pos, rule id, category, severity, description) of each template's findings."""
     used = {tid: [] for tid in LEDGER}
     by_hand = {  # rules listed twice under one id: which of their descriptions acts on the template
         ("SX_STORAGE", 0): "TABLESPACE: clause left out", ("SX_STORAGE", 1): "PCTFREE: clause left out",
@@ -325,7 +313,21 @@ def _compose_sql() -> str:
             text = by_hand.get((rule_id, seen.get(rule_id, 0)), single[rule_id])
             seen[rule_id] = seen.get(rule_id, 0) + 1
             severity = "REVIEW" if rule_id in REVIEWED else "AUTO"
-            used[tid].append((pos + 1, severity, f"--   [{severity}] [{CATEGORY[rule_id.split('_')[0]]}] {text}"))
+            used[tid].append((pos + 1, rule_id, CATEGORY[rule_id.split("_")[0]], severity, text))
+    return used
+
+
+@query("findings_flat", f"""
+WITH {STATEMENTS_SQL}, {_LINE_SQL} SELECT file_id AS file, rule_id, category, severity, description, {_message_case('rule_id')} AS description_local,
+       stmt_line AS line FROM placed JOIN {per_template(_described(), "tid, pos, rule_id, category, severity, description")} USING (tid)
+""")
+def findings_flat(spark, d):
+    return reports.findings_flat(joins.localize(findings(spark, d), _messages(spark), "ja", key="rule_id"))
+
+
+def _compose_sql() -> str:
+    used = {tid: [(pos, severity, f"--   [{severity}] [{category}] {text}") for pos, _, category, severity, text in rows]
+            for tid, rows in _described().items()}
     line = reports.RULE
     return f"""
 WITH {STATEMENTS_SQL}, f AS (SELECT * FROM stmts JOIN {per_template(used, "tid, pos, severity, label")} USING (tid)),
