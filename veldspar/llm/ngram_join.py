@@ -185,7 +185,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_class = classes.select("class", "item", "copies").join(sums, "item", "left").join(groups, "item", "left")
     rows_ = every.drop("bands").join(of_class, "class", "left").withColumn("group_key", F.coalesce("component", "item", "key"))
     rows_ = stored(rows_.select("doc", *(["row"] if row_col else []), "key", "item", "group_key", "copies", "linked"), "grouped")
-    names = rows_.groupBy("group_key").agg(F.min("doc").alias("class_id"))
+    # stored, so that the join has two plain sides and a large group is split
+    names = stored(rows_.groupBy("group_key").agg(F.min("doc").alias("class_id")), "group-names")
     n_links = F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
     return rows_.join(names, "group_key").select(F.col("doc").alias(id_col), *([F.col("row").alias(row_col)] if row_col else []), "key", "item", "group_key",
                                                  "class_id", n_links.alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
