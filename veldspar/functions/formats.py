@@ -26,6 +26,8 @@ ELEMENTS = {
     "PM": "a",
     "Q": "q",
 }
+# Elements of two digits that may be written with one.
+SHORT = ("MM", "DD", "HH24", "HH12", "HH", "MI", "SS")
 NAMES = ("MONTH", "MON", "DAY", "DY", "AM", "PM")
 
 _TOKEN = re.compile(
@@ -67,8 +69,21 @@ def format_pieces(model: str) -> list[tuple[str, str]]:
 
 
 def spark_pattern(model: str) -> str:
-    """The whole model as one pattern, ignoring letter case (used for parsing)."""
-    return "".join(pattern for pattern, _ in format_pieces(model))
+    """The whole model as one pattern for parsing: letter case doesn't count, and numbers between separators may have one digit."""
+    tokens = list(_TOKEN.finditer(model))
+    out = []
+    for i, token in enumerate(tokens):
+        word = (token["elem"] or "").upper()
+        beside = tokens[max(i - 1, 0):i] + tokens[i + 1:i + 2]
+        if word in SHORT and all(t["other"] is not None or t["quoted"] is not None for t in beside):
+            out.append(ELEMENTS[word][0])
+        else:
+            out.append("".join(pattern for pattern, _ in format_pieces(token[0])))
+    return "".join(out)
+
+
+def has_element(model: str, element: str) -> bool:
+    return any((token["elem"] or "").upper() == element for token in _TOKEN.finditer(model))
 
 
 def has_names(model: str) -> bool:

@@ -7,13 +7,12 @@ is a string of length zero, not NULL.
 from __future__ import annotations
 
 from datetime import datetime
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldspar.functions.formats import format_pieces, has_names, spark_pattern
+from veldspar.functions.formats import format_pieces, has_element, has_names, spark_pattern
 
 
 def as_col(value) -> Column:
@@ -133,7 +132,10 @@ def to_date_ora(c, model: str) -> Column:
     c = as_col(c)
     if has_names(model):
         c = F.initcap(c)
-    return F.call_function("try_to_timestamp", c, F.lit(spark_pattern(model))).cast("timestamp_ntz")
+    parsed = F.call_function("try_to_timestamp", c, F.lit(spark_pattern(model))).cast("timestamp_ntz")
+    if has_element(model, "RR"):  # two digits from 50 on mean the century before
+        parsed = F.when(F.year(parsed) >= 2050, parsed - F.expr("INTERVAL '100' YEAR")).otherwise(parsed)
+    return parsed
 
 
 def to_char_ora(c, model: str) -> Column:
@@ -216,8 +218,7 @@ def trunc_date(c, unit: str = "DD") -> Column:
 def trunc_num(c, digits: int = 0) -> Column:
     """TRUNC(number, digits): towards zero, over the whole range of NUMBER as this library maps it (28 digits before the point)."""
     exact = as_col(c).cast(T.DecimalType(38, 10))
-    rest = exact % F.lit(Decimal(1).scaleb(-digits))  # has the sign of the number
-    return (exact - rest).cast(T.DecimalType(38, max(digits, 0)))
+    return F.when(exact < 0, -F.floor(-exact, F.lit(digits))).otherwise(F.floor(exact, F.lit(digits)))
 
 
 def trunc_ora(df: DataFrame, c, arg=None) -> Column:
