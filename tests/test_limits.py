@@ -128,3 +128,46 @@ def test_varray_refuses_longer_arrays(spark):
     df = spark.createDataFrame([(1, [1, 2]), (2, [1, 2, 3]), (3, None)], "id int, a array<int>")
     kept, refused = S.varray_split(df, "a", 2)
     assert [r.id for r in kept.collect()] == [1, 3] and [r.id for r in refused.collect()] == [2]
+
+
+def test_anonymous_blocks_are_one_statement(spark):
+    text = """SELECT 1 FROM DUAL;
+DECLARE
+  v NUMBER; -- a; comment
+BEGIN
+  v := 1; IF v > 0 THEN NULL; END IF;
+  BEGIN
+    NULL;
+  END;
+END;
+/
+BEGIN NULL; END;
+UPDATE t SET a = 1
+WHERE b = 'BEGIN';
+begin
+  /* END; */
+  x('END;');
+end;
+/
+CREATE OR REPLACE EDITIONABLE PROCEDURE p IS
+BEGIN
+  NULL;
+END;
+/
+CREATE TYPE BODY ty AS
+  MEMBER FUNCTION f RETURN NUMBER IS
+  BEGIN
+    RETURN 1;
+  END;
+END;
+/
+BEGIN
+  NULL;
+END last_one;
+DELETE FROM t;"""
+    rows = _stmts(spark, text).orderBy("stmt_no").collect()
+    assert [(r.stmt_type, r.stmt_line) for r in rows] == [
+        ("SELECT", 1), ("DECLARE_BLOCK", 2), ("BEGIN_BLOCK", 11), ("UPDATE", 12), ("BEGIN_BLOCK", 14), ("CREATE_PROCEDURE", 19), ("CREATE_TYPE", 24),
+        ("BEGIN_BLOCK", 31), ("DELETE", 34)]
+    lines = text.split("\n")
+    assert rows[1].text == "\n".join(lines[1:9]) and rows[4].text == "\n".join(lines[13:17]) and rows[7].text == "\n".join(lines[30:33])

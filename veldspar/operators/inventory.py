@@ -17,7 +17,7 @@ KEYS = ["file_id", "stmt_no"]
 # Names, and the DDL words that may stand between CREATE and the object kind.
 NAME = r'"?(\w+)"?'
 QUALIFIED = rf'(?:{NAME}\s*\.\s*)?{NAME}'
-CREATE = r"^CREATE\s+(?:(?:OR\s+REPLACE|GLOBAL\s+TEMPORARY|UNIQUE|BITMAP|FORCE|PUBLIC)\s+)*+"
+CREATE = r"^CREATE\s+(?:(?:OR\s+REPLACE|GLOBAL\s+TEMPORARY|UNIQUE|BITMAP|FORCE|PUBLIC|EDITIONABLE|NONEDITIONABLE)\s+)*+"
 OBJECT_KINDS = (
     r"(TABLE|INDEX|MATERIALIZED\s+VIEW|VIEW|SEQUENCE|SYNONYM|PACKAGE\s+BODY|PACKAGE|PROCEDURE|FUNCTION|TRIGGER)"
 )

@@ -15,7 +15,8 @@ from veldspar.functions.text import BLOCK_COMMENT, LINE_COMMENT, LITERAL, mask_s
 # How statements begin and end in a script.
 GAP = rf"(?:\s++|{LINE_COMMENT}|{BLOCK_COMMENT})++"
 LEAD = rf"(?:\s++|{LINE_COMMENT}|{BLOCK_COMMENT})*+"
-BLOCK_OPENER = r"CREATE\s+(?:OR\s+REPLACE\s+)?(?:PACKAGE|PROCEDURE|FUNCTION|TRIGGER)\b"
+BLOCK_OPENER = r"CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:NON)?EDITIONABLE\s+)?(?:PACKAGE|PROCEDURE|FUNCTION|TRIGGER|TYPE\s+BODY)\b"
+ANONYMOUS = r"(?i)^\s*+(?:DECLARE|BEGIN)\b"
 # Text up to the next ';' outside literals and comments; a stray quote or slash counts as text.
 PIECE = rf"((?:[^;'\-/]++|-(?!-)|{LINE_COMMENT}|/(?!\*)|{BLOCK_COMMENT}|{LITERAL}|['/])++)"
 
@@ -109,6 +110,68 @@ def _closing_line(lines: Column, package: Column) -> Column:
     return F.aggregate(lines, start, step, lambda acc: acc["close"])
 
 
+def _anonymous_blocks(lines: Column) -> Column:
+    """array<struct<first, last>> of the lines of DECLARE and BEGIN blocks that begin where a statement may begin.
+
+    A fold over the lines: whether a statement is open, the block's first line and depth, and whether a block comment is open.
+    A block ends with a lone '/' or the END that closes its first BEGIN; one that doesn't end reaches to the last line.
+    """
+    start = F.expr("named_struct('i', 0, 'first', -1, 'depth', 0, 'begun', false, 'open', false, 'comment', false, "
+                   "'found', cast(array() as array<struct<first: int, last: int>>))")
+
+    def step(acc: Column, line: Column) -> Column:
+        plain = F.when(acc["comment"], F.regexp_replace(line, r"^(?s:.*?)\*/", "")).otherwise(line)
+        still = acc["comment"] & ~F.contains(line, F.lit("*/"))
+        comment = still | (F.contains(plain, F.lit("/*")) & mask_sql(plain).contains("/*"))
+        clean = F.when(still, F.lit("")).otherwise(F.regexp_replace(mask_sql(plain), r"/\*.*$", ""))
+
+        def moved(clean: Column) -> Column:
+            opens = (acc["first"] < 0) & ~acc["open"] & clean.rlike(ANONYMOUS)
+            inside = (acc["first"] >= 0) | opens
+            depth = F.when(inside, acc["depth"] + _depth_of(clean)).otherwise(0)
+            begun = inside & (acc["begun"] | clean.rlike(r"(?i)\bBEGIN\b"))
+            bare_end = clean.rlike(r"(?i)\bEND(?:\s+\w+)?\s*;?\s*$") & (depth <= 0) & begun
+            ends = inside & (bare_end | (F.trim(clean) == "/"))
+            first = F.when(opens, acc["i"]).otherwise(acc["first"])
+            word = F.trim(clean, F.lit(" \t"))
+            open_ = F.when(inside, F.lit(False)).when(word == "", acc["open"]).otherwise(~word.rlike(r"(?:;|^/)$"))
+            found = F.when(ends, F.array_append(acc["found"], F.struct(first.alias("first"), acc["i"].alias("last")))).otherwise(acc["found"])
+            return F.struct((acc["i"] + 1).alias("i"), F.when(ends, -1).otherwise(first).alias("first"), F.when(ends, 0).otherwise(depth).alias("depth"),
+                            (begun & ~ends).alias("begun"), open_.alias("open"), comment.alias("comment"), found.alias("found"))
+
+        return let(clean, moved)
+
+    def finish(acc: Column) -> Column:
+        rest = F.array(F.struct(acc["first"].alias("first"), (acc["i"] - 1).alias("last")))
+        return F.when(acc["first"] >= 0, F.concat(acc["found"], rest)).otherwise(acc["found"])
+
+    return F.aggregate(lines, start, step, finish)
+
+
+def _chunk_parts(chunk: Column) -> Column:
+    """Pieces of a chunk without named blocks, its anonymous blocks kept whole."""
+    def cut(lines: Column, blocks: Column) -> Column:
+        def text(first: Column, count: Column) -> Column:
+            return F.array_join(F.slice(lines, first + 1, count), "\n")
+
+        def before(b: Column, i: Column) -> Column:  # the lines between the block before and this one, then the block
+            begin = F.coalesce(F.get(blocks, i - 1)["last"] + 1, F.lit(0))
+            slash = F.trim(F.get(lines, b["last"])) == "/"
+            count = b["last"] - b["first"] + 1
+            block = _part(text(b["first"], count - F.when(slash, 1).otherwise(0)), True, count.cast("bigint"))
+            gap = F.when(b["first"] > begin, _pieces(F.concat(text(begin, b["first"] - begin), F.lit("\n"))))
+            return F.concat(F.coalesce(gap, F.slice(F.array(block), 1, 0)), F.array(block))
+
+        rest = F.element_at(blocks, -1)["last"] + 1
+        tail = F.when(rest < F.size(lines), _pieces(text(rest, F.size(lines) - rest)))
+        return F.concat(F.flatten(F.transform(blocks, before)), F.coalesce(tail, F.slice(_pieces(F.lit("x")), 1, 0)))
+
+    def parted(lines: Column) -> Column:
+        return let(_anonymous_blocks(lines), lambda blocks: F.when(F.size(blocks) == 0, _pieces(chunk)).otherwise(cut(lines, blocks)))
+
+    return F.when(chunk.rlike(r"(?im)^[ \t]*(?:DECLARE|BEGIN)\b"), let(F.split(chunk, "\n"), parted)).otherwise(_pieces(chunk))
+
+
 def _part(raw: Column, block, count: Column) -> Column:
     return F.struct(raw.alias("raw"), F.lit(block).alias("block"), count.alias("newlines"))
 
@@ -124,7 +187,7 @@ def _segment_parts(segment: Column) -> Column:
     body = F.substring(segment, F.char_length(lead) + 1, F.char_length(segment))
 
     def block_parts(lead: Column, body: Column) -> Column:
-        package = body.rlike(r"(?i)^CREATE\s+(?:OR\s+REPLACE\s+)?PACKAGE\b")
+        package = body.rlike(r"(?i)^CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:NON)?EDITIONABLE\s+)?(?:PACKAGE|TYPE)\b")
 
         def cut(lines: Column, close: Column) -> Column:
             count = F.when(close < 0, F.size(lines)).otherwise(close + 1)
@@ -132,14 +195,14 @@ def _segment_parts(segment: Column) -> Column:
             text = F.array_join(F.slice(lines, 1, count - F.when(slash, 1).otherwise(0)), "\n")
             rest = F.array_join(F.slice(lines, count + 1, F.size(lines)), "\n")
             block = _part(F.concat(lead, text), True, newlines(lead) + count)
-            return F.concat(F.array(block), _pieces(rest))
+            return F.concat(F.array(block), _chunk_parts(rest))
 
         return let(F.split(body, "\n"), lambda lines: let(
             _closing_line(lines, package), lambda close: cut(lines, close)))
 
     return let(F.struct(lead.alias("lead"), body.alias("body")), lambda s: F.when(
         s["body"].rlike(rf"(?i)^{BLOCK_OPENER}"), block_parts(s["lead"], s["body"])
-    ).otherwise(_pieces(segment)))
+    ).otherwise(_chunk_parts(segment)))
 
 
 def statement_array(text: Column) -> Column:
@@ -188,7 +251,7 @@ def split_statements(scripts: DataFrame) -> DataFrame:
 def classify(text: Column) -> Column:
     """Statement type from the leading words (comments between them do not count)."""
     words = F.regexp_extract(text, rf"^{LEAD}((?:\w++(?:{GAP})?){{1,7}}+)", 1)
-    head = F.upper(F.regexp_replace(words, GAP, " "))
+    head = F.regexp_replace(F.upper(F.regexp_replace(words, GAP, " ")), r"^(CREATE (?:OR REPLACE )?)(?:NON)?EDITIONABLE ", "$1")
 
     def chosen(h: Column) -> Column:
         chain = F
