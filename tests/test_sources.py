@@ -49,9 +49,10 @@ def test_unreadable_file_gives_error_row(spark, tmp_path):
 
 def test_write_scripts_names(spark, tmp_path):
     df = spark.createDataFrame([("/in/a.sql", "x\ny"), ("/in/sub/pkg.PKB", "z"), ("noext", "w")], "path string, text string")
-    S.write_scripts(df, str(tmp_path / "out"))
+    df = df.union(spark.createDataFrame([("/in/other/a.sql", "other")], df.schema))
+    S.write_scripts(df, str(tmp_path / "out"), root="/in")
     names = sorted(n for n in os.listdir(tmp_path / "out") if n.startswith("out_name="))
-    assert names == ["out_name=a_pg.sql", "out_name=noext_pg.sql", "out_name=pkg_pg.PKB"]
+    assert names == ["out_name=a_pg.sql", "out_name=noext_pg.sql", "out_name=other%2Fa_pg.sql", "out_name=sub%2Fpkg_pg.PKB"]
     back = spark.read.text(str(tmp_path / "out" / "out_name=a_pg.sql"))
     assert [r[0] for r in back.collect()] == ["x", "y"]
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.operators.skew import maybe_broadcast
-from veldspar.session import shared_folder
+from veldspar.session import materialize, shared_folder
 
 
 def connect_by(df: DataFrame, id: str, parent: str, start: Column, path: str | None = None,
@@ -21,11 +21,13 @@ def connect_by(df: DataFrame, id: str, parent: str, start: Column, path: str | N
     below itself is an error, or is left out with ``nocycle``.  ``max_depth`` acts as LEVEL <= n.
 
     Each level is one join of the table with the level above, stored in the shared folder, so the
-    plan does not grow with the depth and a lost executor costs one level at most.
+    plan does not grow with the depth and a lost executor costs one level at most.  Levels hold keys and what
+    path and order need; the other columns join once at the end, by a number each row gets at the start.
     """
     spark = df.sparkSession
     folder = shared_folder(spark, "connect-by")
-    base = list(df.columns)
+    whole = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "hierarchy").withColumn("_start", start)
+    base = list(dict.fromkeys(["_row", id, parent, *([path] if path else []), *([siblings] if siblings else [])]))
 
     def extended(rows: DataFrame, level: Column, text: Column, ids: Column, key: Column) -> DataFrame:
         extra = [level.cast("int").alias("level"), ids.alias("_ids")]
@@ -46,8 +48,8 @@ def connect_by(df: DataFrame, id: str, parent: str, start: Column, path: str | N
         return F.array(F.struct(own(siblings).isNull().alias("n"), own(siblings).alias("s"), own(id).alias("i"))
                        if siblings else F.lit(0))
 
-    table = df.alias("c")
-    level_df = extended(table.filter(start), F.lit(1), step_text(), F.array(own(id)), step_key())
+    table = whole.select(*base).alias("c")
+    level_df = extended(whole.filter("_start").select(*base).alias("c"), F.lit(1), step_text(), F.array(own(id)), step_key())
     depth, schema = 1, level_df.schema
     while True:
         level_df.write.parquet(f"{folder}/depth={depth}")
@@ -72,4 +74,6 @@ def connect_by(df: DataFrame, id: str, parent: str, start: Column, path: str | N
             F.concat(F.col("p.sibling_key"), step_key()) if siblings else F.lit(0),
         )
         depth += 1
-    return spark.read.schema(schema).parquet(*[f"{folder}/depth={d}" for d in range(1, depth + 1)]).drop("_ids")
+    levels = spark.read.schema(schema).parquet(*[f"{folder}/depth={d}" for d in range(1, depth + 1)])
+    added = ["level", *(["path"] if path else []), *(["sibling_key"] if siblings else [])]
+    return whole.drop("_start").join(levels.select("_row", *added), "_row").select(*df.columns, *added)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,12 @@ def materialize_view(df: DataFrame, path: str, build: str = "IMMEDIATE") -> Data
     if build.upper() not in ("IMMEDIATE", "DEFERRED"):
         raise ValueError("build is IMMEDIATE or DEFERRED")
     rows = df if build.upper() == "IMMEDIATE" else df.limit(0)
-    rows.write.mode("overwrite").parquet(path)
-    return read_view(df.sparkSession, path, df)
+    version = f"version={uuid.uuid4().hex}"
+    # written beside the versions there are, so a refresh may read the view; named only when it is complete
+    rows.write.parquet(f"{path}/{version}")
+    named = df.sparkSession.createDataFrame([(version,)], "version string")
+    named.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{version}")
 
 
 def refresh_complete(df: DataFrame, path: str) -> DataFrame:
@@ -23,7 +28,11 @@ def refresh_complete(df: DataFrame, path: str) -> DataFrame:
 
 
 def read_view(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.schema(like.schema).parquet(path)
+    """The version named last; older ones stay readable for those who have them open."""
+    names = spark.read.schema("version string").parquet(f"{path}/versions")
+    named = names.select("version", F.col("_metadata.file_modification_time").alias("at"))
+    last = named.orderBy(F.desc("at"), F.desc("version")).first()["version"]
+    return spark.read.schema(like.schema).parquet(f"{path}/{last}")
 
 
 def aggregate_state(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:

@@ -69,9 +69,16 @@ def output_name(path_column: str, suffix: str = "_pg"):
     return F.concat(stem, F.lit(suffix), F.when(ending == "", ".sql").otherwise(ending))
 
 
-def write_scripts(scripts: DataFrame, out: str, suffix: str = "_pg") -> None:
-    """One output directory per source file, named after it; ``scripts(path, text)``."""
-    scripts.select(output_name("path", suffix).alias("out_name"), "text").write.mode("overwrite").partitionBy(
+def relative_name(path_column: str, root: str = "", suffix: str = "_pg"):
+    """``output_name`` behind the folders the file has below ``root``, so that equal names in different folders stay apart."""
+    folder = F.regexp_extract(path_column, r"^(.*[/\\])[^/\\]*$", 1)
+    below = F.when(F.startswith(folder, F.lit(root)), F.substring(folder, F.lit(len(root) + 1), F.char_length(folder))).otherwise(folder)
+    return F.concat(F.ltrim(below, F.lit("/\\")), output_name(path_column, suffix))
+
+
+def write_scripts(scripts: DataFrame, out: str, suffix: str = "_pg", root: str = "") -> None:
+    """One output directory per source file, named after its path below ``root`` (slashes escaped); ``scripts(path, text)``."""
+    scripts.select(relative_name("path", root, suffix).alias("out_name"), "text").write.mode("overwrite").partitionBy(
         "out_name").option("lineSep", "\n").text(out)
 
 
