@@ -171,3 +171,26 @@ DELETE FROM t;"""
         ("BEGIN_BLOCK", 31), ("DELETE", 34)]
     lines = text.split("\n")
     assert rows[1].text == "\n".join(lines[1:9]) and rows[4].text == "\n".join(lines[13:17]) and rows[7].text == "\n".join(lines[30:33])
+
+
+def test_late_changes_go_aside(spark, tmp_path):
+    from veldspar.streaming.audit import stream_audit
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k int, o int, v string"
+    for rows in ([(1, 10, "ten"), (2, 1, "x")], [(1, 3, "late"), (1, 12, "twelve"), (2, 2, "y")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream_audit(spark.readStream.schema(schema).parquet(src), ["k"], ["o"], ["v"], out, str(tmp_path / "mark")).awaitTermination()
+    got = spark.read.parquet(f"{out}/audit").select("k", "o", "v", "action", "old_v").collect()
+    assert sorted(map(tuple, got)) == [(1, 10, "ten", "INSERT", None), (1, 12, "twelve", "UPDATE", "ten"), (2, 1, "x", "INSERT", None), (2, 2, "y", "UPDATE", "x")]
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/late").select("k", "o", "v").collect()] == [(1, 3, "late")]
+
+
+def test_script_stream_reads_other_encodings(spark, tmp_path):
+    from veldspar.streaming.scripts import stream_scripts
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.SQL").write_bytes("SELECT NVL(a, 'é') FROM t;".encode("latin-1"))
+    stream_scripts(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark"), encoding="latin-1").awaitTermination()
+    assert [r.new_text for r in spark.read.parquet(str(tmp_path / "out" / "statements")).collect()] == ["SELECT COALESCE(a, 'é') FROM t"]
+    assert [r.rule_id for r in spark.read.parquet(str(tmp_path / "out" / "findings")).collect()] == ["FN_003"]

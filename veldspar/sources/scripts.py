@@ -48,11 +48,11 @@ def read_scripts(spark: SparkSession, path: str, exts: Iterable[str] = EXTENSION
         broken = files.select("path").join(opened, "path", "left_anti").select(
             F.sha2("path", 256).alias("file_id"), "path", F.lit(None).cast("string").alias("text"),
             F.lit("file could not be read").alias("error"))
-        return _decoded(lenient, encoding).unionByName(broken)
-    return _decoded(files, encoding)
+        return decoded(lenient, encoding).unionByName(broken)
+    return decoded(files, encoding)
 
 
-def _decoded(files: DataFrame, encoding: str) -> DataFrame:
+def decoded(files: DataFrame, encoding: str) -> DataFrame:
     if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
         text = F.make_valid_utf8(F.col("content").cast("string"))
     else:

@@ -45,6 +45,17 @@ class AuditState:
             whole.write.mode("overwrite").parquet(f"{self.path}/base={batch_id}")
 
 
+def split_late(batch: DataFrame, state: AuditState, batch_id: int, key: Sequence[str],
+               order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that follow the stored last row of their key, and those that come too late to be given their old values."""
+    key, order = list(key), list(order)
+    last = state.read(batch.select(*dict.fromkeys([*key, *order, *[c for c in batch.columns if c not in key]])), batch_id)
+    last = last.join(batch.select(*key).distinct(), key, "left_semi").select(*key, F.struct(*order).alias("_last"))
+    placed = lookup_join(batch, last, key, "left")
+    late = F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False))
+    return placed.filter(~late).select(*batch.columns), placed.filter(late).select(*batch.columns)
+
+
 def audit_batch(batch: DataFrame, state: AuditState, batch_id: int, key: Sequence[str],
                 order: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Audit rows of one batch; the state moves on by one version.
@@ -69,13 +80,20 @@ def audit_batch(batch: DataFrame, state: AuditState, batch_id: int, key: Sequenc
 
 def stream_audit(changes: DataFrame, key: Sequence[str], order: Sequence[str], cols: Sequence[str],
                  out: str, checkpoint: str, fold_every: int = 16) -> StreamingQuery:
-    """Write audit rows of a change stream to ``out``; ``order`` is total within a key."""
+    """Write audit rows of a change stream to ``out``; ``order`` is total within a key.
+
+    Rows that arrive after a later row of their key was audited in an earlier batch go to ``late`` instead: their old value, and that of the row
+    after them, would need the whole history.
+    """
     state = AuditState(f"{out}/state", key, order, fold_every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            audit = audit_batch(batch, state, batch_id, key, order, cols)
+            changes = batch.select(*dict.fromkeys([*key, *order, *cols]))
+            fresh, late = split_late(changes, state, batch_id, key, order)
+            late.write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
+            audit = audit_batch(fresh, state, batch_id, key, order, cols)
             audit.write.mode("overwrite").parquet(f"{out}/audit/batch={batch_id}")
         finally:
             batch.unpersist()
