@@ -300,3 +300,10 @@ def ck_report(spark, d):
         C.Constraint("ck_price", "CHECK", condition=F.col("o_totalprice") > 5000),
         C.Constraint("len_prio", "LENGTH", ["prio"], limit=10, unit="CHAR"),
     ])
+
+
+@query("raise_if", "SELECT o_orderkey, o_totalprice FROM orders")
+def raise_if(spark, d):
+    """No order violates the rule, so every row passes the check."""
+    checked = dml.raise_if(load(spark, d, "orders"), F.col("o_totalprice") < 0, -20001, "negative price")
+    return checked.select("o_orderkey", "o_totalprice")

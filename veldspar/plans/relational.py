@@ -324,3 +324,19 @@ def siblings_order(spark, d):
     tree = connect_by(staff(spark, d), "employee_id", "manager_id", F.col("manager_id").isNull(), siblings="name")
     numbered = windows.rownum(tree.select("employee_id", "level", "sibling_key"), ["sibling_key"])
     return numbered.select("employee_id", "level", "rn")
+
+
+@query("connect_by_nocycle", """
+WITH RECURSIVE e AS (SELECT c_custkey AS id, CASE WHEN c_custkey = 0 THEN (SELECT max(c_custkey) FROM customer) ELSE c_custkey // 8 END AS boss
+                     FROM customer),
+t AS (SELECT id, boss, 1 AS level, [id] AS seen FROM e WHERE id = 0
+      UNION ALL SELECT e.id, e.boss, level + 1, list_append(seen, e.id) FROM e JOIN t ON e.boss = t.id AND NOT list_contains(seen, e.id))
+SELECT id, boss, level FROM t
+""")
+def connect_by_nocycle(spark, d):
+    """A tree whose root reports to its last leaf: NOCYCLE leaves out the row that would be met again."""
+    c = load(spark, d, "customer")
+    last = c.agg(F.max("c_custkey").alias("last"))
+    rows = c.join(F.broadcast(last), F.lit(True)).select(
+        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") == 0, F.col("last")).otherwise(F.expr("c_custkey div 8")).alias("boss"))
+    return connect_by(rows, "id", "boss", F.col("id") == 0, nocycle=True).select("id", "boss", "level")
