@@ -2,15 +2,15 @@
 
 Two words are as alike as their common subsequences of three characters; each gap inside a match costs a factor, so spread-out
 letters and inserted characters lower the likeness but don't end it.  Punctuation inside a token and spaces between single letters are left
-out before comparing.  Two sentences are compared by the sum over their words, the kernel raised to ``POWER``.
+out before comparing.  A sentence is a bag of words and counts as its worst word, so a harmless word said a hundred times adds nothing.
 
-Landmarks are words of the training sentences: those that most tell toxic from other documents and some common others.  With them a sentence
-becomes a short vector (Nystroem), on which a linear support vector machine is trained.  As the map is a sum over words, the trained machine
-is one number per word, computed once per different word and task.  A document scores as its worst sentence; a logistic curve
+Landmarks are words, or beginnings of words, of the training sentences: those that most tell toxic from other documents, and some common words.  With them a
+word becomes a short vector (Nystroem), on which a linear support vector machine is trained, with the sentences as bags: the worst word of each
+is found with the machine of the round before.  The trained machine is one number per word, computed once per different word and task.  A document scores as its worst sentence; a logistic curve
 fitted on the training documents turns that into 0 to 1.
 
 Training takes at most ``SAMPLE_ROWS`` labelled documents of each class, of at most ``SAMPLE_BYTES`` bytes each, by the order of a hash of
-the id.  Labels are per document: in toxic ones the sentence that holds the most telling word stands for it.
+the id.  Labels are per document: a toxic one is stood for by the sentences with its most telling words, another one is a single bag of all its words.
 
 Defined cases: null text is empty; a text without words scores as a sentence without words; a sentence of more than ``SENTENCE_WORDS`` words is cut
 into several; words of more than ``WORD_CHARS`` characters are compared in overlapping parts; null labels are not learnt from; of repeated
@@ -31,11 +31,23 @@ from veldspar.llm.tables import prepare_workers
 from veldspar.llm.text import LOWER, WORD, Rolling, slices, spans
 
 SUBSEQUENCE = 3
+BEGIN, END = "\x02", "\x03"
+# Characters of a beginning, its mark included.
+PREFIXES = range(4, 8)
 DECAY = 0.6
 POWER = 3
 SENTENCE_WORDS = 32
 WORD_CHARS = 24
-TELLING_WORDS = 400
+TELLING_UNITS = 200
+# Standard errors by which a unit's shares in toxic and other documents differ to count as telling.
+TELLING_AT = 6.0
+# Sentences with telling units that stand for a toxic document.
+SENTENCES = 4
+# Likeness below which a word takes no part in training.
+LEAST_LIKE = 0.05
+# Times the machine is trained, each time on the words that the one before finds worst.
+ROUNDS = 3
+STEPS = 3_000
 TELLING_LANDMARKS = 32
 OTHER_LANDMARKS = 4
 SAMPLE_ROWS = 2_500
@@ -44,7 +56,14 @@ MEMO_WORDS = 300_000
 
 
 def clean(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalnum())
+    """The letters and digits of a token, lower-cased, between marks for its beginning and end; empty if it has none."""
+    inner = "".join(c for c in word.lower() if c.isalnum())
+    return BEGIN + inner + END if inner else ""
+
+
+def units(word: str) -> list[str]:
+    """What may be telling of a word: the whole of it and its beginnings."""
+    return [word, *(word[:n] for n in PREFIXES if n < len(word) - 1)]
 
 
 def _codes(words: list[str], length: int) -> np.ndarray:
@@ -119,24 +138,40 @@ class Machine:
         self.constant: float | None = constant
         self.kernel: WordKernel | None = None
 
-    def train(self, sentences: list[list[str]], signs: np.ndarray, landmarks: list[str]) -> None:
+    def train(self, bags: list[list[str]], signs: np.ndarray, landmarks: list[str], worth) -> None:
+        """``worth`` is a first guess of how telling a word is; then each round takes the words the machine itself finds worst."""
         self.kernel, self.constant = WordKernel(landmarks), None
         like = self.kernel(landmarks)
         value, vector = np.linalg.eigh((like + like.T) / 2 + 1e-3 * np.eye(len(like)))
         root = (vector / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-        words = sorted({w for s in sentences for w in s})
-        row = dict(zip(words, self.kernel(words)))
-        empty = np.zeros(len(landmarks), np.float32)
-        x = np.array([np.sum([row[w] for w in s], axis=0) if s else empty for s in sentences]) @ root
-        weight = np.where(signs > 0, 0.5 / max((signs > 0).mean(), 1e-9), 0.5 / max((signs < 0).mean(), 1e-9))
-        w, bias, ridge = np.zeros(x.shape[1]), 0.0, 1e-4
-        for step in range(1, 1501):  # full subgradient steps on the weighted hinge loss
-            inside = (signs * (x @ w + bias) < 1) * weight * signs / len(x)
-            rate = 20 / (20 + step)
-            w += rate * (inside @ x - ridge * w) * 4
-            bias += rate * inside.sum()
+        words, rows = self._alike(sorted({w for s in bags for w in s}))
+        at = {w: i + 1 for i, w in enumerate(words)}
+        # row 0 stands for a bag without a word that is like a landmark
+        mapped = np.vstack([np.zeros((1, len(landmarks))), rows @ root])
+        places = [np.array(sorted({at.get(w, 0) for w in s} | {0})) for s in bags]
+        worst = np.array([0.0, *(worth(w) for w in words)])
+        for _ in range(ROUNDS):
+            x = mapped[[p[worst[p].argmax()] for p in places]]
+            w, bias, ridge = np.zeros(x.shape[1]), 0.0, 1e-4
+            for step in range(1, STEPS + 1):  # full subgradient steps on the hinge loss
+                inside = (signs * (x @ w + bias) < 1) * signs / len(x)
+                rate = 8 / (1 + step / 200)
+                w += rate * (inside @ x - ridge * w)
+                bias += rate * 0.25 * inside.sum()
+            worst = mapped @ w
         self.weights, self.bias = root @ w, bias
 
+    def _alike(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words that are like some landmark, and their kernel rows."""
+        kept, rows = [], [np.zeros((0, len(self.kernel.landmarks)), np.float32)]
+        for lo in range(0, len(words), 20_000):
+            part = words[lo:lo + 20_000]
+            like = self.kernel(part)
+            some = np.flatnonzero(like.max(1) >= LEAST_LIKE)
+            kept += [part[i] for i in some]
+            rows.append(like[some])
+        return kept, np.concatenate(rows)
+
     def words(self, words: list[str]) -> np.ndarray:
         return self.kernel(words) @ self.weights
 
@@ -164,7 +199,7 @@ class WordValues:
 
     def worst(self, column: pa.Array) -> np.ndarray:
         """The largest sentence margin of each text."""
-        out = np.full(len(column), self.machine.bias)
+        out = np.full(len(column), self.machine.bias)  # a sentence without words
         for lo, hi, data, offsets in slices(column):
             first, last, starts, ends = tokens(data, offsets)
             if not len(starts):
@@ -172,8 +207,8 @@ class WordValues:
             low = LOWER[data]
             values = self._values(low, starts, ends)
             row = np.searchsorted(offsets, starts, "right") - 1
-            sums = np.add.reduceat(values, first) + self.machine.bias
-            np.maximum.at(out, lo + row[first], sums)
+            # the largest word of each sentence, then of the document
+            np.maximum.at(out, lo + row[first], np.maximum.reduceat(values, first) + self.machine.bias)
         return out
 
     def _values(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -223,13 +258,15 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, np.append(first[1:], len(starts)) - 1, starts, ends
 
 
-def sentences_of(text: str) -> list[list[str]]:
-    """The training view of a text: its sentences as cleaned words, cut as in scoring."""
+def sentences_of(text: str, pool: dict[str, str] | None = None) -> list[list[str]]:
+    """The training view of a text: its sentences as cleaned words, cut as in scoring; equal words are one object if there is a pool."""
     column = pa.array([text])
     _, _, data, offsets = next(slices(column))
     first, last, starts, ends = tokens(data, offsets)
     raw = data.tobytes()
     words = [clean(raw[s:e].decode("utf-8", "ignore")) for s, e in zip(starts, ends)]
+    if pool is not None:
+        words = [pool.setdefault(w, w) for w in words]
     return [words[f:x + 1] for f, x in zip(first, last)]
 
 
@@ -238,40 +275,48 @@ def distinct_words(words: list[str], most: int) -> list[str]:
     like = WordKernel(words)(words)
     chosen: list[int] = []
     for i in range(len(words)):
-        if len(chosen) < most and all(like[i, j] < 0.08 for j in chosen):
+        if len(chosen) < most and all(like[i, j] < 0.3 for j in chosen):
             chosen.append(i)
     return [words[i] for i in chosen]
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Machine:
+def train(texts: list[str], labels: np.ndarray) -> Machine:
     machine = Machine(float(labels.mean()) if len(labels) else 0.0)
     if not len(labels) or labels.min() == labels.max():
         return machine
-    docs = [sentences_of(t) for t in texts]
-    toxic, other = Counter(), Counter()
-    for sentences, y in zip(docs, labels):
-        (toxic if y else other).update({w for s in sentences for w in s if len(w) >= SUBSEQUENCE})
+    pool: dict[str, str] = {}
+    docs = [sentences_of(t, pool) for t in texts]
     n_toxic, n_other = int(labels.sum()), int(len(labels) - labels.sum())
-    # difference of shares over its standard error
-    telling = {w: (n / n_toxic - other[w] / n_other) / math.sqrt((n + other[w] + 1) / (n_toxic + n_other) / min(n_toxic, n_other)) for w, n in toxic.items()}
-    best = distinct_words(sorted(telling, key=lambda w: (-telling[w], w))[:TELLING_WORDS], TELLING_LANDMARKS)
-    common = [w for w, _ in sorted(other.items(), key=lambda x: (-x[1], x[0])) if telling.get(w, 0) <= 0][:OTHER_LANDMARKS]
+    held = [{u for s in sentences for w in s if len(w) > SUBSEQUENCE for u in units(w)} if y else set() for sentences, y in zip(docs, labels)]
+    toxic = Counter(u for x in held for u in x)
+    toxic = {u: n for u, n in toxic.items() if n >= max(2, n_toxic // 200)}
+    other = Counter(u for sentences, y in zip(docs, labels) if not y
+                    for u in {u for s in sentences for w in s for u in units(w) if u in toxic})
+    telling = {}
+    for u, n in toxic.items():  # difference of shares over its standard error
+        share = (n + other[u] + 1) / (n_toxic + n_other + 2)
+        telling[u] = (n / n_toxic - other[u] / n_other) / math.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_other))
+    ranked = sorted(telling, key=lambda u: (-telling[u], -len(u), u))
+    best = distinct_words(ranked[:TELLING_UNITS], TELLING_LANDMARKS)
+    common = sorted((u for u in telling if u.endswith(END) and telling[u] < 1), key=lambda u: (-toxic[u], u))[:OTHER_LANDMARKS]
     landmarks = list(dict.fromkeys(best + common))
-    rng = np.random.default_rng(seed)
+    sure = {u for u in ranked if telling[u] >= TELLING_AT} or set(best)
     chosen, signs = [], []
     for sentences, y in zip(docs, labels):
+        sentences = [s for s in sentences if s]
         if not sentences:
             continue
         if y:
-            chosen.append(max(sentences, key=lambda s: max((telling.get(w, 0.0) for w in s), default=0.0)))
-            signs.append(1)
-        else:
-            some = rng.choice(len(sentences), min(4, len(sentences)), replace=False)
+            worth = [max((telling[u] for w in s for u in units(w) if u in sure), default=0.0) for s in sentences]
+            some = [i for i in np.argsort(worth)[::-1][:SENTENCES] if worth[i] > 0]
             chosen += [sentences[i] for i in some]
-            signs += [-1] * len(some)
+            signs += [1] * len(some)
+        else:
+            chosen.append([w for s in sentences for w in s])  # not one of its words may count as toxic
+            signs.append(-1)
     if len(set(signs)) < 2 or not landmarks:
         return machine
-    machine.train(chosen, np.array(signs, float), landmarks)
+    machine.train(chosen, np.array(signs, float), landmarks, lambda w: max((telling.get(u, 0.0) for u in units(w)), default=0.0))
     worst = WordValues(machine).worst(pa.array(texts))
     machine.calibrate(worst, labels)
     return machine
