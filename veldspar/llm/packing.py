@@ -22,28 +22,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.llm.tables import prepare_workers, stored
+from veldspar.llm.tables import keyed, prepare_workers, stored
 
 CAPACITY = 2048
 END_TOKEN = 0
-# Pieces that one task numbers.
-BUCKET_ROWS = 20_000
+# Pieces of one length that are numbered together.
+BUCKET_ROWS = 500
 # Ranks of one length that meet the planned runs under one join key.
 RANK_BLOCK = 1024
-# Chunk memo of one Python worker, in entries.
-MEMO_CHUNKS = 150_000
+# Chunks that a Python worker keeps at hand, and as many used before them.
+MEMO_CHUNKS = 200_000
 
 _DOUBLE = re.compile(r"\s\s")
+_MARKS = ".,;:!?$%&*#\"()"
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # Characters that Python counts as white space and the tokenizer's pattern may not.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 
 
+def _is_word(c: str) -> bool:
+    """Letters only, of scripts that every Unicode version in use knows."""
+    return c.isalpha() and max(c) < "\u2000"
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
     Byte-level pre-tokens never cross a space except as their first character, so a text may be encoded chunk by chunk (a
-    space and the run after it) and chunks repeat; each is encoded once while it stays in the memo.
+    space and the run after it) and chunks repeat; each is encoded once while it stays in the memo, which forgets what
+    wasn't used lately.  A chunk of a word and marks after it is put together from the two.
+
+    A chunk is known by its text without the leading space; one that has none gets a space in front instead.
     """
 
     def __init__(self, path: str):
@@ -51,29 +60,61 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in done]
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._chunks(t) for t in texts]
+        if len(self.memo) > MEMO_CHUNKS:
+            self.memo, self.older = {}, self.memo
         memo = self.memo
-        if len(memo) > MEMO_CHUNKS:
-            memo.clear()
-        new = list({c for chunks in cut for c in chunks if c not in memo})
-        memo.update(zip(new, self._encode(new)))
+        self._learn(set().union(*cut).difference(memo))
         return [b"".join([memo[c] for c in chunks]) for chunks in cut]
 
+    def _learn(self, new: set[str]) -> None:
+        memo, older = self.memo, self.older
+        known = new & older.keys()
+        memo.update((c, older[c]) for c in known)
+        marked, plain = {}, set()
+        for c in new - known:
+            word = c.rstrip(_MARKS)
+            if word and word != c and _is_word(word[-1]):
+                # letters end a pre-token, and the marks after them are one
+                marked[c] = (word, " " + c[len(word):])
+            else:
+                plain.add(c)
+        parts = {x for pair in marked.values() for x in pair}
+        memo.update((c, older[c]) for c in parts & older.keys())
+        plain |= parts
+        todo = plain.difference(memo)
+        # a space and letters are one pre-token, which the model takes as it is
+        words = [c for c in todo if _is_word(c)]
+        for c in words:
+            tokens = self.model.tokenize((" " + c).encode().decode("latin-1").translate(self.letters))
+            memo[c] = np.array([t.id for t in tokens], "<u4").tobytes()
+        todo = list(todo.difference(words))
+        done = self.tokenizer.encode_batch_fast([c[1:] if c[:1] == " " else " " + c for c in todo], add_special_tokens=False)
+        memo.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(todo, done))
+        memo.update((c, memo[word] + memo[marks]) for c, (word, marks) in marked.items())
+
     @staticmethod
     def _chunks(text: str) -> list[str]:
         if _ODD_SPACE.search(text):
-            return [text]
+            return [" " + text]
         if _DOUBLE.search(text):
-            return _CHUNK.findall(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+            return [c[1:] if c[0] == " " and len(c) > 1 and not c[1].isspace() else " " + c for c in _CHUNK.findall(text)]
+        chunks = text.split(" ")
+        chunks[0] = " " + chunks[0]
+        return chunks
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
+    out = {b: chr(b) for b in plain}
+    out.update((b, chr(256 + k)) for k, b in enumerate(b for b in range(256) if b not in out))
+    return out
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY,
@@ -174,16 +215,18 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to stored ``pieces`` (doc, piece, start, length, ...)."""
+    """Add sequence_id and offset to stored ``pieces`` (key, doc, piece, start, length, ...)."""
     spark = pieces.sparkSession
-    rows = pieces.count()
-    buckets = max(1, -(-rows // BUCKET_ROWS))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc", "piece", "start", "ids_crc32"), F.lit(buckets)))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    # a common length is numbered in several buckets
+    shares = [(n, -(-count // BUCKET_ROWS)) for n, count in histogram.items()]
+    shares = F.broadcast(spark.createDataFrame(shares or [(0, 1)], "length long, buckets long"))
+    spread = F.pmod(F.xxhash64("key"), F.col("buckets"))
+    pieces = pieces.join(shares, "length").withColumn("bucket", spread).drop("buckets")
     counts = stored(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "pack-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    number = Window.partitionBy("length", "bucket").orderBy("doc", "piece", "start", "ids_crc32")
+    number = Window.partitionBy("length", "bucket").orderBy("key")
     ranked = pieces.withColumn("rank", F.row_number().over(number) - 1).join(bases, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("base", "bucket")
     runs = plan_runs(histogram, capacity)
@@ -200,7 +243,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY,
          end_token: int = END_TOKEN, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place: id_col, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
-    pieces = stored(token_pieces(docs, tokenizer, text_col, id_col, capacity, end_token, keep_ids), "pack-pieces")
+    pieces = stored(keyed(token_pieces(docs, tokenizer, text_col, id_col, capacity, end_token, keep_ids)), "pack-pieces")
     out = place(pieces, capacity)
     ids = ["ids"] if keep_ids else []
     return out.select(F.col("doc").alias(id_col), "piece", "start", "length", "ids_crc32", *ids, "sequence_id", "offset")
