@@ -31,7 +31,7 @@ BUCKET_ROWS = 500
 # Ranks of one length that meet the planned runs under one join key.
 RANK_BLOCK = 1024
 # Chunks that a Python worker keeps at hand, and as many used before them.
-MEMO_CHUNKS = 200_000
+MEMO_CHUNKS = 300_000
 
 _DOUBLE = re.compile(r"\s\s")
 _MARKS = ".,;:!?$%&*#\"()"
