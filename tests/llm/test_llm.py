@@ -578,6 +578,70 @@ def test_line_dedup_against_brute_force(spark):
     assert sorted(((r.doc_id, r.n_lines, len(r.repeats), r.n_links) for r in got), key=repr) == brute_lines(rows)
 
 
+def long_line_rows():
+    """Lines of 60 to 700 bytes, some with a replaced word, and some with so many edits that the threshold decides."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst中é") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    base = [prose(rng, n, words) for n in (9, 12, 16, 25, 40, 90)]
+
+    def changed(s):
+        w = s.split(" ")
+        for _ in range(rng.choice([0, 1, 1, 2, len(w) // 12])):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        for _ in range(rng.choice([0, 0, 1])):
+            w.insert(rng.randrange(len(w)), rng.choice(words))
+        return " ".join(w)
+
+    return [(i, "\n".join(changed(rng.choice(base)) for _ in range(2))) for i in range(27)]
+
+
+def brute_long_lines(rows):
+    """(id, lines that go, links) with one edit for 16 bytes of the shorter line, two at least."""
+    where = collections.defaultdict(list)
+    for i, t in rows:
+        for k, line in enumerate(t.split("\n")):
+            where[line.encode()].append((i, k))
+    lines, group = sorted(where), {b: {b} for b in where}
+    links, gone = collections.Counter(), collections.Counter()
+    for k, a in enumerate(lines):
+        for b in lines[:k]:
+            most = max(2, min(len(a), len(b)) // 16)
+            if abs(len(a) - len(b)) <= most and line_dedup._plain_distance(a, b) <= most:
+                links.update((a, b))
+                both = group[a] | group[b]
+                group.update((x, both) for x in both)
+    for members in {frozenset(g) for g in group.values()}:
+        gone.update(i for i, _ in sorted(p for b in members for p in where[b])[1:])
+    return sorted((i, gone[i], sum(links[x.encode()] for x in t.split("\n"))) for i, t in rows)
+
+
+def test_long_lines_with_replaced_words(spark):
+    rows = long_line_rows()
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.line_classes(d, per_edit=line_dedup.PER_EDIT).collect()
+    want = brute_long_lines(rows)
+    assert sorted((r.doc_id, len(r.repeats), r.n_links) for r in got) == want
+    assert sum(n for _, _, n in want) > sum(r.n_links for r in line_dedup.line_classes(d).collect())
+
+
+def test_query_links_a_replaced_word(spark, tmp_path):
+    rng = random.Random(4)
+    line = prose(rng, 30)
+    rows = [(1, line, None, None, 0), (2, line.replace(" stone ", " quartz ", 1), None, None, 0)]
+    assert rows[0][1] != rows[1][1]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
+def test_distance_of_any_threshold():
+    rng = random.Random(8)
+    for _ in range(600):
+        x = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 25)))
+        y = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 25))) if rng.random() < 0.4 else x[:8] + b"b" * rng.randint(0, 3) + x[rng.randint(6, 10):]
+        t = rng.randint(0, 12)
+        assert line_dedup._close(x, y, t) == (line_dedup._plain_distance(x, y) <= t)
+
+
 def test_line_dedup_of_nothing(nothing):
     assert line_dedup.line_classes(nothing).count() == 0
 

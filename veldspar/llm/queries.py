@@ -175,9 +175,9 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_line_dedup")
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    from veldspar.llm.line_dedup import line_classes
+    from veldspar.llm.line_dedup import PER_EDIT, line_classes
 
-    found = line_classes(table(spark, folder, "documents"))
+    found = line_classes(table(spark, folder, "documents"), per_edit=PER_EDIT)
     return found.select("doc_id", "n_lines", F.size("repeats").alias("n_removed"), "n_links", "repeats")
 
 
