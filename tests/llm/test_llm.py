@@ -633,6 +633,17 @@ def test_query_links_a_replaced_word(spark, tmp_path):
     assert {r.doc_id: r.n_removed for r in queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
 
 
+def test_short_lines_that_repeat(spark, tmp_path):
+    short = ["Read more", "Share this", "été", "7", "}", "--", "", " * ", "中"]
+    rows = [(i, "\n".join(short if i < 3 else ["Read mora", " Read more\t", "---", "own words of a line that is long"]), None, None, 0) for i in range(4)]
+    spark.createDataFrame(rows, DOCS).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: [(x.number, x.first_id, x.first_number) for x in r["repeats"]] for r in queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    words = [(k, 0, k) for k in (0, 1, 2, 3, 8)]
+    assert got == {0: [], 1: words, 2: words, 3: [(1, 0, 0)]}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.distinct_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect()}
+    assert kept == {0: rows[0][1], 1: "}\n--\n\n * ", 2: "}\n--\n\n * ", 3: "Read mora\n---\nown words of a line that is long"}
+
+
 def test_distance_of_any_threshold():
     rng = random.Random(8)
     for _ in range(600):

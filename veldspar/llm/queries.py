@@ -177,7 +177,7 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from veldspar.llm.line_dedup import PER_EDIT, line_classes
 
-    found = line_classes(table(spark, folder, "documents"), per_edit=PER_EDIT)
+    found = line_classes(table(spark, folder, "documents"), per_edit=PER_EDIT, short=True)
     return found.select("doc_id", "n_lines", F.size("repeats").alias("n_removed"), "n_links", "repeats")
 
 
