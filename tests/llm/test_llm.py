@@ -159,6 +159,17 @@ def test_encoder_equals_the_tokenizer(tokenizer):
         assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_added_tokens_as_the_tokenizer_has_them(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    texts = ["before <|endoftext|> after", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n\nb", "  <|endoftext|>  x\x85", "<|endoftext| >", "plain words", ""]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer, keep_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {k: t.encode(x, add_special_tokens=False).ids + [0] for k, x in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in got}[0] == [19052, 220, 50256, 706, 0]
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
+
+
 # --- 2 decontamination ----------------------------------------------------------------------------------------------
 
 def brute_hits(docs, items):

@@ -6,7 +6,7 @@ pieces and equal sequences at a time.  A planned run says "pieces of this length
 this offset"; documents take their slots by joining on length and rank.  Ranks come from counts per (length, bucket), so
 a length that a third of the pieces share is still numbered in many tasks.
 
-Defined cases: null text is empty and is one piece of one token (the end token); documents longer than the capacity are
+Defined cases: ids are those of the tokenizer as loaded, so an added token's string in a text is that token; null text is empty and is one piece of one token (the end token); documents longer than the capacity are
 cut into full pieces, the first piece taking the rest; repeated rows and null ids are packed like any other row; an empty table gives no
 rows; only the named columns are read, so further columns never clash.
 """
@@ -46,7 +46,7 @@ def _is_word(c: str) -> bool:
 
 
 class ChunkEncoder:
-    """Token ids of texts as little-endian 32-bit bytes.
+    """Token ids of texts as little-endian 32-bit bytes; an added token's string is ordinary text (``ContractEncoder`` doesn't send it here).
 
     Byte-level pre-tokens never cross a space except as their first character, so a text may be encoded chunk by chunk (a
     space and the run after it) and chunks repeat; each is encoded once while it stays in the memo, which forgets what
@@ -109,6 +109,21 @@ class ChunkEncoder:
         return chunks
 
 
+class ContractEncoder:
+    """Token ids as the tokenizer gives them as loaded: a text that holds an added token's string is encoded whole by it, any other in chunks."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.chunks = Tokenizer.from_file(path), ChunkEncoder(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        done = iter(self.chunks.encode([t for k, t in enumerate(texts) if k not in whole]))
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if k in whole else next(done) for k, t in enumerate(texts)]
+
+
 def _byte_letters() -> dict[int, str]:
     """The characters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the others from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
@@ -130,7 +145,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col
 
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the one to use
-        encoder = ChunkEncoder(tokenizer)
+        encoder = ContractEncoder(tokenizer)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
