@@ -745,5 +745,5 @@ def test_stages_of_nothing(spark, tmp_path):
 
 
 def test_no_query_is_missing():
-    assert [sum(name.startswith(f"op{n}_") for name in queries.QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(name.startswith(f"op{n}_") for name in queries.QUERIES) for n in range(1, 14)] == [1] * 13
     assert len(corpus_pipeline.STAGES) == 5 and isinstance(T.LongType(), T.DataType)

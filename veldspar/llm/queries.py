@@ -188,3 +188,73 @@ def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     found = remove_repeats(table(spark, folder, "documents"))
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+# The given pages mark their article, so SQL can say what the labeller has to find there.
+@query("op11_recurrent_labeller", r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*?)(?:</article>|$)', 1, 's') AS x FROM pages),
+    b AS (SELECT page_id, url, regexp_split_to_array(coalesce(x, ''), '</?(?:p|h1)>') AS parts FROM a),
+    t AS (SELECT page_id, url, list_transform(parts, lambda p: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+              p, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM b),
+    j AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda p: p <> ''), chr(10)), '') AS text FROM t)
+    SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM j""")
+def recurrent_labeller(spark: SparkSession, folder: str) -> DataFrame:
+    from veldspar.llm.html_extract import extract, fit
+
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return extract(pages, fit(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op12_threshold_negatives", """
+    WITH v AS (
+        SELECT row_number() OVER () AS key, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT a.key, a.vec_id AS anchor_id, c.key AS c_key, c.vec_id, a.label = c.label AS same,
+               CAST(list_sum(list_transform(list_zip(a.vec, c.vec), lambda z: z[1] * z[2])) AS BIGINT) AS score
+        FROM v a JOIN v c ON a.vec_id % 100 = 0 AND len(a.vec) = len(c.vec) AND a.key <> c.key),
+    p AS (SELECT key, anchor_id, c_key AS p_key, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id NULLS LAST, c_key) <= 5),
+    n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.key, p.p_key ORDER BY s.score DESC, s.vec_id NULLS LAST, s.c_key) AS rank
+          FROM p JOIN s ON p.key = s.key AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def threshold_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from veldspar.llm.hard_negatives import hard_negatives
+
+    vectors = table(spark, folder, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Centroids and assignments of each round as one chain of tables."""
+    out = []
+    for n in range(rounds + 1):
+        out.append(f"""d{n} AS (SELECT v.key, c.cluster, CAST(list_sum(list_transform(list_zip(v.vec, c.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance
+            FROM v, c{n} c),
+        a{n} AS (SELECT key, min(cluster) AS cluster, distance FROM d{n} WHERE (key, distance) IN (SELECT key, min(distance) FROM d{n} GROUP BY key) GROUP BY key, distance)""")
+        if n < rounds:
+            out.append(f"""s{n} AS (SELECT cluster, i, sum(x) AS total, count(*) AS n FROM (
+                SELECT a.cluster, unnest(v.vec) AS x, unnest(range(64)) AS i FROM a{n} a JOIN v USING (key)) GROUP BY cluster, i),
+            m{n} AS (SELECT cluster, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS vec FROM s{n} GROUP BY cluster),
+            c{n + 1} AS (SELECT c.cluster, coalesce(m.vec, c.vec) AS vec FROM c{n} c LEFT JOIN m{n} m USING (cluster))""")
+    return ",\n".join(out)
+
+
+@query("op13_orchard_clusters", f"""
+    WITH v AS (
+        SELECT row_number() OVER () AS key, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, vec) - 1 AS cluster, vec FROM v
+           QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, vec) <= 16),
+    {_rounds_sql(3)},
+    t AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY cluster)
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, cluster_inertia, CAST((SELECT sum(cluster_inertia) FROM t) AS BIGINT) AS inertia,
+           sha256(array_to_string(c.vec, ',')) AS centroid_sha256
+    FROM a3 JOIN v USING (key) JOIN t USING (cluster) JOIN c3 c USING (cluster)""")
+def orchard_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    from veldspar.llm.clustering import cluster
+
+    return cluster(table(spark, folder, "embeddings"))[0]
