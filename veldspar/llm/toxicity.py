@@ -6,7 +6,7 @@ out before comparing.  A sentence is a bag of words and counts as its worst word
 
 Landmarks are words, or beginnings of words, of the training sentences: those that most tell toxic from other documents, and some common words.  With them a
 word becomes a short vector (Nystroem), on which a linear support vector machine is trained, with the sentences as bags: the worst word of each
-is found with the machine of the round before.  The trained machine is one number per word, computed once per different word and task.  A document scores as its worst sentence; a logistic curve
+is found with the machine of the round before.  The trained machine is one number per word, computed once per different word in a Python worker.  A document scores as its worst sentence; a logistic curve
 fitted on the training documents turns that into 0 to 1.
 
 Training takes at most ``SAMPLE_ROWS`` labelled documents of each class, of at most ``SAMPLE_BYTES`` bytes each, by the order of a hash of
@@ -122,9 +122,11 @@ class WordKernel:
             a = _codes([parts[i] for i in some], max(len(parts[i]) for i in some))
             rows = np.array([of[i] for i in some])
             has = _characters(a)
-            own = np.maximum(_kernel(a, a), 1e-9)
-            for k, code in enumerate(self.codes):
-                near = np.flatnonzero(np.bitwise_count(has & self.characters[k]) >= min(self.least[k], len(code)))
+            alike = [np.flatnonzero(np.bitwise_count(has & self.characters[k]) >= min(self.least[k], len(code))) for k, code in enumerate(self.codes)]
+            own, asked = np.zeros(len(a)), np.unique(np.concatenate(alike)) if alike else np.zeros(0, int)
+            if len(asked):
+                own[asked] = np.maximum(_kernel(a[asked], a[asked]), 1e-9)
+            for k, (code, near) in enumerate(zip(self.codes, alike)):
                 if len(near):
                     value = _kernel(a[near], code) / np.sqrt(own[near] * self.own[k])
                     np.maximum.at(out[:, k], rows[near], value ** POWER)
@@ -224,6 +226,16 @@ class WordValues:
         return np.array([memo[k] for k in listed])[inverse]
 
 
+_KEPT: list[WordValues] = []
+
+
+def values_of(machine: Machine) -> WordValues:
+    """The word values of a machine; the tasks that a Python worker runs one after the other share them, for the last machine only."""
+    if not _KEPT or _KEPT[0].machine is not machine:
+        _KEPT[:] = [WordValues(machine)]
+    return _KEPT[0]
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of a slice and the first and last token of each sentence.
 
@@ -351,7 +363,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        values = WordValues(shared.value) if shared.value.constant is None else None
+        values = values_of(shared.value) if shared.value.constant is None else None
         for batch in batches:
             worst = values.worst(batch.column(1)) if values else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(worst))], [id_col, "score"])
