@@ -307,11 +307,28 @@ def _training(pages: list[str], n: int, seed: int, paths: Paths) -> list:
     return out
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES, n: int = LAYOUTS, seed: int = 11,
+def _sample(pages: DataFrame, html_col: str, sample: int, sample_bytes: int) -> list[str]:
+    """The beginnings of the ``sample`` pages with the smallest hashes, each text once; a task hands on no more than ``sample`` hashes."""
+    hashed = pages.filter(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("x"), F.col(html_col).alias("h"))
+
+    def smallest(batches):
+        kept = np.zeros(0, np.int64)
+        for batch in batches:
+            kept = np.unique(np.concatenate([kept, batch.column("x").to_numpy()]))[:sample]
+        yield pa.RecordBatch.from_arrays([pa.array(kept)], names=["x"])
+
+    last = hashed.select("x").mapInArrow(smallest, "x long").distinct().orderBy("x").limit(sample).agg(F.max("x")).first()[0]
+    if last is None:
+        return []
+    chosen = hashed.filter(F.col("x") <= last).groupBy("x").agg(F.min(F.substring("h", 1, sample_bytes)).alias("h"))
+    return [r["h"] for r in sorted(chosen.collect())]
+
+
+def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES, n: int = LAYOUTS, seed: int = 11,
         rounds: int = 8) -> recurrent.Labeller:
     """Train on layouts made of a sample of at most ``sample`` pages (the first ``sample_bytes`` characters of each), chosen by a hash of their text."""
-    some = pages.filter(F.col(html_col).isNotNull()).select(F.substring(html_col, 1, sample_bytes).alias("h"), F.xxhash64(html_col).alias("x"))
-    rows = [r["h"] for r in some.orderBy("x", "h").limit(sample).collect()]
+    prepare_workers(pages.sparkSession)
+    rows = _sample(pages, html_col, sample, sample_bytes)
     paths = Paths(PATH_BUCKETS)
     model = recurrent.Labeller.fresh(PATH_BUCKETS, WORD_BUCKETS, PLAIN, seed)
     recurrent.train(model, _training(rows, n, seed, paths), rounds, 24, seed)
