@@ -116,6 +116,8 @@ def test_match_lines(spark):  # D13
     df = spark.createDataFrame([(1, "\nselect a,\n  sysdate,\n  nvl(b, 1)\nfrom t;")], "file_id int, text string")
     found = R.locate_matches(R.scan(split_statements(df), default_rules()), default_rules())
     assert {(r["rule_id"], r["stmt_line"], r["match_line"]) for r in found.collect()} == {("FN_001", 2, 3), ("FN_003", 2, 4)}
+    once = R.scan_places(split_statements(df), default_rules())
+    assert {(r["rule_id"], r["stmt_line"], r["match_line"]) for r in once.collect()} == {("FN_001", 2, 3), ("FN_003", 2, 4)}
 
 
 def test_distinct_rewrite_equals_plain(spark):

@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from veldspar.functions.scalar import as_col
 
 # The lexical pieces of SQL text that hide other characters from a search.
-LITERAL = r"'[^']*+(?:''[^']*+)*+'"
+# q'[...]' and its like end with the mark that closes the one they begin with; doubled quotes mean nothing there.
+ALTERNATIVE = (r"(?<![\w$#])(?i:n?q)'(?:\[(?s:.*?)\]'|\{(?s:.*?)\}'|\((?s:.*?)\)'|<(?s:.*?)>'"
+               r"|(?<mark>[^\s\[{(<'])(?s:.*?)\k<mark>')")
+LITERAL = rf"(?:{ALTERNATIVE}|'[^']*+(?:''[^']*+)*+')"
+QUOTED_NAME = r'"[^"\n]*+"'
 LINE_COMMENT = r"--[^\n]*+"
 BLOCK_COMMENT = r"/\*(?s:.*?)\*/"
 HINT = r"/\*\+[^*]*\*/"
 HINT_NOTE = "/* Oracle hint removed */"
+# A name as it is written without quotes, and a run of its characters that is not the beginning of a q-literal.
+IDENTIFIER = r"[\w$#]+"
+WORD_RUN = r"(?!(?i:n?q)')[\w$#]++"
 
 
 def normalize_newlines(c) -> Column:
@@ -23,11 +30,17 @@ def mask_sql(c) -> Column:
     """Empty every string literal and drop every comment.
 
     One pass with one alternation, so that a quote in a comment or a dash in a literal is read as
-    what it is.  Literals become '' and comments a space.
+    what it is.  Literals become '' and comments a space; quoted names stay.
     """
-    hidden = F.regexp_replace(as_col(c), f"({LITERAL})|{LINE_COMMENT}|{BLOCK_COMMENT}", "\u0001$1")
+    hidden = F.regexp_replace(as_col(c), rf"""(?=["'\-/nNqQ])(?:({QUOTED_NAME})|({LITERAL})|{LINE_COMMENT}|{BLOCK_COMMENT})""", "$1\u0001$2")
     literals = F.regexp_replace(hidden, "\u0001" + LITERAL, "''")
-    return F.replace(literals, F.lit("\u0001"), F.lit(" "))
+    names = F.regexp_replace(literals, f"({QUOTED_NAME})\u0001", "$1")
+    return F.replace(names, F.lit("\u0001"), F.lit(" "))
+
+
+def strip_comments(c) -> Column:
+    """Drop comments, keep literals and quoted names."""
+    return F.regexp_replace(as_col(c), rf"""(?=["'\-/nNqQ])(?:({QUOTED_NAME}|{LITERAL})|{LINE_COMMENT}|{BLOCK_COMMENT})""", "$1")
 
 
 def strip_hints(c) -> Column:

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.functions.arrays import let, unnest
-from veldspar.functions.text import BLOCK_COMMENT, LINE_COMMENT, LITERAL, mask_sql
+from veldspar.functions.text import IDENTIFIER, LITERAL, QUOTED_NAME, WORD_RUN, mask_sql, strip_comments
 
 KEYS = ["file_id", "stmt_no"]
 
 # Names, and the DDL words that may stand between CREATE and the object kind.
-NAME = r'"?(\w+)"?'
+NAME = rf'({QUOTED_NAME}|{IDENTIFIER})'
 QUALIFIED = rf'(?:{NAME}\s*\.\s*)?{NAME}'
 CREATE = r"^CREATE\s+(?:(?:OR\s+REPLACE|GLOBAL\s+TEMPORARY|UNIQUE|BITMAP|FORCE|PUBLIC|EDITIONABLE|NONEDITIONABLE)\s+)*+"
 OBJECT_KINDS = (
@@ -34,38 +34,54 @@ ORACLE_FUNCTIONS = [
 ]
 
 
-# A literal, a bracket or comma, or the text between them.
-PIECE = rf"{LITERAL}|[(),]|[^(),']+|'"
+# A literal or quoted name, a bracket or comma, or the text between them.
+PIECE = rf"{LITERAL}|{QUOTED_NAME}|[(),]|(?:{WORD_RUN}|[^(),'\"\w$#]++)++|(?s:.)"
 
 
 def group_items(c: Column) -> Column:
-    """struct(whole, items, closed) of the first parenthesised group, nested to any depth.
+    """struct(whole, items, closed, rest) of the first parenthesised group, nested to any depth.
 
-    One fold over the text's brackets and commas; commas inside nested groups or literals don't separate.  ``whole`` is the
-    group without its own brackets.  A group that never ends has ``closed`` false.
+    One fold over the text's brackets and commas that keeps places only; the texts are cut out at the end.  Commas inside nested groups, literals or quoted
+    names don't separate.  ``whole`` is the group without its own brackets.  A group that never ends has ``closed`` false and reaches to the end of the text;
+    ``rest`` is what follows its last comma.
     """
-    start = F.expr("named_struct('depth', 0, 'item', '', 'whole', '', 'items', cast(array() as array<string>), 'closed', false)")
-
-    def state(depth: Column, item: Column, whole: Column, items: Column, closed: Column) -> Column:
-        return F.struct(depth.alias("depth"), item.alias("item"), whole.alias("whole"), items.alias("items"), closed.alias("closed"))
+    start = F.expr("named_struct('depth', 0, 'at', 1, 'open', 0, 'item', 0, 'close', 0, 'cuts', cast(array() as array<struct<a: int, b: int>>))")
 
     def step(acc: Column, piece: Column) -> Column:
-        depth, item, whole, items, open_ = acc["depth"], acc["item"], acc["whole"], acc["items"], F.lit(False)
-        trimmed = F.trim(item, F.lit(" \t\n"))
-        listed = F.when(trimmed == "", items).otherwise(F.array_append(items, trimmed))
-        grown = state(depth + F.when(piece == "(", 1).when(piece == ")", -1).otherwise(0), F.concat(item, piece), F.concat(whole, piece), items, open_)
-        return (F.when(acc["closed"] | ((depth == 0) & (piece != "(")), acc)
-                .when(depth == 0, state(F.lit(1), item, whole, items, open_))
-                .when((depth == 1) & (piece == ")"), state(F.lit(0), F.lit(""), whole, listed, F.lit(True)))
-                .when((depth == 1) & (piece == ","), state(depth, F.lit(""), F.concat(whole, piece), listed, open_))
-                .otherwise(grown))
+        depth, at = acc["depth"], acc["at"]
+        after = at + F.char_length(piece)
+
+        def state(depth: Column, open_: Column, item: Column, close: Column, cuts: Column) -> Column:
+            return F.struct(depth.alias("depth"), after.alias("at"), open_.alias("open"), item.alias("item"), close.alias("close"), cuts.alias("cuts"))
+
+        cut = F.array_append(acc["cuts"], F.struct(acc["item"].alias("a"), at.alias("b")))
+        moved = state(depth + F.when(piece == "(", 1).when(piece == ")", -1).otherwise(0), acc["open"], acc["item"], acc["close"], acc["cuts"])
+        return (F.when(acc["close"] > 0, acc)
+                .when((depth == 0) & (piece != "("), state(depth, acc["open"], acc["item"], acc["close"], acc["cuts"]))
+                .when(depth == 0, state(F.lit(1), after, after, acc["close"], acc["cuts"]))
+                .when((depth == 1) & (piece == ")"), state(F.lit(0), acc["open"], acc["item"], at, cut))
+                .when((depth == 1) & (piece == ","), state(depth, acc["open"], after, acc["close"], cut))
+                .otherwise(moved))
+
+    def finish(text: Column, acc: Column) -> Column:
+        closed = acc["close"] > 0
+        end = F.when(closed, acc["close"]).otherwise(acc["at"])
+        rest = F.when(closed | (acc["open"] == 0), "").otherwise(F.trim(F.substring(text, acc["item"], end - acc["item"]), F.lit(" \t\n")))
+        items = F.transform(acc["cuts"], lambda x: F.trim(F.substring(text, x["a"], x["b"] - x["a"]), F.lit(" \t\n")))
+        whole = F.when(acc["open"] > 0, F.substring(text, acc["open"], end - acc["open"])).otherwise("")
+        return F.struct(whole.alias("whole"), F.filter(items, lambda x: x != "").alias("items"), closed.alias("closed"), rest.alias("rest"))
 
-    return F.aggregate(F.regexp_extract_all(c, F.lit(PIECE), F.lit(0)), start, step)
+    return let(c, lambda text: let(F.aggregate(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), start, step), lambda acc: finish(text, acc)))
 
 
-def strip_comments(c: Column) -> Column:
-    """Drop comments, keep literals."""
-    return F.regexp_replace(c, f"({LITERAL})|{LINE_COMMENT}|{BLOCK_COMMENT}", "$1")
+def all_items(group: Column) -> Column:
+    """A group's items, with what is left of one that never ends."""
+    return F.concat(group["items"], F.when(group["rest"] != "", F.array(group["rest"])).otherwise(F.array().cast("array<string>")))
+
+
+def _plain(name: Column) -> Column:
+    """A name without its quotes."""
+    return F.regexp_replace(name, r'^"|"$', "")
 
 
 def _extract(c: Column, pattern: str, group: int = 1) -> Column:
@@ -74,7 +90,7 @@ def _extract(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _names(c: Column) -> Column:
-    return F.transform(F.split(c, ","), lambda n: F.trim(n, F.lit(' \t\n"')))
+    return F.transform(F.regexp_extract_all(c, F.lit(rf"(?:{QUOTED_NAME}|[^,\"])+"), F.lit(0)), lambda n: F.trim(n, F.lit(' \t\n"')))
 
 
 def _of_type(stmts: DataFrame, *types: str) -> DataFrame:
@@ -89,9 +105,9 @@ def objects(stmts: DataFrame) -> DataFrame:
     is_synonym = F.col("stmt_type") == "CREATE_SYNONYM"
     return _of_type(stmts, *OBJECT_TYPES).select(
         *KEYS, "stmt_line", kind.alias("kind"),
-        _extract(text, head, 2).alias("schema_name"),
-        F.regexp_extract(text, head, 3).alias("object_name"),
-        F.when(is_synonym, _extract(text, r"(?i)\bFOR\s+(\w+(?:\.\w+)?)")).alias("target"),
+        _plain(_extract(text, head, 2)).alias("schema_name"),
+        _plain(F.regexp_extract(text, head, 3)).alias("object_name"),
+        F.when(is_synonym, F.replace(_extract(text, rf"(?i)\bFOR\s+({NAME}(?:\.{NAME})?)"), F.lit('"'), F.lit(""))).alias("target"),
         F.when(is_synonym, text.rlike(r"(?i)^CREATE\s+(?:OR\s+REPLACE\s+)?PUBLIC\b")).alias("is_public"),
     )
 
@@ -102,14 +118,30 @@ def parse_errors(object_rows: DataFrame) -> DataFrame:
         *KEYS, "stmt_line", "kind", F.concat(F.lit("no name found in CREATE "), "kind").alias("error"))
 
 
+def list_errors(stmts: DataFrame) -> DataFrame:
+    """Column and parameter lists that never end, and columns whose name or type could not be read: rows as ``parse_errors`` gives them."""
+    head = F.regexp_extract(F.col("text"), rf"(?i){CREATE}{OBJECT_KINDS}\b", 1)
+    listed = F.when(F.col("stmt_type") == "CREATE_TABLE", _table_list()).otherwise(_parameter_list())
+    rows = _of_type(stmts, "CREATE_TABLE", "CREATE_PROCEDURE", "CREATE_FUNCTION").select(*KEYS, "stmt_line", "stmt_type", F.upper(head).alias("kind"), listed.alias("list"))
+    unread = F.filter(all_items(F.col("list")), lambda x: ~x.rlike(_CONSTRAINT_ITEM) & ~x.rlike(rf"(?is)^{NAME}\s+\w"))
+    errors = F.concat(F.when((F.col("list.whole") != "") & ~F.col("list.closed"), F.array(F.lit("list never ends"))).otherwise(F.array().cast("array<string>")),
+                      F.when(F.col("stmt_type") == "CREATE_TABLE", F.transform(unread, lambda x: F.concat(F.lit("no column found in: "), F.substring(x, 1, 80))))
+                      .otherwise(F.array().cast("array<string>")))
+    return unnest(rows, [*KEYS, "stmt_line", "kind"], errors, "_pos", "error").drop("_pos")
+
+
 _CONSTRAINT_ITEM = r"(?i)^(?:CONSTRAINT|PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE|CHECK)\b"
 
 
+def _table_list() -> Column:
+    """A table's list as ``group_items`` reads it; the list of a table made by a query is none."""
+    listed = F.regexp_extract(strip_comments(F.col("text")), rf"(?is){CREATE}TABLE\s+{QUALIFIED}\s*(\(.*)$", 3)
+    return group_items(listed)
+
+
 def _table_items(stmts: DataFrame) -> DataFrame:
-    text = strip_comments(F.col("text"))
-    table = F.regexp_extract(text, rf"(?i){CREATE}TABLE\s+{QUALIFIED}", 2)
-    items = group_items(F.regexp_extract(text, r"(?s)\(.*$", 0))["items"]
-    return unnest(_of_type(stmts, "CREATE_TABLE"), [*KEYS, table.alias("table_name")], items, "pos", "item")
+    table = _plain(F.regexp_extract(strip_comments(F.col("text")), rf"(?i){CREATE}TABLE\s+{QUALIFIED}", 2))
+    return unnest(_of_type(stmts, "CREATE_TABLE"), [*KEYS, table.alias("table_name")], let(_table_list(), all_items), "pos", "item")
 
 
 def columns(stmts: DataFrame) -> DataFrame:
@@ -121,7 +153,7 @@ def columns(stmts: DataFrame) -> DataFrame:
     rows = _table_items(stmts).filter(~item.rlike(_CONSTRAINT_ITEM))
     numbered = rows.select(
         *KEYS, "table_name", (F.col("pos") + 1).alias("position"),
-        F.regexp_extract(item, shape, 1).alias("column_name"),
+        _plain(F.regexp_extract(item, shape, 1)).alias("column_name"),
         F.concat(F.regexp_extract(item, shape, 2), F.regexp_extract(item, shape, 5)).alias("data_type"),
         _extract(item, shape, 3).alias("precision"),
         _extract(item, shape, 4).alias("scale"),
@@ -134,43 +166,48 @@ def columns(stmts: DataFrame) -> DataFrame:
 
 def constraints(stmts: DataFrame) -> DataFrame:
     """Table constraints: name, kind, columns, referenced table and columns, check condition."""
-    named = r"(?i)^CONSTRAINT\s+(\w+)\s+"
+    named = rf"(?i)^CONSTRAINT\s+{NAME}\s+"
     item = F.col("item")
     rest = F.regexp_replace(item, named, "")
     rows = _table_items(stmts).filter(item.rlike(_CONSTRAINT_ITEM)).withColumn("rest", rest)
     rest = F.col("rest")
     kind = F.upper(F.regexp_replace(F.regexp_extract(rest, r"(?i)^(PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE|CHECK)", 1), r"\s+", " "))
     keyed = kind.isin("PRIMARY KEY", "FOREIGN KEY", "UNIQUE")
-    ref = rf"(?i)\bREFERENCES\s+(?:\w+\.)?(\w+)\s*(?:\(([^)]*)\))?"
+    ref = rf"(?i)\bREFERENCES\s+(?:(?:{QUOTED_NAME}|{IDENTIFIER})\s*\.\s*)?{NAME}\s*(?:\(([^)]*)\))?"
     return rows.select(
-        *KEYS, "table_name", _extract(item, named).alias("constraint_name"), kind.alias("kind"),
+        *KEYS, "table_name", _plain(_extract(item, named)).alias("constraint_name"), kind.alias("kind"),
         F.when(keyed, _names(F.regexp_extract(rest, r"\(([^)]*)\)", 1))).alias("columns"),
-        _extract(rest, ref, 1).alias("ref_table"),
-        F.when(rest.rlike(rf"(?i)\bREFERENCES\s+[\w.]+\s*\("), _names(F.regexp_extract(rest, ref, 2))).alias("ref_columns"),
+        _plain(_extract(rest, ref, 1)).alias("ref_table"),
+        F.when(rest.rlike(r"(?i)\bREFERENCES\s+[\w.$#\"]+\s*\("), _names(F.regexp_extract(rest, ref, 2))).alias("ref_columns"),
         F.when(kind == "CHECK", F.trim(group_items(rest)["whole"])).alias("condition"),
     )
 
 
+_ROUTINE_HEAD = rf"(?i){CREATE}(?:PROCEDURE|FUNCTION)\s+{QUALIFIED}"
+
+
+def _parameter_list() -> Column:
+    return group_items(F.regexp_extract(strip_comments(F.col("text")), rf"(?s){_ROUTINE_HEAD}\s*(\(.*)$", 3))
+
+
 def parameters(stmts: DataFrame) -> DataFrame:
     """Routine parameters with direction, type and default; position 0 is a function's return value."""
     text = strip_comments(F.col("text"))
-    head = rf"(?i){CREATE}(?:PROCEDURE|FUNCTION)\s+{QUALIFIED}"
-    shape = r"(?is)^(\w+)\s+(?:(IN\s+OUT|IN|OUT)\b\s*)?(?:NOCOPY\s+)?(.+?)(?:\s*(?:\bDEFAULT\b|:=)\s*(.+))?$"
+    shape = rf"(?is)^{NAME}\s+(?:(IN\s+OUT|IN|OUT)\b\s*)?(?:NOCOPY\s+)?(.+?)(?:\s*(?:\bDEFAULT\b|:=)\s*(.+))?$"
     base = _of_type(stmts, "CREATE_PROCEDURE", "CREATE_FUNCTION").select(
-        *KEYS, F.regexp_extract(text, head, 2).alias("routine"), text.alias("text"),
-        group_items(F.regexp_extract(text, rf"(?s){head}\s*(\(.*)$", 3))["items"].alias("list"),
-        (F.col("stmt_type") == "CREATE_FUNCTION").alias("is_function"))
+        *KEYS, _plain(F.regexp_extract(text, _ROUTINE_HEAD, 2)).alias("routine"), text.alias("text"),
+        let(_parameter_list(), all_items).alias("list"), (F.col("stmt_type") == "CREATE_FUNCTION").alias("is_function"))
     item = F.col("item")
     given = unnest(base, [*KEYS, "routine"], F.col("list"), "pos", "item").select(
         *KEYS, "routine", (F.col("pos") + 1).alias("position"),
-        F.regexp_extract(item, shape, 1).alias("parameter"),
+        _plain(F.regexp_extract(item, shape, 1)).alias("parameter"),
         F.coalesce(F.upper(F.regexp_replace(_extract(item, shape, 2), r"\s+", " ")), F.lit("IN")).alias("direction"),
         F.regexp_extract(item, shape, 3).alias("data_type"),
         _extract(item, shape, 4).alias("default_value"))
     returned = base.filter("is_function").select(
         *KEYS, "routine", F.lit(0).alias("position"), F.lit(None).cast("string").alias("parameter"),
         F.lit("RETURN").alias("direction"),
-        F.regexp_extract("text", rf"(?i)\bRETURN\s+([\w.%]+(?:\s*\([^)]*\))?)", 1).alias("data_type"),
+        F.regexp_extract("text", rf"(?i)\bRETURN\s+([\w.%$#]+(?:\s*\([^)]*\))?)", 1).alias("data_type"),
         F.lit(None).cast("string").alias("default_value"))
     return given.unionByName(returned)
 
@@ -178,13 +215,13 @@ def parameters(stmts: DataFrame) -> DataFrame:
 def package_members(stmts: DataFrame) -> DataFrame:
     """Procedures and functions declared in packages, in order."""
     text = mask_sql(F.col("text"))
-    found = F.regexp_extract_all(text, F.lit(r"(?i)\b((?:PROCEDURE|FUNCTION)\s+\w+)"), F.lit(1))
-    kept = [*KEYS, F.regexp_extract(text, rf"(?i){CREATE}PACKAGE\s+(?:BODY\s+)?{QUALIFIED}", 2).alias("package"),
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)\b((?:PROCEDURE|FUNCTION)\s+{NAME})"), F.lit(1))
+    kept = [*KEYS, _plain(F.regexp_extract(text, rf"(?i){CREATE}PACKAGE\s+(?:BODY\s+)?{QUALIFIED}", 2)).alias("package"),
             (F.col("stmt_type") == "CREATE_PACKAGE_BODY").alias("is_body")]
     rows = unnest(_of_type(stmts, "CREATE_PACKAGE", "CREATE_PACKAGE_BODY"), kept, found, "pos", "member")
     return rows.select(*KEYS, "package", "is_body", (F.col("pos") + 1).alias("position"),
                        F.upper(F.regexp_extract("member", r"^(\w+)", 1)).alias("kind"),
-                       F.regexp_extract("member", r"\s(\w+)$", 1).alias("member_name"))
+                       _plain(F.regexp_extract("member", rf"^\w+\s+{NAME}$", 1)).alias("member_name"))
 
 
 def triggers(stmts: DataFrame) -> DataFrame:
@@ -195,10 +232,10 @@ def triggers(stmts: DataFrame) -> DataFrame:
     events = F.array_compact(F.array(*[
         F.when(head.rlike(rf"(?i)\b{e}\b"), F.lit(e)) for e in ("INSERT", "UPDATE", "DELETE")]))
     return rows.select(
-        *KEYS, F.regexp_extract(head, rf"(?i)\bTRIGGER\s+{QUALIFIED}", 2).alias("trigger_name"),
+        *KEYS, _plain(F.regexp_extract(head, rf"(?i)\bTRIGGER\s+{QUALIFIED}", 2)).alias("trigger_name"),
         F.upper(F.regexp_replace(F.regexp_extract(head, r"(?i)\b(BEFORE|AFTER|INSTEAD\s+OF)\b", 1), r"\s+", " ")).alias("timing"),
         events.alias("events"),
-        F.regexp_extract(head, rf"(?i)\bON\s+{QUALIFIED}", 2).alias("table_name"),
+        _plain(F.regexp_extract(head, rf"(?i)\bON\s+{QUALIFIED}", 2)).alias("table_name"),
         head.rlike(r"(?i)\bFOR\s+EACH\s+ROW\b").alias("row_level"),
         F.nullif(F.trim(group_items(F.regexp_extract(head, r"(?is)\bWHEN\s*(\(.*)$", 1))["whole"]), F.lit("")).alias("when_clause"))
 
@@ -212,9 +249,9 @@ def properties(stmts: DataFrame) -> DataFrame:
     of_index = {
         "unique": text.rlike(r"(?i)^CREATE\s+UNIQUE\b").cast("string"),
         "bitmap": text.rlike(r"(?i)^CREATE\s+(?:UNIQUE\s+)?BITMAP\b").cast("string"),
-        "table": _extract(text, index, 4),
+        "table": _plain(_extract(text, index, 4)),
         "columns": F.array_join(group_items(F.regexp_extract(text, index, 5))["items"], ","),
-        "tablespace": _extract(text, r"(?i)\bTABLESPACE\s+(\w+)"),
+        "tablespace": _plain(_extract(text, rf"(?i)\bTABLESPACE\s+{NAME}")),
     }
     of_sequence = {
         "start": _extract(text, rf"(?i)\bSTART\s+WITH{number}"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import astuple, fields
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions.arrays import unnest
+from veldspar.functions.spans import protect_sql, restore_sql, sql_text
 from veldspar.operators.rule_table import Rule, default_rules
 from veldspar.operators.skew import lookup_join
 
@@ -95,37 +97,125 @@ def add_user_rules(rules: DataFrame, user_rules: DataFrame) -> DataFrame:
     return rules.unionByName(user_rules.filter("rule_order <> 0")).unionByName(unset)
 
 
-# --- scan -----------------------------------------------------------------------------------
+# --- which rules a text has to go through ---------------------------------------------------
+
+_ASCII = sql_text("abcdefghijklmnopqrstuvwxyz"), sql_text("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
 
-def sql_text(value: str) -> str:
-    """A SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def whole_word(rule: Rule) -> bool:
+    """Whether every match holds the rule's token as a word of its own, as its pattern says."""
+    if not re.fullmatch(r"[A-Z0-9_]+", rule.token):
+        return False
+    before, after = r"(?:\\b|\\s\+|\\s\+\)\?)(?:\(\?:)?", r"(?:\\b|\\s\+|\\s\*\\[(n])"
+    body = re.sub(r"^\(\?[is]+\)", "", rule.pattern)
+    return all(re.search(before + "$", body[:m.start()]) and re.match(after, body[m.end():])
+               for m in re.finditer(re.escape(rule.token), body, re.I)) and rule.token in body.upper()
 
 
-def _due_sql(rule: Rule, upper: str, kind: str | None, token: str) -> str:
-    """Condition under which a rule has to look at a text: statement type first, then the token."""
-    tests = []
-    if rule.scope and kind:
-        tests.append(f"{kind} IN ({', '.join(map(sql_text, rule.scope))})")
-    if token:
-        tests.append(f"contains({upper}, {sql_text(token)})")
-    return " AND ".join(tests) or "true"
+class Candidates:
+    """Which rules have to look at a text, worked out from one pass over its words.
+
+    The words of a text meet the rules' tokens once; each of the handful that remains names its rules by a map, one map per group of statement types.  Tokens that
+    are no words are looked for on their own.  For a rewrite, a token also names the rules whose token a rule of its own could bring in.
+    """
 
+    def __init__(self, ruleset: list[Rule], rewriting: bool):
+        self.rules = ruleset
+        tokens = {r.token for r in ruleset if r.token}
+        self.words = sorted(t for t in tokens if all(whole_word(r) for r in ruleset if r.token == t))
+        self.parts = sorted(tokens.difference(self.words))
+        brings = [{i for i, r in enumerate(ruleset) if i > e and rewriting and x.mode == "fix" and r.token and r.token in x.replacement.upper()}
+                  for e, x in enumerate(ruleset)]
+        # a rule due brings in others, which may bring in more
+        self.leads = [{i} for i in range(len(ruleset))]
+        for e in range(len(ruleset) - 1, -1, -1):
+            for i in brings[e]:
+                self.leads[e] |= self.leads[i]
+        kinds = sorted({k for r in ruleset for k in r.scope})
+        self.groups: dict[frozenset, list[str]] = {}
+        for k in kinds:
+            self.groups.setdefault(frozenset(i for i, r in enumerate(ruleset) if not r.scope or k in r.scope), []).append(k)
+        self.anywhere = frozenset(i for i, r in enumerate(ruleset) if not r.scope)
+
+    def ready(self, df: DataFrame, text: str, kind: str | None) -> DataFrame:
+        """``df`` with the column ``_due``: the numbers of the rules that have to look, in order; ``text`` and ``kind`` are SQL."""
+        found = df.withColumn("_upper", F.expr(self.upper_sql(text))).withColumn("_words", F.expr(self.words_sql("`_upper`")))
+        return found.withColumn("_due", F.expr(self.due_sql("`_upper`", "`_words`", kind))).drop("_upper", "_words")
+
+    def upper_sql(self, text: str) -> str:
+        """Letters A-Z only: what the patterns take as equal."""
+        return f"translate({text}, {_ASCII[0]}, {_ASCII[1]})"
+
+    def words_sql(self, upper: str) -> str:
+        """The tokens among a text's words, and those found that are no words."""
+        known = ", ".join(map(sql_text, self.words))
+        words = f"array_distinct(filter(regexp_extract_all({upper}, '[A-Z0-9_]++', 0), w -> w IN ({known})))" if known else "CAST(array() AS array<string>)"
+        if not self.parts:
+            return words
+        parts = ", ".join(f"CASE WHEN contains({upper}, {sql_text(t)}) THEN {sql_text(t)} END" for t in self.parts)
+        return f"concat({words}, array_compact(array({parts})))"
+
+    def due_sql(self, upper: str, words: str, kind: str | None) -> str:
+        """Numbers of the rules that have to look, in order."""
+        def named(allowed: frozenset[int]) -> str:
+            by_token: dict[str, set[int]] = {}
+            for i in allowed:
+                by_token.setdefault(self.rules[i].token, set()).update(self.leads[i] & allowed)
+            always = by_token.pop("", set())
+            pairs = ", ".join(f"{sql_text(t)}, array({', '.join(map(str, sorted(n)))})" for t, n in sorted(by_token.items()))
+            found = f"flatten(transform({words}, w -> coalesce(try_element_at(map({pairs}), w), CAST(array() AS array<int>))))" if pairs else "CAST(array() AS array<int>)"
+            found = f"concat(array({', '.join(map(str, sorted(always)))}), {found})" if always else found
+            return f"sort_array(array_distinct({found}))" if any(len(x) > 1 for x in self.leads) else f"sort_array({found})"
+
+        if not kind or not self.groups:
+            return named(frozenset(range(len(self.rules))) if not kind else self.anywhere)
+        cases = " ".join(f"WHEN {kind} IN ({', '.join(map(sql_text, kinds))}) THEN {named(allowed)}" for allowed, kinds in self.groups.items())
+        return f"CASE WHEN size({words}) = 0 AND {str(all(r.token for r in self.rules)).lower()} THEN CAST(array() AS array<int>) {cases} ELSE {named(self.anywhere)} END"
+
+
+def _chosen(n: int, number: str, branch, otherwise: str) -> str:
+    """``branch(i)`` for i = ``number``, found in two steps."""
+    groups = []
+    for low in range(0, n, _STEP):
+        branches = " ".join(f"WHEN {i} THEN {branch(i)}" for i in range(low, min(n, low + _STEP)))
+        groups.append(f"WHEN {number} < {low + _STEP} THEN CASE {number} {branches} ELSE {otherwise} END")
+    return f"CASE {' '.join(groups)} ELSE {otherwise} END"
+
+
+# Rules whose number is looked up together.
+_STEP = 12
 
-def match_patterns(texts: DataFrame, rules: DataFrame | Iterable[Rule], text: str = "text",
-                   stmt_type: str | None = None) -> DataFrame:
+
+# --- scan -----------------------------------------------------------------------------------
+
+def match_patterns(texts: DataFrame, rules: DataFrame | Iterable[Rule], text: str = "text", stmt_type: str | None = None, protect: bool = False,
+                   places: bool = False) -> DataFrame:
     """Every (text row, rule) pair whose pattern matches, as one narrow pass over the texts.
 
-    The patterns are literals of the plan, so each is compiled once per task; a row first checks the
-    rule's token against its upper-cased text.  Nothing is joined or shuffled.
+    The patterns are literals of the plan, so each is compiled once per task, and only the rules whose token is among a text's words search it.
+    Nothing is joined or shuffled.  ``protect`` hides what literals, quoted names and comments say; ``places`` adds ``match_pos``, the place of the first match in the text.
     """
     ruleset = rules_list(rules)
     kept = list(texts.columns)
-    hits = ", ".join(
-        f"CASE WHEN {_due_sql(r, '_upper', stmt_type, r.token)} AND `{text}` RLIKE {sql_text(r.pattern)} "
-        f"THEN {_facts_sql(r)} END" for r in ruleset)
-    ready = texts.withColumn("_upper", F.upper(text)).withColumn("_hits", F.expr(f"array_compact(array({hits}))"))
-    return unnest(ready, kept, F.col("_hits"), "_pos", "r").select(*kept, "r.*")
+    seen = texts.withColumn("_seen", F.expr(protect_sql(f"`{text}`"))) if protect else texts.withColumn("_seen", F.struct(F.col(text).alias("text")))
+    if not ruleset:
+        return texts.select(*kept, F.expr(f"CAST(NULL AS {_FACTS_TYPE})").alias("r")).select(*kept, "r.*").limit(0)
+    ready = Candidates(ruleset, rewriting=False).ready(seen, "`_seen`.text", f"`{stmt_type}`" if stmt_type else None)
+    if places:
+        at = _chosen(len(ruleset), "i", lambda i: f"regexp_instr(`_seen`.text, {sql_text(ruleset[i].pattern)})", "0")
+        found = ready.withColumn("_hits", F.expr(f"filter(transform(`_due`, i -> named_struct('i', i, 'at', {at})), h -> h.at > 0)"))
+    else:
+        here = _chosen(len(ruleset), "i", lambda i: f"`_seen`.text RLIKE {sql_text(ruleset[i].pattern)}", "false")
+        found = ready.withColumn("_hits", F.expr(f"filter(`_due`, i -> {here})"))
+    rows = unnest(found, [*kept, "_seen"], F.col("_hits"), "_pos", "_hit")
+    number = F.col("_hit.i") if places else F.col("_hit")
+    out = [*kept, F.element_at(rule_facts(ruleset), number + 1).alias("r")]
+    if places:
+        before = F.substring(F.col("_seen.text"), F.lit(1), F.col("_hit.at") - 1)
+        hidden = rows.withColumn("_before", before)
+        whole = F.expr(restore_sql("`_before`", "`_seen`.kept")) if protect else F.col("_before")
+        return hidden.select(*out, whole.alias("_before")).select(*kept, "r.*", (F.char_length("_before") + 1).alias("match_pos"))
+    return rows.select(*out).select(*kept, "r.*")
 
 
 def _facts_sql(rule: Rule) -> str:
@@ -134,24 +224,39 @@ def _facts_sql(rule: Rule) -> str:
             f"'description', {sql_text(rule.description)}, 'rule_order', {rule.rule_order})")
 
 
+_FACTS_TYPE = "struct<rule_id: string, category: string, severity: string, description: string, rule_order: int>"
+
+
 def rule_facts(ruleset: list[Rule]) -> Column:
     """What a finding says about each rule, as a constant array."""
     return F.expr(f"array({', '.join(map(_facts_sql, ruleset))})")
 
 
-def scan(stmts: DataFrame, rules: DataFrame | Iterable[Rule], text: str = "text") -> DataFrame:
-    """Findings of all rules, detect-only ones included, each within its statement types."""
-    return match_patterns(stmts, rules, text, "stmt_type" if "stmt_type" in stmts.columns else None)
+def scan(stmts: DataFrame, rules: DataFrame | Iterable[Rule], text: str = "text", protect: bool = True, places: bool = False) -> DataFrame:
+    """Findings of all rules, detect-only ones included, each within its statement types; what literals, quoted names and comments say is no finding."""
+    return match_patterns(stmts, rules, text, "stmt_type" if "stmt_type" in stmts.columns else None, protect, places)
+
 
+def scan_places(stmts: DataFrame, rules: DataFrame | Iterable[Rule], text: str = "text", first_line: str = "stmt_line", protect: bool = True) -> DataFrame:
+    """``scan`` with the position of each first match in its text, and the line it lies on; each pattern searches a text once."""
+    return _with_line(scan(stmts, rules, text, protect, places=True), text, first_line)
 
-def locate_matches(findings: DataFrame, rules: DataFrame | Iterable[Rule], text: str = "text",
-                   first_line: str = "stmt_line") -> DataFrame:
-    """Position of each finding's first match in its text, and the line it lies on."""
+
+def locate_matches(findings: DataFrame, rules: DataFrame | Iterable[Rule], text: str = "text", first_line: str = "stmt_line", protect: bool = True) -> DataFrame:
+    """Position of each finding's first match in its text, and the line it lies on, for findings that come without."""
     ruleset = rules_list(rules)
-    patterns = F.array(*[F.lit(r.pattern) for r in ruleset])
-    names = F.array(*[F.lit(f"{r.rule_order} {r.rule_id}") for r in ruleset])
-    pattern = F.element_at(patterns, F.array_position(names, F.concat_ws(" ", "rule_order", "rule_id")).cast("int"))
-    placed = findings.withColumn("match_pos", F.regexp_instr(F.col(text), pattern))
+    numbers = {f"{r.rule_order} {r.rule_id}": i for i, r in enumerate(ruleset)}
+    number = F.array_position(F.array(*map(F.lit, numbers)), F.concat_ws(" ", "rule_order", "rule_id")).cast("int") - 1
+    seen = findings.withColumn("_seen", F.expr(protect_sql(f"`{text}`")) if protect else F.struct(F.col(text).alias("text"), F.array().cast("array<string>").alias("kept")))
+    order = list(numbers.values())
+    at = _chosen(len(order), "`_number`", lambda n: f"regexp_instr(`_seen`.text, {sql_text(ruleset[order[n]].pattern)})", "0")
+    placed = seen.withColumn("_number", number).withColumn("_at", F.expr(at))
+    before = placed.withColumn("_before", F.expr("substring(`_seen`.text, 1, `_at` - 1)"))
+    found = before.withColumn("match_pos", F.when(F.col("_at") > 0, F.char_length(F.expr(restore_sql("`_before`", "`_seen`.kept"))) + 1).otherwise(F.col("_at")))
+    return _with_line(found.drop("_seen", "_number", "_at", "_before"), text, first_line)
+
+
+def _with_line(placed: DataFrame, text: str, first_line: str) -> DataFrame:
     before = F.substring(F.col(text), F.lit(1), F.col("match_pos") - 1)
     down = F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit("")))
     return placed.withColumn("match_line", F.col(first_line) + down)
@@ -159,58 +264,61 @@ def locate_matches(findings: DataFrame, rules: DataFrame | Iterable[Rule], text:
 
 # --- rewrite --------------------------------------------------------------------------------
 
-def due_rules_sql(ruleset: list[Rule], upper: str, kind: str) -> str:
-    """Array of the rules a statement has to go through, in order.
+def _apply_sql(ruleset: list[Rule], text: str, due: str) -> str:
+    """struct(text, ledger): the due rules (numbers, in order) applied one after the other, and those that acted.
 
-    A rule is left out by its token only if no earlier replacement could have brought the token in.
+    Each rule is a branch with its own literal pattern, compiled once per task; the branches are found in two steps.  The replaced text is bound by
+    a one-element ``transform`` so that it is computed once.
     """
-    cases = []
-    for i, r in enumerate(ruleset):
-        brought_in = any(r.token in e.replacement.upper() for e in ruleset[:i] if e.mode == "fix")
-        cases.append(
-            f"CASE WHEN {_due_sql(r, upper, kind, '' if brought_in else r.token)} THEN named_struct('i', {i}, "
-            f"'fix', {str(r.mode == 'fix').lower()}, 'pattern', {sql_text(r.pattern)}, "
-            f"'replacement', {sql_text(r.replacement)}) END")
-    return f"array_compact(array({', '.join(cases)}))"
-
+    def act(i: int, r: Rule) -> str:
+        if r.mode != "fix":
+            return f"CASE WHEN acc.text RLIKE {sql_text(r.pattern)} THEN named_struct('text', acc.text, 'ledger', array_append(acc.ledger, {i})) ELSE acc END"
+        return (f"transform(array(regexp_replace(acc.text, {sql_text(r.pattern)}, {sql_text(r.replacement)})), "
+                f"new -> CASE WHEN new <> acc.text THEN named_struct('text', new, 'ledger', array_append(acc.ledger, {i})) ELSE acc END)[0]")
 
-def fold_sql(text: str, due: str) -> str:
-    """struct(text, ledger): the due rules applied one after the other, and those that acted.
-
-    The replaced text is bound by a one-element ``transform`` so that it is computed once.
-    """
-    entry = "named_struct('text', {}, 'ledger', array_append(acc.ledger, r.i))"
-    return (
-        f"aggregate({due}, named_struct('text', {text}, 'ledger', CAST(array() AS array<int>)), (acc, r) -> "
-        "CASE WHEN r.fix THEN transform(array(regexp_replace(acc.text, r.pattern, r.replacement)), "
-        f"new -> CASE WHEN new <> acc.text THEN {entry.format('new')} ELSE acc END)[0] "
-        f"WHEN acc.text RLIKE r.pattern THEN {entry.format('acc.text')} ELSE acc END)"
-    )
+    step = _chosen(len(ruleset), "i", lambda i: act(i, ruleset[i]), "acc")
+    return f"aggregate({due}, named_struct('text', {text}, 'ledger', CAST(array() AS array<int>)), (acc, i) -> {step})"
 
 
 def rewrite_sql(text: str, kind: str, ruleset: list[Rule]) -> str:
     """The whole rewrite as one expression over SQL fragments, for use inside array lambdas."""
-    return (f"transform(array(named_struct('text', {text}, 'upper', upper({text}), 'kind', {kind})), "
-            f"v -> {fold_sql('v.text', due_rules_sql(ruleset, 'v.upper', 'v.kind'))})[0]")
-
-
-def rewrite(stmts: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame:
+    if not ruleset:
+        return f"named_struct('text', {text}, 'ledger', CAST(array() AS array<int>))"
+    c = Candidates(ruleset, rewriting=True)
+    steps = [
+        ("v", f"named_struct('seen', {protect_sql(text)}, 'kind', {kind})"),
+        ("w", f"named_struct('seen', v.seen, 'kind', v.kind, 'upper', {c.upper_sql('v.seen.text')})"),
+        ("u", f"named_struct('seen', w.seen, 'kind', w.kind, 'upper', w.upper, 'words', {c.words_sql('w.upper')})"),
+        ("d", f"named_struct('seen', u.seen, 'due', {c.due_sql('u.upper', 'u.words', 'u.kind')})"),
+        ("x", f"named_struct('seen', d.seen, 'done', {_apply_sql(ruleset, 'd.seen.text', 'd.due')})")]
+    out = f"named_struct('text', {restore_sql('x.done.text', 'x.seen.kept')}, 'ledger', x.done.ledger)"
+    for name, value in reversed(steps):
+        out = f"transform(array({value}), {name} -> {out})[0]"
+    return out
+
+
+def rewrite(stmts: DataFrame, rules: DataFrame | Iterable[Rule], protect: bool = True) -> DataFrame:
     """Statements with ``new_text`` and ``ledger`` (structs of the rules that acted, in order).
 
-    The due rules are worked out in generated code; the fold then sees the handful that remain, and
-    statements without any skip it.
+    What literals, quoted names and comments say stays as it is (``protect``; off for plain prose).  The due rules are worked out in generated code;
+    the fold then sees the handful that remain, and statements without any skip it.
     """
     ruleset = rules_list(rules)
-    due = stmts.withColumn("_upper", F.upper("text")).withColumn(
-        "_due", F.expr(due_rules_sql(ruleset, "_upper", "stmt_type")))
-    untouched = F.struct(F.col("text").alias("text"), F.array().cast("array<int>").alias("ledger"))
-    done = due.withColumn(
-        "_done", F.when(F.size("_due") == 0, untouched).otherwise(F.expr(fold_sql("text", "_due"))))
+    nothing = F.array().cast("array<int>")
+    if not ruleset:
+        facts = F.expr(f"slice(array({_facts_sql(default_rules()[0])}), 1, 0)")
+        return stmts.withColumns({"new_text": F.col("text"), "ledger": facts})
+    candidates = Candidates(ruleset, rewriting=True)
+    seen = stmts.withColumn("_seen", F.expr(protect_sql("`text`")) if protect else F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("kept")))
+    due = candidates.ready(seen, "`_seen`.text", "`stmt_type`")
+    untouched = F.struct(F.col("_seen.text").alias("text"), nothing.alias("ledger"))
+    done = due.withColumn("_done", F.when(F.size("_due") == 0, untouched).otherwise(F.expr(_apply_sql(ruleset, "`_seen`.text", "`_due`"))))
     facts = rule_facts(ruleset)
+    new_text = F.when(F.size("_done.ledger") == 0, F.col("text")).otherwise(F.expr(restore_sql("`_done`.text", "`_seen`.kept")))
     return done.withColumns({
-        "new_text": F.col("_done.text"),
+        "new_text": new_text,
         "ledger": F.transform("_done.ledger", lambda i: F.element_at(facts, i + 1)),
-    }).drop("_done", "_due", "_upper")
+    }).drop("_done", "_due", "_seen")
 
 
 def rewrite_distinct(stmts: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame:

@@ -10,15 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.functions.arrays import let, running_totals, unnest
-from veldspar.functions.text import BLOCK_COMMENT, LINE_COMMENT, LITERAL, mask_sql, normalize_newlines
+from veldspar.functions.text import BLOCK_COMMENT, LINE_COMMENT, LITERAL, QUOTED_NAME, WORD_RUN, mask_sql, normalize_newlines
 
 # How statements begin and end in a script.
 GAP = rf"(?:\s++|{LINE_COMMENT}|{BLOCK_COMMENT})++"
 LEAD = rf"(?:\s++|{LINE_COMMENT}|{BLOCK_COMMENT})*+"
 BLOCK_OPENER = r"CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:NON)?EDITIONABLE\s+)?(?:PACKAGE|PROCEDURE|FUNCTION|TRIGGER|TYPE\s+BODY)\b"
 ANONYMOUS = r"(?i)^\s*+(?:DECLARE|BEGIN)\b"
-# Text up to the next ';' outside literals and comments; a stray quote or slash counts as text.
-PIECE = rf"((?:[^;'\-/]++|-(?!-)|{LINE_COMMENT}|/(?!\*)|{BLOCK_COMMENT}|{LITERAL}|['/])++)"
+# A line of its own with nothing but a slash ends a statement too.
+LONE_SLASH = r"(?<=\n[ \t]{0,64})/(?=[ \t]*+(?:\n|\z))"
+
+
+def _piece(run: str, stray: str) -> str:
+    """Text up to the next ';' or lone slash outside literals, names and comments; a stray quote or slash counts as text."""
+    some = rf"(?:{run}|-(?!-)|{LINE_COMMENT}|(?!{LONE_SLASH})/(?!\*)|{BLOCK_COMMENT}|{LITERAL}|{QUOTED_NAME}|(?!{LONE_SLASH}){stray})++"
+    return rf"((?:{LONE_SLASH})?+{some}|{LONE_SLASH})"
+
+
+PIECE = _piece(r"[^;'\"\-/]++", r"['\"/]")
+# The same for texts with q-literals, word by word.
+PIECE_Q = _piece(rf"[^;'\"\-/\w$#]++|{WORD_RUN}", r"['\"/\w$#]")
 
 # Statement types by their leading words, first match wins.
 STATEMENT_TYPES = [
@@ -177,8 +188,8 @@ def _part(raw: Column, block, count: Column) -> Column:
 
 
 def _pieces(chunk: Column) -> Column:
-    return F.transform(F.regexp_extract_all(chunk, F.lit(PIECE), F.lit(1)),
-                       lambda p: _part(p, False, newlines(p)))
+    found = F.when(chunk.rlike("[qQ]'"), F.regexp_extract_all(chunk, F.lit(PIECE_Q), F.lit(1))).otherwise(F.regexp_extract_all(chunk, F.lit(PIECE), F.lit(1)))
+    return F.transform(found, lambda p: _part(p, False, newlines(p)))
 
 
 def _segment_parts(segment: Column) -> Column:

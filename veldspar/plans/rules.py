@@ -26,7 +26,7 @@ REWRITTEN = {
     3: "SELECT /* Oracle hint removed */ o.o_orderkey, c.c_name FROM orders o, customer c WHERE o.o_custkey = c.c_custkey(+)",
     4: "SELECT c_custkey FROM customer\nEXCEPT\nSELECT o_custkey FROM orders WHERE o_orderkey = {k}",
     5: "CREATE OR REPLACE VIEW syn_{k} AS SELECT * FROM hr.orders",
-    6: "SELECT 'a;b''CURRENT_TIMESTAMP' AS lit_{k},\n  DECODE(o_orderstatus, 'F', 1, 0) FROM orders WHERE ROWNUM <= 10",
+    6: "SELECT 'a;b''SYSDATE' AS lit_{k},\n  DECODE(o_orderstatus, 'F', 1, 0) FROM orders WHERE ROWNUM <= 10",
     7: "CREATE OR REPLACE PROCEDURE pr_{k}(p_id IN NUMERIC, OUT p_out VARCHAR2)\nAS $$\nDECLARE\n  v NUMERIC(12,2);\nBEGIN\n"
        "  IF p_id > 0 THEN\n    p_out := 'x;y';\n  END IF;\nEND; $$ LANGUAGE plpgsql;",
     8: "CREATE OR REPLACE TRIGGER tr_{k}\n  BEFORE INSERT ON orders\n  FOR EACH ROW\nBEGIN\n"
@@ -37,7 +37,7 @@ REWRITTEN = {
 }
 LEDGER = {
     0: "FN_001 FN_003", 1: "DT_023 DT_002 DT_021 DT_006 DT_014 SX_STORAGE SX_STORAGE SX_STORAGE FN_001",
-    2: "SEQ_002 SEQ_003 SEQ_004", 3: "JOIN_001 HINT_001", 4: "SX_007", 5: "SYN_001", 6: "FN_001 FN_005 FN_016",
+    2: "SEQ_002 SEQ_003 SEQ_004", 3: "JOIN_001 HINT_001", 4: "SX_007", 5: "SYN_001", 6: "FN_005 FN_016",
     7: "PL_003 PL_004 PL_006 DT_001 DT_003", 8: "TR_001 TR_002 PL_004 FN_001 FN_003", 9: "OBJ_004 SX_009",
     10: "SX_005 SX_006", 11: "FN_022 SX_001 SX_002 SX_001",
 }
@@ -118,7 +118,7 @@ SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', '(mail)', 'g
 """)
 def user_rule(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text", F.lit("UNKNOWN").alias("stmt_type"))
-    masked = rules.rewrite(docs, [r for r in USER_RULES if r.mode == "fix"])
+    masked = rules.rewrite(docs, [r for r in USER_RULES if r.mode == "fix"], protect=False)
     return masked.select("doc_id", "new_text", F.get("ledger", F.lit(0))["severity"].alias("severity"))
 
 
@@ -179,8 +179,7 @@ def severity_counts(spark, d):
 WITH {STATEMENTS_SQL}, {_LINE_SQL} SELECT file_id, stmt_no, rule_id, stmt_line + line AS match_line FROM placed JOIN {_SCAN_SQL} USING (tid)
 """)
 def match_line(spark, d):
-    found = rules.scan(split(spark, d), default_rules())
-    return rules.locate_matches(found, default_rules()).select("file_id", "stmt_no", "rule_id", "match_line")
+    return rules.scan_places(split(spark, d), default_rules()).select("file_id", "stmt_no", "rule_id", "match_line")
 
 
 @query("rewrite_schema", f"""

@@ -85,3 +85,39 @@ SCRIPTS_SQL = (
     + ", scripts AS (SELECT file_id, string_agg(stmt || CASE WHEN tid IN (7, 8) THEN chr(10) || '/' ELSE ';' END, "
     "chr(10) ORDER BY k) AS text FROM stmts GROUP BY file_id)"
 )
+
+
+# Statements that need more than a search for ';' (o_orderkey % 7); all but the last two are ended by a lone '/'.
+ODD_TEMPLATES = [
+    "SELECT q'[it's {k}; SYSDATE]' AS a, nq'!x;'y!' AS b, N'z' FROM dual",
+    "CREATE TABLE emp$audit_{k} (note# VARCHAR2(20), \"a; -- b\" NUMBER(5), made DATE DEFAULT SYSDATE, rate NUMBER DEFAULT f(1, ','))",
+    "SELECT a\n  / b, 'MINUS' -- SYSDATE; {k}\nFROM t /* NVL(x, {k}) */\nMINUS\nSELECT \"DATE\", NVL(c, 'NVL(') FROM u",
+    "CREATE TABLE open_{k} (a NUMBER, b VARCHAR2(5), c DATE",
+    "BEGIN\n  log#('end;', q'{begin}');\nEND",
+    "CREATE OR REPLACE FUNCTION f$_{k}(p_in# IN NUMBER, \"P; Out\" OUT VARCHAR2) RETURN NUMBER\nIS\nBEGIN\n  RETURN LENGTH(q'<;'>');\nEND;",
+    "CREATE SYNONYM \"Syn {k}\" FOR hr.emp$audit",
+]
+ODD_BY_SEMICOLON = (5, 6)
+
+
+def odd_keys(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("k")
+    tid = (key % len(ODD_TEMPLATES)).cast("int")
+    text = F.element_at(F.array(*[F.lit(t) for t in ODD_TEMPLATES]), tid + 1)
+    return order_keys(spark, folder).select(F.col("o_orderkey").alias("k"), "file_id").select(
+        "k", "file_id", tid.alias("tid"), F.replace(text, F.lit("{k}"), key.cast("string")).alias("stmt"))
+
+
+def odd_scripts(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_id, text): ten statements to a file."""
+    ended = F.concat("stmt", F.when(F.col("tid") == 6, ";").when(F.col("tid") == 5, "").otherwise("\n/"))
+    pieces = F.array_sort(F.collect_list(F.struct("k", ended.alias("p"))))
+    return odd_keys(spark, folder).groupBy("file_id").agg(F.array_join(F.transform(pieces, lambda s: s["p"]), "\n").alias("text"))
+
+
+ODD_SQL = (
+    "stmts AS (SELECT o_orderkey AS k, CAST(o_orderkey % 7 AS INTEGER) AS tid, o_orderkey // 10 AS file_id, "
+    "CAST(o_orderkey % 10 + 1 AS INTEGER) AS stmt_no, replace(CASE o_orderkey % 7 "
+    + " ".join(f"WHEN {i} THEN {_quote(t)}" for i, t in enumerate(ODD_TEMPLATES))
+    + " END, '{k}', CAST(o_orderkey AS VARCHAR)) AS stmt FROM orders)"
+)
