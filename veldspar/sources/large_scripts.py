@@ -21,7 +21,7 @@ from veldspar.functions.spans import BEGINS, PIECES, sql_text
 from veldspar.functions.text import BLOCK_COMMENT, LINE_COMMENT, LITERAL, QUOTED_NAME, WORD_RUN
 from veldspar.operators.statements import BLOCK_OPENER, split_statements
 from veldspar.session import materialize
-from veldspar.sources.scripts import EXTENSIONS, any_case_glob
+from veldspar.sources.scripts import EXTENSIONS, any_case_glob, read_scripts
 
 CHUNK_LINES = 1000
 # Chunks whose maps are composed in one row.
@@ -170,3 +170,18 @@ def split_large(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     return found.join(counts, ["path", "first_line"]).select(
         "path", (F.col("before") + F.col("stmt_no")).cast("int").alias("stmt_no"), (F.col("first_line") + F.col("stmt_line") - 1).alias("stmt_line"),
         "stmt_type", "leading_comment", "text")
+
+
+def split_archive(spark: SparkSession, path: str, most: int | None = None, exts: Iterable[str] = EXTENSIONS) -> DataFrame:
+    """The statements of all UTF-8 scripts of a directory tree: files up to ``most`` bytes within their row, larger ones by sections.
+
+    ``most`` is at most what one row may hold (``spark.sql.sources.binaryFile.maxLength``), which is also its default.
+    """
+    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    most = limit if most is None else min(most, limit)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case_glob(exts)).load(path)
+    names = [f.name for f in listed.schema if f.name in ("path", "length")]
+    large = listed.select(*names).filter(F.col("length") > most).select("path")  # sizes come from the listing; no file is opened
+    small = split_statements(read_scripts(spark, path, exts, largest=most).select("path", "text"))
+    big = split_large(read_lines(spark, path, exts).join(large, "path", "left_semi"))
+    return small.withColumn("stmt_no", F.col("stmt_no").cast("int")).unionByName(big)

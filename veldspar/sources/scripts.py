@@ -30,16 +30,18 @@ def decoder(encoding: str):
 
 
 def read_scripts(spark: SparkSession, path: str, exts: Iterable[str] = EXTENSIONS, encoding: str = "utf-8",
-                 on_unreadable: str = "fail") -> DataFrame:
+                 on_unreadable: str = "fail", largest: int | None = None) -> DataFrame:
     """Script table (file_id, path, text, error) of a directory tree.
 
     Endings are matched while listing, so other files are never opened.  UTF-8 stays in the JVM;
     other encodings go through Arrow batches.  With ``on_unreadable='row'`` a file that is too large
     or cannot be read becomes a row with NULL text and an error; this needs a second pass over the
-    bytes.
+    bytes.  Files of more than ``largest`` bytes are left to ``large_scripts``.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case_glob(exts))
     files = reader.load(path)
+    if largest is not None:
+        files = files.filter(F.col("length") <= largest)  # applied before a file is opened
     if on_unreadable == "row":
         most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
         lenient = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(path)
