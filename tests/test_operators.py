@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from veldspar.functions.arrays import running_totals
 from veldspar.operators import aggregates, constraints, dml, joins, mviews, ordering, sequences, sets, skew, windows
-from veldspar.operators.hierarchy import connect_by
+from veldspar.operators.hierarchy import connect_by, connect_by_doubling
+from veldspar.session import materialize
 
 
 def rows(df):
@@ -183,3 +184,36 @@ def test_running_totals(spark, n):
         df = df.select(F.array().cast("array<bigint>").alias("a"))
     got = df.select(running_totals(F.col("a"), 64).alias("t")).first()["t"]
     assert got == [i * (i + 1) // 2 for i in range(n)]
+
+
+def test_jumps_give_what_levels_give(spark, monkeypatch):
+    import random
+
+    from veldspar.operators import hierarchy
+
+    rng = random.Random(3)
+    data = [(i, rng.randrange(i) if i % 17 else (None if i % 2 else 10_000), rng.choice(["b", "a", None])) for i in range(1, 300)] + [(None, 5, "x"), (None, None, "y")]
+    df = spark.createDataFrame(data, "id int, mgr int, n string").repartition(3)
+    start = F.col("mgr").isNull() & F.col("id").isNotNull()
+    want = connect_by(df, "id", "mgr", start, path="n", siblings="n")
+    got = connect_by_doubling(df, "id", "mgr", start, path="n", siblings="n")
+    assert rows(got.drop("root")) == rows(want) and got.columns == ["id", "mgr", "n", "level", "root", "path", "sibling_key"]
+    stored = []
+    monkeypatch.setattr(hierarchy, "materialize", lambda d, label: stored.append(label) or materialize(d, label))
+    chain = spark.range(3_000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("mgr"))
+    deep = connect_by_doubling(chain, "id", "mgr", F.col("id") == 0)
+    assert deep.filter("level <> id + 1 OR root <> 0").count() == 0 and deep.count() == 3_000
+    assert stored.count("pointers") <= 14
+
+
+def test_jumps_on_circles_and_double_places(spark):
+    loop = spark.createDataFrame([(5, 7), (6, 5), (7, 6), (8, 9), (9, 8), (10, 9)], "id int, mgr int")
+    with pytest.raises(ValueError, match="loop"):
+        connect_by_doubling(loop, "id", "mgr", F.col("id") == 5)
+    assert rows(connect_by_doubling(loop, "id", "mgr", F.col("id") == 5, nocycle=True).select("id", "level")) == [(5, 1), (6, 2), (7, 3)]
+    with pytest.raises(ValueError, match="below another"):
+        connect_by_doubling(loop, "id", "mgr", F.col("id").isin(5, 6))
+    with pytest.raises(ValueError, match="unique"):
+        connect_by_doubling(loop.union(loop), "id", "mgr", F.col("id") == 5)
+    assert connect_by_doubling(loop, "id", "mgr", F.col("id") == 99).count() == 0
+    assert connect_by_doubling(loop.limit(0), "id", "mgr", F.lit(True), path="id", siblings="id").count() == 0

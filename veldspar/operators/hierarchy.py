@@ -77,3 +77,54 @@ def connect_by(df: DataFrame, id: str, parent: str, start: Column, path: str | N
     levels = spark.read.schema(schema).parquet(*[f"{folder}/depth={d}" for d in range(1, depth + 1)])
     added = ["level", *(["path"] if path else []), *(["sibling_key"] if siblings else [])]
     return whole.drop("_start").join(levels.select("_row", *added), "_row").select(*df.columns, *added)
+
+
+def connect_by_doubling(df: DataFrame, id: str, parent: str, start: Column, path: str | None = None, sep: str = "/", nocycle: bool = False,
+                        siblings: str | None = None) -> DataFrame:
+    """``connect_by`` for deep hierarchies in which every row has one place: rounds grow with the logarithm of the depth.
+
+    Each row points at its parent, with the distance, the names and the sort keys of the way.  In a round every pointer is replaced by the pointer it points at
+    (jumps of 1, 2, 4, ... levels) until it stands on a start row or ends above.  Adds ``level`` and ``root`` (the start row's id), ``path`` and ``sibling_key``
+    as ``connect_by`` does.  A start row met again below itself is an error, or left out with ``nocycle``; rows on a circle without a start row belong to no tree.
+
+    Ids must be unique and no start row may lie below another one (rows would have two places): both are checked and are errors.  Rows without an id
+    can be neither parent nor start.  The children of one parent share a join key: every round is stored, so the adaptive join can split them.
+    """
+    spark = df.sparkSession
+    whole = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "hierarchy")
+    name = F.concat(F.lit(sep), F.coalesce(F.col(path).cast("string"), F.lit(""))) if path else F.lit("")
+    key = F.array(F.struct(F.col(siblings).isNull().alias("n"), F.col(siblings).alias("s"), F.col(id).alias("i"))) if siblings else F.array().cast("array<int>")
+    is_start = F.coalesce(start, F.lit(False))
+    rows = whole.select("_row", F.col(id).alias("_id"), F.col(parent).alias("_up"), is_start.alias("_start"), name.alias("_path"), key.alias("_key"))
+    # a start row stands on itself; the others on nothing yet
+    state = rows.select("_row", "_id", F.when(~F.col("_start"), F.col("_up")).alias("_up"), F.when(F.col("_start"), F.col("_id")).alias("_root"),
+                        F.lit(1).cast("long").alias("_level"), "_path", "_key")
+    state = materialize(state, "pointers")
+    ids = state.filter("_id IS NOT NULL")
+    total, different = ids.count(), ids.groupBy("_id").count().count()
+    if total != different:
+        raise ValueError("connect_by_doubling needs unique ids; use connect_by")
+    for _ in range(max(1, total).bit_length() + 1):
+        moving = state.filter("_up IS NOT NULL")
+        if moving.limit(1).count() == 0:
+            break
+        above = ids.select(F.col("_id").alias("_above"), F.col("_up").alias("_next"), F.col("_root").alias("_their"), F.col("_level").alias("_far"),
+                           F.col("_path").alias("_before"), F.col("_key").alias("_keys"))
+        jumped = moving.join(above, F.col("_up") == F.col("_above"), "left").select(
+            "_row", "_id", F.col("_next").alias("_up"), F.col("_their").alias("_root"), (F.col("_level") + F.coalesce("_far", F.lit(0))).alias("_level"),
+            F.concat(F.coalesce("_before", F.lit("")), "_path").alias("_path"), F.concat(F.coalesce("_keys", F.slice("_key", 1, 0)), "_key").alias("_key"))
+        state = materialize(state.filter("_up IS NULL").unionByName(jumped), "pointers")
+        ids = state.filter("_id IS NOT NULL")
+    placed = state.filter("_up IS NULL AND _root IS NOT NULL")
+    # where a start row's own parent has its place tells whether it is met again, below itself or below another start row
+    starts = rows.filter("_start").select(F.col("_id").alias("_s"), F.col("_up").alias("_above"))
+    met = starts.join(placed.select(F.col("_id").alias("_above"), F.col("_root").alias("_their")), "_above").select(
+        F.count_if(F.col("_their") == F.col("_s")).alias("loops"), F.count_if(F.col("_their") != F.col("_s")).alias("nested")).first()
+    if met["nested"]:
+        raise ValueError("a start row lies below another one; use connect_by")
+    if met["loops"] and not nocycle:
+        raise ValueError("CONNECT BY loop in data")
+    added = [F.col("_level").cast("int").alias("level"), F.col("_root").alias("root")]
+    added += ([F.col("_path").alias("path")] if path else []) + ([F.col("_key").alias("sibling_key")] if siblings else [])
+    names = ["level", "root", *(["path"] if path else []), *(["sibling_key"] if siblings else [])]
+    return whole.join(placed.select("_row", *added), "_row").select(*df.columns, *names)

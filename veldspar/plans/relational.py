@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veldspar.functions import scalar as S
 from veldspar.operators import aggregates, joins, ordering, sets, windows
-from veldspar.operators.hierarchy import connect_by
+from veldspar.operators.hierarchy import connect_by, connect_by_doubling
 from veldspar.plans.registry import query
 from veldspar.sources.tables import load
 
@@ -340,3 +340,21 @@ def connect_by_nocycle(spark, d):
     rows = c.join(F.broadcast(last), F.lit(True)).select(
         F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") == 0, F.col("last")).otherwise(F.expr("c_custkey div 8")).alias("boss"))
     return connect_by(rows, "id", "boss", F.col("id") == 0, nocycle=True).select("id", "boss", "level")
+
+
+@query("connect_by_deep", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10000 <> 0 THEN o_orderkey - 1 END AS boss, CAST(o_orderkey % 10000 + 1 AS INTEGER) AS level,
+       o_orderkey // 10000 * 10000 AS root FROM orders
+""")
+def connect_by_deep(spark, d):
+    """Chains of 10,000 rows, each below the one before."""
+    key = F.col("o_orderkey")
+    rows = load(spark, d, "orders").select(key.alias("id"), F.when(key % 10_000 != 0, key - 1).alias("boss"))
+    return connect_by_doubling(rows, "id", "boss", F.col("boss").isNull()).select("id", "boss", "level", "root")
+
+
+@query("connect_by_tree", _TREE_SQL + "SELECT employee_id, manager_id, level, path FROM tree")
+def connect_by_tree(spark, d):
+    """The tree of ``connect_by`` with jumps instead of levels."""
+    tree = connect_by_doubling(staff(spark, d), "employee_id", "manager_id", F.col("manager_id").isNull(), path="name")
+    return tree.select("employee_id", "manager_id", "level", "path")
