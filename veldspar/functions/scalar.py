@@ -6,13 +6,15 @@ is a string of length zero, not NULL.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldspar.functions.formats import format_pieces, has_element, has_names, spark_pattern
+from veldspar.functions.arrays import let
+from veldspar.functions.formats import format_pieces, has_element, has_names, is_number_model, number_model, spark_pattern
 
 
 def as_col(value) -> Column:
@@ -132,25 +134,92 @@ def to_date_ora(c, model: str) -> Column:
     c = as_col(c)
     if has_names(model):
         c = F.initcap(c)
-    parsed = F.call_function("try_to_timestamp", c, F.lit(spark_pattern(model))).cast("timestamp_ntz")
-    if has_element(model, "RR"):  # two digits from 50 on mean the century before
-        parsed = F.when(F.year(parsed) >= 2050, parsed - F.expr("INTERVAL '100' YEAR")).otherwise(parsed)
-    return parsed
+    def read(pattern: str) -> Column:
+        return F.call_function("try_to_timestamp", c, F.lit(pattern)).cast("timestamp_ntz")
 
+    def near(parsed: Column) -> Column:  # two digits from 50 on mean the century before
+        return F.when(F.year(parsed) >= 2050, parsed - F.expr("INTERVAL '100' YEAR")).otherwise(parsed)
 
-def to_char_ora(c, model: str) -> Column:
+    if has_element(model, "RRRR"):  # four digits are the year, two are read as RR
+        two = re.sub("RRRR", "RR", model, flags=re.IGNORECASE)
+        return F.coalesce(read(spark_pattern(model)), near(read(spark_pattern(two))))
+    parsed = read(spark_pattern(model))
+    return near(parsed) if has_element(model, "RR") else parsed
+
+
+def to_char_ora(c, model: str, currency: str = "$") -> Column:
+    """TO_CHAR of a date by a date model, or of a number by a number model (see ``to_char_number``)."""
     c = as_col(c)
+    if is_number_model(model):
+        return to_char_number(c, model, currency)
     fold = {"upper": F.upper, "lower": F.lower, "": lambda piece: piece}
-    parts = [fold[case](F.date_format(c, pattern)) for pattern, case in format_pieces(model)]
+    parts = []
+    for pattern, case, width in format_pieces(model):
+        text = fold[case](F.date_format(c, pattern))
+        parts.append(F.rpad(text, width, " ") if width else text)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def to_char_number(c, model: str, currency: str = "$") -> Column:
+    """TO_CHAR(number, model): rounded to the model's places, the sign next to the first digit, filled with blanks to the model's width.
+
+    A number with more digits than the model is shown as #.  FM leaves out the filling and the zeros that only 9s after the point would show.  L stands for
+    ``currency`` and takes up ten places, $ for a dollar sign.
+    """
+    m = number_model(model)
+    size = len(m.places)
+    value = as_col(c).cast(T.DecimalType(38, max(10, size)))
+
+    def digits_of(v: Column) -> Column:
+        text = F.round(F.abs(v), size).cast("string")
+        digits = F.regexp_replace(F.regexp_extract(text, r"^(\d+)", 1), "^0+", "")
+        after = F.rpad(F.regexp_extract(text, r"\.(\d+)", 1), size, "0") if size else F.lit("")
+        if not m.fill:
+            loose = size - len(m.places.rstrip("9"))
+            after = F.regexp_replace(after, f"0{{1,{loose}}}$", "") if loose else after
+        return F.struct((v < 0).alias("below"), digits.alias("digits"), after.alias("after"))
+
+    def filled(x: Column) -> Column:
+        digits = x["digits"]
+        shown = F.when(F.char_length(digits) < m.forced, F.lpad(digits, m.forced, "0")).otherwise(digits) if m.forced else digits
+        if not size and m.digits:  # without places a zero is shown
+            shown = F.when(digits == "", "0" * max(1, m.forced)).otherwise(shown)
+        return F.lpad(shown, max(1, m.digits), " ")
+
+    def grouped(whole: Column) -> Column:
+        parts, seen = [], 0
+        for mark in m.whole:
+            if mark == ",":
+                parts.append(F.when(F.trim(F.substring(whole, 1, seen)) == "", " ").otherwise(","))
+            else:
+                seen += 1
+                parts.append(F.substring(whole, seen, 1))
+        return F.ltrim(F.concat(*parts)) if parts else F.lit("")
+
+    def signed(below: Column, body: Column) -> Column:
+        blank = " " if m.fill else ""
+        pick = lambda yes, no: F.when(below, yes).otherwise(no)
+        text = {"": lambda: F.concat(pick("-", blank), body), "S first": lambda: F.concat(pick("-", "+"), body), "S last": lambda: F.concat(body, pick("-", "+")),
+                "MI": lambda: F.concat(body, pick("-", blank)), "PR": lambda: F.concat(pick("<", blank), body, pick(">", blank))}[m.sign]()
+        return F.lpad(text, m.width, " ") if m.fill else text
+
+    def shown(x: Column) -> Column:
+        body = let(filled(x), grouped)
+        if m.point and not m.fill:
+            body = let(body, lambda w: F.when((w == "") & (x["after"] == ""), "0").otherwise(w))
+        symbol = {"": "", "$": "$", "L": currency}[m.currency]
+        body = F.concat(F.lit(symbol), body, *([F.lit("."), x["after"]] if m.point else []))
+        return F.when(F.char_length(x["digits"]) > m.digits, "#" * m.width).otherwise(signed(x["below"], body))
+
+    return F.when(value.isNotNull(), let(value, lambda v: let(digits_of(v), shown)))
+
+
 def to_number_ora(c, model: str | None = None) -> Column:
-    """TO_NUMBER: NULL where the text is not a number."""
+    """TO_NUMBER: NULL where the text is not a number; L is read as a dollar sign, FM says nothing here."""
     c = as_col(c)
     if model is None:
         return F.trim(c).try_cast(T.DecimalType(38, 10))
-    return F.try_to_number(c, F.lit(model))
+    return F.try_to_number(c, F.lit(re.sub("^FM", "", model, flags=re.IGNORECASE).replace("L", "$")))
 
 
 # --- dates ----------------------------------------------------------------------------------

@@ -154,6 +154,40 @@ def to_char(spark, d):
     )
 
 
+@query("to_char_number", """
+WITH v AS (SELECT o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * CAST(o_totalprice AS DECIMAL(18, 2)) AS p FROM orders),
+w AS (SELECT *, format('{:,.2f}', CAST(abs(p) AS DOUBLE)) AS grouped, printf('%.2f', CAST(abs(p) AS DOUBLE)) AS plain, p < 0 AS neg FROM v)
+SELECT o_orderkey, lpad(CASE WHEN neg THEN '-' ELSE '' END || grouped, 15, ' ') AS money,
+       lpad(CASE WHEN neg THEN '-' ELSE '+' END || printf('%08d', CAST(floor(abs(p)) AS BIGINT)), 9, ' ') AS signed_,
+       lpad(plain || CASE WHEN neg THEN '-' ELSE ' ' END, 13, ' ') AS after, lpad(CASE WHEN neg THEN '<' || plain || '>' ELSE ' ' || plain || ' ' END, 14, ' ') AS brackets,
+       CASE WHEN neg THEN '-' ELSE '' END || regexp_replace(plain, '0{1,2}$', '') AS short_, lpad(CASE WHEN neg THEN '-$' ELSE '$' END || grouped, 16, ' ') AS dollars,
+       CASE WHEN abs(p) >= 99999.95 THEN '########' ELSE lpad(CASE WHEN neg THEN '-' ELSE '' END || printf('%.1f', round(abs(p), 1)), 8, ' ') END AS narrow
+FROM w
+""")
+def to_char_number(spark, d):
+    p = F.col("o_totalprice").cast("decimal(18,2)") * F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(1)
+    whole = p - p % 1
+    return load(spark, d, "orders").select(
+        "o_orderkey", S.to_char_ora(p, "999,999,990.99").alias("money"),
+        S.to_char_ora(whole, "S00000000").alias("signed_"), S.to_char_ora(p, "999999990.00MI").alias("after"), S.to_char_ora(p, "999999999.99PR").alias("brackets"),
+        S.to_char_ora(p, "FM999999990.99").alias("short_"), S.to_char_ora(p, "$999G999G990D00").alias("dollars"),
+        S.to_char_ora(p, "99999.9").alias("narrow"))
+
+
+@query("date_models", """
+SELECT o_orderkey, day(o_orderdate) || '.' || month(o_orderdate) || '.' || year(o_orderdate) AS short_,
+       upper(rpad(monthname(o_orderdate), 9, ' ')) || ' ' || strftime(o_orderdate, '%d') AS filled, monthname(o_orderdate) || ' ' || day(o_orderdate) AS named,
+       make_timestamp(CASE WHEN year(o_orderdate) % 100 >= 50 THEN 1900 ELSE 2000 END + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate), 0, 0, 0) AS two_digits,
+       date_trunc('day', o_orderdate) AS four_digits
+FROM orders
+""")
+def date_models(spark, d):
+    day = F.col("o_orderdate")
+    return load(spark, d, "orders").select(
+        "o_orderkey", S.to_char_ora(day, "FMDD.MM.YYYY").alias("short_"), S.to_char_ora(day, "MONTH DD").alias("filled"), S.to_char_ora(day, "FMMonth DD").alias("named"),
+        S.to_date_ora(F.date_format(day, "dd/MM/yy"), "DD/MM/RRRR").alias("two_digits"), S.to_date_ora(F.date_format(day, "dd/MM/yyyy"), "DD/MM/RRRR").alias("four_digits"))
+
+
 @query("to_number", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price,
        o_orderkey * 1000 AS grouped FROM orders
