@@ -81,6 +81,15 @@ def test_null_keys_never_violate_uniqueness(spark):
     assert sorted(map(tuple, rejects.collect())) == [(1, "c"), (3, "y")]
 
 
+def test_partly_null_keys_are_compared_in_all_their_columns(spark):
+    target = spark.createDataFrame([(1, None, "t"), (None, None, "u"), (2, 5, "v")], "a int, b int, v string")
+    rows = spark.createDataFrame([(1, None, "a"), (1, None, "b"), (None, None, "c"), (None, None, "d"), (None, 5, "e"), (None, 5, "f"), (2, None, "g"), (2, 5, "h")],
+                                 "a int, b int, v string")
+    table, rejects = dml.insert_unique(target, rows, ["a", "b"], ["v"])
+    assert sorted(r["v"] for r in table.collect()) == ["c", "d", "e", "g", "t", "u", "v"]
+    assert sorted(r["v"] for r in rejects.collect()) == ["a", "b", "f", "h"]
+
+
 def test_user_rules_come_last_and_equal_orders_keep_their_patterns(spark):
     table = rules.add_user_rules(rules.rules_df(spark), rules.rules_df(spark, [Rule("U2", "T", "AUTO", "detect", "", "b", "", "d"),
                                                                               Rule("U1", "T", "AUTO", "detect", "", "a", "", "d")]))

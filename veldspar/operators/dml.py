@@ -86,19 +86,23 @@ def insert_unique(target: DataFrame, rows: DataFrame, key: Sequence[str],
 
     Of new rows sharing a key the first in ``order`` (total within a key; NULLs first) enters.  The first of a
     key comes from a combined minimum and rejects are found by (key, order), so a key repeated in a
-    large part of the batch is not gathered anywhere.  A key with a NULL in it never violates uniqueness.
+    large part of the batch is not gathered anywhere.  A key that is NULL in all its columns never violates uniqueness; one that is NULL in some
+    is equal to a key with the same NULLs and the same values beside them.
     """
     key, order = list(key), list(order)
-    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
-    free, bound = rows.filter(~whole), rows.filter(whole)
+    some = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in key])
+    free, bound = rows.filter(~some), rows.filter(some)
     firsts = bound.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first")).select(*key, "_first.*")
-    taken = target.select(*key).distinct()
-    winners = firsts.join(taken, key, "left_anti")
     names = key + [o for o in order if o not in key]
-    winners = winners.select(*[F.col(c).alias(f"_w_{c}") for c in names])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in names])
-    accepted = bound.join(winners, same, "left_semi").unionByName(free)
-    rejects = bound.join(winners, same, "left_anti")
+    firsts = firsts.select(*[F.col(c).alias(f"_w_{c}") for c in names])
+    taken = target.select(*[F.col(k).alias(f"_t_{k}") for k in key]).filter(reduce(lambda a, b: a | b, [F.col(f"_t_{k}").isNotNull() for k in key])).distinct()
+
+    def same(left: str, right: str, columns: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"{left}{c}").eqNullSafe(F.col(f"{right}{c}")) for c in columns])
+
+    winners = firsts.join(taken, same("_w_", "_t_", key), "left_anti")
+    accepted = bound.join(winners, same("", "_w_", names), "left_semi").unionByName(free)
+    rejects = bound.join(winners, same("", "_w_", names), "left_anti")
     return target.unionByName(accepted.select(*target.columns)), rejects
 
 
