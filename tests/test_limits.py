@@ -90,6 +90,19 @@ def test_partly_null_keys_are_compared_in_all_their_columns(spark):
     assert sorted(r["v"] for r in rejects.collect()) == ["a", "b", "f", "h"]
 
 
+def test_versions_by_digests(spark):
+    old = spark.createDataFrame([(i, f"v{i}" if i % 9 else None, "") for i in range(4000)] + [(None, "n", "x")], "k int, v string, w string").repartition(5)
+    new = old.filter("k <> 70 OR k IS NULL").withColumn("v", F.when(F.col("k") == 8, None).when(F.col("k") == 9, "").otherwise(F.col("v"))).union(
+        spark.createDataFrame([(9999, "new", None)], "k int, v string, w string")).repartition(3)
+    got = joins.changed_rows(old, new, ["k"], ["v", "w"])
+    assert sorted((r["k"], r["change"], r["old_v"], r["new_v"]) for r in got.collect()) == [
+        (8, "UPDATE", "v8", None), (9, "UPDATE", None, ""), (70, "DELETE", "v70", None), (9999, "INSERT", None, "new")]
+    some = joins.differing_rows(old, new, ["k"], ["v", "w"])
+    assert all(0 < x.count() <= 60 for x in some)
+    assert [x.count() for x in joins.differing_rows(old, old, ["k"], ["v"])] == [0, 0]
+    assert joins.changed_rows(old.limit(0), old.limit(0), ["k"], ["v"]).count() == 0
+
+
 def test_user_rules_come_last_and_equal_orders_keep_their_patterns(spark):
     table = rules.add_user_rules(rules.rules_df(spark), rules.rules_df(spark, [Rule("U2", "T", "AUTO", "detect", "", "b", "", "d"),
                                                                               Rule("U1", "T", "AUTO", "detect", "", "a", "", "d")]))

@@ -33,15 +33,16 @@ def merge_upsert(target: DataFrame, source: DataFrame, on: Sequence[str],
     """
     on = list(on)
     single = materialize(unique_or_raise(source, on, "MERGE source holds a key twice"), "merge-source")
-    joined = lookup_join(target, _source_as(single, on), on, "left")
+    joined = lookup_join(target, _source_as(single, on), on, "left", stored=True)
     hit = F.col("_src").isNotNull()
     kept = joined.select(*[
         F.when(hit, as_col(update[c])).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c)
         if c in update and c not in on else F.col(c)
         for c in target.columns
     ])
-    # the target's keys are combined before they meet the source, so a key it repeats is one row here
-    fresh = _source_as(single, on).join(target.select(*on).distinct(), on, "left_anti")
+    # the target's keys are reduced to those the source has, and combined, so a key it repeats is one row here
+    known = lookup_join(target.select(*on), single.select(*on), on, "left_semi", stored=True).distinct()
+    fresh = _source_as(single, on).join(known, on, "left_anti")
     nothing = [F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns if c not in on]
     added = fresh.select("*", *nothing).select(*[
         F.col(c) if c in on else (as_col(insert[c]) if c in insert else F.col(c)).cast(target.schema[c].dataType).alias(c)

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.operators.skew import lookup_join, unique_or_raise
+from veldspar.operators.skew import lookup_join, maybe_broadcast, unique_or_raise
+from veldspar.session import materialize
 
 
 def plus_join(a: DataFrame, b: DataFrame, on, optional: str = "right") -> DataFrame:
@@ -56,6 +57,41 @@ def compare_versions(old: DataFrame, new: DataFrame, key: Sequence[str],
     return pairs.unionByName(gone, allowMissingColumns=True).unionByName(come, allowMissingColumns=True)
 
 
+# Rows of one bucket of keys when versions are compared by digests, and the most buckets there are.
+DIGEST_ROWS, MOST_BUCKETS = 4, 1 << 20
+
+
+def differing_rows(old: DataFrame, new: DataFrame, key: Sequence[str], cols: Sequence[str], buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of both versions in key buckets that differ; all rows of other buckets are the same in both.
+
+    Each side is reduced to one line per bucket: its number of rows and two sums of row hashes, in whatever order the rows come.  Only these lines are shuffled
+    and compared; the rows of equal buckets are dropped where they are read.
+    """
+    key, cols = list(key), list(cols)
+    if buckets is None:
+        rows = max(old.count(), new.count())
+        buckets = max(1, min(MOST_BUCKETS, rows // DIGEST_ROWS))
+    place = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    value = [*key, *cols]
+    # null and empty values hash alike, so their places are hashed too
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in value])
+    sums = [F.sum(h.cast("decimal(38,0)")) for h in (F.xxhash64(*value, nulls), F.xxhash64(F.lit(17), nulls, *reversed(value)))]
+
+    def digests(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(place.alias("_bucket")).agg(F.count(F.lit(1)).alias(f"{name}n"), sums[0].alias(f"{name}a"), sums[1].alias(f"{name}b"))
+
+    both = digests(old, "o").join(digests(new, "n"), "_bucket", "full")
+    differ = both.filter(~(F.col("on").eqNullSafe(F.col("nn")) & F.col("oa").eqNullSafe(F.col("na")) & F.col("ob").eqNullSafe(F.col("nb")))).select("_bucket")
+    differ = maybe_broadcast(materialize(differ, "differing-buckets"))
+    return tuple(v.withColumn("_bucket", place).join(differ, "_bucket", "left_semi").drop("_bucket") for v in (old, new))
+
+
+def changed_rows(old: DataFrame, new: DataFrame, key: Sequence[str], cols: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """``compare_versions`` without the SAME rows, for versions that are mostly the same: what is shuffled grows with the changes, not with the tables."""
+    before, after = differing_rows(old.select(*key, *cols), new.select(*key, *cols), key, cols, buckets)
+    return compare_versions(before, after, key, cols).filter("change <> 'SAME'")
+
+
 def lookup_one(df: DataFrame, ref: DataFrame, keys: Sequence[str], cols: Sequence[str],
                status: str = "lookup_status") -> DataFrame:
     """SELECT ... INTO per row: the single matching row's columns, with FOUND or NO_DATA_FOUND.

@@ -61,17 +61,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int = HOT_ROWS, stored: bool = False) -> DataFrame:
     """Join ``df`` with a lookup that has one row per key, whatever the spread of keys in ``df``.
 
-    The lookup is stored once, so that counting it doesn't work it out again.  One within the broadcast bounds is
+    The lookup is stored once (unless it is read from storage already: ``stored``), so that counting it doesn't work it out again.  One within the broadcast bounds is
     broadcast.  Otherwise, if some key owns more than ``hot_rows`` rows, the rows of hot keys get a salt and meet one copy
     of their lookup row per salt, while all other rows are joined by key as usual.
     """
     keys = list(keys)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join keeps the rows of its left side, not {how!r}")
-    lookup = materialize(lookup, "lookup")
+    lookup = lookup if stored else materialize(lookup, "lookup")
     if fits_broadcast(lookup):
         return df.join(F.broadcast(lookup), keys, how)
     largest = largest_group(df, keys)

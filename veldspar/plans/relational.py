@@ -117,6 +117,22 @@ def compare_versions(spark, d):
     return joins.compare_versions(c, changed_customers(c), ["c_custkey"], ["c_acctbal"])
 
 
+@query("changed_rows", """
+WITH n AS (SELECT CASE WHEN o_orderkey % 100 = 3 THEN o_orderkey + 100000000 ELSE o_orderkey END AS o_orderkey,
+                  CASE WHEN o_orderkey % 100 = 1 THEN 'X' WHEN o_orderkey % 100 = 2 THEN NULL ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 100 <> 4)
+SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, o.o_orderstatus AS old_o_orderstatus, n.s AS new_o_orderstatus,
+       CASE WHEN o.o_orderkey IS NULL THEN 'INSERT' WHEN n.o_orderkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS change
+FROM orders o FULL JOIN n ON o.o_orderkey = n.o_orderkey WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR o.o_orderstatus IS DISTINCT FROM n.s
+""")
+def changed_rows(spark, d):
+    """A version in which a few rows of a hundred were changed, moved or deleted."""
+    old = load(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    part = F.col("o_orderkey") % 100
+    status = F.when(part == 1, "X").when(part == 2, F.lit(None)).otherwise(F.col("o_orderstatus"))
+    new = old.filter(part != 4).select((F.col("o_orderkey") + F.when(part == 3, 100000000).otherwise(0)).alias("o_orderkey"), status.alias("o_orderstatus"))
+    return joins.changed_rows(old, new, ["o_orderkey"], ["o_orderstatus"])
+
+
 @query("listagg", """
 SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS nations FROM nation GROUP BY n_regionkey
 """)
