@@ -147,6 +147,11 @@ def test_compose_output_and_reports(spark):
     assert counts == {"f1": (2, 0, 1, 3)}
     total = reports.run_totals(scripts, found, spark.createDataFrame([(1,)], "e int")).first()
     assert (total["files"], total["changes"], total["manual"], total["errors"]) == (2, 3, 1, 1)
+    once = reports.run_totals_of(scripts, default_rules()).first()
+    assert (once["files"], once["changes"], once["auto"], once["review"], once["manual"], once["errors"]) == (2, 3, 2, 0, 1, 0)
+    assert reports.run_totals_of(scripts.limit(0), default_rules()).first()["files"] == 0
+    nameless = spark.createDataFrame([("f1", "CREATE TABLE; SELECT SYSDATE FROM t")], "file_id string, text string")
+    assert reports.run_totals_of(nameless, default_rules()).select("changes", "errors").first() == (1, 1)
     assert reports.review_items(found).count() == 1 and reports.file_details(found).count() == 3
 
 

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldspar.operators.inventory import CREATE, OBJECT_KINDS, OBJECT_TYPES, QUALIFIED
 from veldspar.operators.rule_table import SEVERITIES, Rule
 from veldspar.operators.rules import rewrite_sql, rule_facts, rules_list
 from veldspar.operators.skew import lookup_join
@@ -46,6 +47,28 @@ def run_totals(files: DataFrame, findings: DataFrame, errors: DataFrame) -> Data
     return lined_up.agg(*[F.sum(n).alias(n) for n in names])
 
 
+def run_totals_of(scripts: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame:
+    """``run_totals`` of scripts in one pass: every script is split, rewritten and counted within its row, and the counts are summed.
+
+    Errors are CREATE statements without a name that can be read.
+    """
+    ruleset = rules_list(rules)
+    typed = statement_structs(scripts).withColumn("_typed", F.transform(
+        "statements", lambda s: F.struct(s["text"].alias("text"), classify(s["text"]).alias("kind"))))
+    done = typed.withColumn("_ledger", F.expr(f"flatten(transform(_typed, s -> ({rewrite_sql('s.text', 's.kind', ruleset)}).ledger))"))
+    numbers = {s: [i for i, r in enumerate(ruleset) if (r.severity_override or r.severity) == s] for s in SEVERITIES}
+
+    def count(severity: str) -> Column:
+        listed = F.array(*map(F.lit, numbers[severity])).cast("array<int>")
+        return F.size(F.filter("_ledger", lambda i: F.array_contains(listed, i)))
+
+    head = rf"(?i){CREATE}{OBJECT_KINDS}\s+{QUALIFIED}"
+    nameless = F.filter("_typed", lambda s: s["kind"].isin(OBJECT_TYPES) & (F.regexp_extract(s["text"], head, 3) == ""))
+    rows = done.select("file_id", F.size("_ledger").alias("changes"), *[count(s).alias(s.lower()) for s in SEVERITIES], F.size(nameless).alias("errors"))
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("changes", *[s.lower() for s in SEVERITIES], "errors")]
+    return rows.agg(F.count_distinct("file_id").alias("files"), *totals)
+
+
 def review_items(findings: DataFrame) -> DataFrame:
     """Findings that need a person."""
     return findings.filter(F.col("severity").isin("REVIEW", "MANUAL"))

@@ -251,9 +251,15 @@ SELECT (SELECT count(DISTINCT file_id) FROM stmts) AS files, count(*) AS changes
        count(*) FILTER (severity = 'REVIEW') AS review, count(*) FILTER (severity = 'MANUAL') AS manual, 0::BIGINT AS errors FROM f
 """)
 def run_totals(spark, d):
-    stmts = split(spark, d)
-    found = rules.findings_of(rules.rewrite(stmts, default_rules()))
-    return reports.run_totals(fx.scripts(spark, d), found, inventory.parse_errors(inventory.objects(stmts)))
+    return reports.run_totals_of(fx.scripts(spark, d), default_rules())
+
+
+@query("run_totals_odd", f"""
+WITH {fx.ODD_SQL} SELECT count(DISTINCT file_id) AS files, CAST(sum(CASE tid WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 5 THEN 4 ELSE 0 END) AS BIGINT) AS changes,
+  0::BIGINT AS errors FROM stmts
+""")
+def run_totals_odd(spark, d):
+    return reports.run_totals_of(fx.odd_scripts(spark, d), default_rules()).select("files", "changes", "errors")
 
 
 @query("review_items", f"""
