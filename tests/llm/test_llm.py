@@ -84,7 +84,6 @@ def check_packing(rows, source, tokenizer, capacity):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
     want = collections.Counter()
     for i, s in source:
         ids = t.encode(s or "", add_special_tokens=False).ids + [0]
@@ -151,11 +150,10 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
     rng = random.Random(1)
     parts = ["a", "Bc", "'s", "it's", " ", "  ", "\n", "\t", "\n\n", "12", "é", "中", "½", ",", "!!", "$$$", "\x1c", "\x85", "\u00a0", "\u3000", "<|endoftext|>", "’", "_", ")", "Ⅷ"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    for x, got in zip(texts, packing.ChunkEncoder(tokenizer).encode(texts)):
+    for x, got in zip(texts, packing.ContractEncoder(tokenizer).encode(texts)):
         assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 

@@ -31,7 +31,7 @@ BUCKET_ROWS = 500
 # Ranks of one length that meet the planned runs under one join key.
 RANK_BLOCK = 1024
 # Chunks that a Python worker keeps at hand, and as many used before them.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 700_000
 
 _DOUBLE = re.compile(r"\s\s")
 _MARKS = ".,;:!?$%&*#\"()"
@@ -45,6 +45,17 @@ def _is_word(c: str) -> bool:
     return c.isalpha() and max(c) < "\u2000"
 
 
+class _Memo(dict):
+    """Chunk -> ids; a chunk that isn't there yet is learnt."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.learn(chunk)
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian 32-bit bytes; an added token's string is ordinary text (``ContractEncoder`` doesn't send it here).
 
@@ -55,48 +66,38 @@ class ChunkEncoder:
     A chunk is known by its text without the leading space; one that has none gets a space in front instead.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.model, self.letters = tokenizer.model, _byte_letters()
+        self.bytes = [n.to_bytes(4, "little") for n in range(tokenizer.get_vocab_size())]
+        self.memo, self.older = _Memo(self._learn), {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._chunks(t) for t in texts]
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo, self.older = {}, self.memo
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        out = []
+        for t in texts:
+            out.append(b"".join(map(self.memo.__getitem__, self._chunks(t))))
+            if len(self.memo) > MEMO_CHUNKS:
+                self.memo, self.older = _Memo(self._learn), self.memo
+        return out
+
+    def _learn(self, c: str) -> bytes:
         memo = self.memo
-        self._learn(set().union(*cut).difference(memo))
-        return [b"".join([memo[c] for c in chunks]) for chunks in cut]
-
-    def _learn(self, new: set[str]) -> None:
-        memo, older = self.memo, self.older
-        known = new & older.keys()
-        memo.update((c, older[c]) for c in known)
-        marked, plain = {}, set()
-        for c in new - known:
+        found = self.older[c] if c in self.older else None
+        if found is None:
             word = c.rstrip(_MARKS)
-            if word and word != c and _is_word(word[-1]):
+            if word != c and word and _is_word(word[-1]):
                 # letters end a pre-token, and the marks after them are one
-                marked[c] = (word, " " + c[len(word):])
+                found = memo[word] + memo[" " + c[len(word):]]
+            elif _is_word(c):
+                # a space and letters are one pre-token, which the model takes as it is
+                tokens = self.model.tokenize((" " + c).encode().decode("latin-1").translate(self.letters))
+                found = b"".join([self.bytes[t.id] for t in tokens])
             else:
-                plain.add(c)
-        parts = {x for pair in marked.values() for x in pair}
-        memo.update((c, older[c]) for c in parts & older.keys())
-        plain |= parts
-        todo = plain.difference(memo)
-        # a space and letters are one pre-token, which the model takes as it is
-        words = [c for c in todo if _is_word(c)]
-        for c in words:
-            tokens = self.model.tokenize((" " + c).encode().decode("latin-1").translate(self.letters))
-            memo[c] = np.array([t.id for t in tokens], "<u4").tobytes()
-        todo = list(todo.difference(words))
-        done = self.tokenizer.encode_batch_fast([c[1:] if c[:1] == " " else " " + c for c in todo], add_special_tokens=False)
-        memo.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(todo, done))
-        memo.update((c, memo[word] + memo[marks]) for c, (word, marks) in marked.items())
+                ids = self.tokenizer.encode(c[1:] if c[:1] == " " else " " + c, add_special_tokens=False).ids
+                found = b"".join([self.bytes[i] for i in ids])
+        memo[c] = found
+        return found
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -115,15 +116,27 @@ class ContractEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunks = Tokenizer.from_file(path), ChunkEncoder(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks = ChunkEncoder(self.tokenizer)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
         done = iter(self.chunks.encode([t for k, t in enumerate(texts) if k not in whole]))
+        self.tokenizer.encode_special_tokens = False
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if k in whole else next(done) for k, t in enumerate(texts)]
 
 
+_ENCODERS: dict[str, ContractEncoder] = {}
+
+
+def encoder_at(path: str) -> ContractEncoder:
+    """The encoder of a vocabulary file, loaded once in a Python worker; the tasks it runs one after the other share the memo."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ContractEncoder(path)
+    return _ENCODERS[path]
+
+
 def _byte_letters() -> dict[int, str]:
     """The characters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the others from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
@@ -145,7 +158,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col
 
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the one to use
-        encoder = ContractEncoder(tokenizer)
+        encoder = encoder_at(tokenizer)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
