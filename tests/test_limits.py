@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldspar.functions import scalar as S
-from veldspar.operators import dml, inventory, joins, ordering, rules, skew
+from veldspar.operators import aggregates, dml, inventory, joins, ordering, rules, skew
 from veldspar.operators.rule_table import Rule, default_rules
 from veldspar.operators.statements import split_statements
 
@@ -103,6 +103,25 @@ def test_versions_by_digests(spark):
     assert joins.changed_rows(old.limit(0), old.limit(0), ["k"], ["v"]).count() == 0
 
 
+def test_listagg_by_the_bytes_of_its_groups(spark, monkeypatch):
+    rows = [(k % 3 if k % 7 else None, k % 11 if k % 5 else None, "é" * (k % 4) if k % 13 else None) for k in range(400)] + [(9, 1, None)]
+    df = spark.createDataFrame(rows, "g int, o int, v string").repartition(4)
+    plain = aggregates.listagg(df, ["g"], "v", "; ", order="o")
+    assert str(plain._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+    want = sorted(map(tuple, plain.collect()), key=repr)
+    by_hand = {}
+    for g, o, v in rows:
+        by_hand.setdefault(g, []).append((o is None, o or 0, v)) if v is not None else by_hand.setdefault(g, [])
+    assert want == sorted(((g, "; ".join(x[2] for x in sorted(vs)) if vs else None) for g, vs in by_hand.items()), key=repr)
+    monkeypatch.setattr(aggregates, "SMALL_BYTES", 300)
+    monkeypatch.setattr(aggregates, "SLICE_BYTES", 64)
+    assert sorted(map(tuple, aggregates.listagg(df, ["g"], "v", "; ", order="o").collect()), key=repr) == want
+    big = spark.range(30).select(F.lit(1).alias("g"), F.concat(F.lit("x"), "id").alias("v"))
+    monkeypatch.setattr(aggregates, "MOST_BYTES", 50)
+    with pytest.raises(ValueError, match="cannot be one string"):
+        aggregates.listagg(big, ["g"], "v")
+
+
 def test_user_rules_come_last_and_equal_orders_keep_their_patterns(spark):
     table = rules.add_user_rules(rules.rules_df(spark), rules.rules_df(spark, [Rule("U2", "T", "AUTO", "detect", "", "b", "", "d"),
                                                                               Rule("U1", "T", "AUTO", "detect", "", "a", "", "d")]))
