@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldspar.functions import scalar as S
-from veldspar.operators import aggregates, dml, inventory, joins, ordering, rules, skew
+from veldspar.operators import aggregates, dml, inventory, joins, mviews, ordering, rules, skew
 from veldspar.operators.rule_table import Rule, default_rules
 from veldspar.operators.statements import split_statements
 
@@ -122,6 +122,34 @@ def test_listagg_by_the_bytes_of_its_groups(spark, monkeypatch):
         aggregates.listagg(big, ["g"], "v")
 
 
+def test_refreshed_join_views_equal_the_recompute(spark):
+    import random
+
+    rng = random.Random(4)
+    for _ in range(3):
+        key = lambda: rng.choice([None, *range(8)])
+        parents = [(key(), rng.choice("ab")) for _ in range(12)]
+        children = [(key(), rng.randint(1, 9)) for _ in range(30)]
+        gone_p, gone_c = rng.sample(range(12), 4), rng.sample(range(30), 9)
+        come_p, come_c = [(rng.choice([None, *range(10)]), rng.choice("abc")) for _ in range(5)], [(rng.choice([None, *range(10)]), rng.randint(1, 9)) for _ in range(8)]
+        p, c = "k int, name string", "k int, x int"
+        sums = {"s": F.col("x")}
+        state = mviews.join_state(spark.createDataFrame(parents, p), spark.createDataFrame(children, c), ["k"], sums)
+        dp = spark.createDataFrame([(*parents[i], -1) for i in gone_p] + [(*r, 1) for r in come_p], p + ", sign int")
+        dc = spark.createDataFrame([(*children[i], -1) for i in gone_c] + [(*r, 1) for r in come_c], c + ", sign int")
+        got = mviews.join_view(mviews.refresh_join(state, dp, spark.createDataFrame(children, c), dc, ["k"], sums))
+        now_p = [r for i, r in enumerate(parents) if i not in gone_p] + come_p
+        now_c = [r for i, r in enumerate(children) if i not in gone_c] + come_c
+        want = mviews.join_view(mviews.join_state(spark.createDataFrame(now_p, p), spark.createDataFrame(now_c, c), ["k"], sums))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        by_hand = {}
+        for r in now_p:
+            n, s = by_hand.get(r, (0, 0))
+            own = [x for k, x in now_c if k is not None and k == r[0]]
+            by_hand[r] = (n + len(own), s + sum(own))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(((*r, *v) for r, v in by_hand.items()), key=repr)
+
+
 def test_user_rules_come_last_and_equal_orders_keep_their_patterns(spark):
     table = rules.add_user_rules(rules.rules_df(spark), rules.rules_df(spark, [Rule("U2", "T", "AUTO", "detect", "", "b", "", "d"),
                                                                               Rule("U1", "T", "AUTO", "detect", "", "a", "", "d")]))

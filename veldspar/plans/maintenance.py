@@ -197,6 +197,30 @@ def mview_fast(spark, d):
     return _with_avg(mviews.refresh_fast(mv, _state(o.filter(~early)), ["o_custkey"]))
 
 
+@query("mview_join", """
+WITH p AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 11 <> 0),
+c AS (SELECT o_custkey AS c_custkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS price FROM orders WHERE o_orderkey % 13 <> 0)
+SELECT p.c_custkey, c_name, count(price) AS n, CAST(coalesce(sum(price), 0) AS DOUBLE) AS total FROM p LEFT JOIN c USING (c_custkey) GROUP BY p.c_custkey, c_name
+""")
+def mview_join(spark, d):
+    """Customers and their orders, refreshed by new and deleted rows on both sides."""
+    customers = load(spark, d, "customer").select("c_custkey", "c_name")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    orders = load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), price.alias("price"), "o_orderkey")
+    late = F.col("c_custkey") % 7 == 0
+    before = customers.filter(~late)
+    parents = customers.filter(late).withColumn("sign", F.lit(1)).unionByName(before.filter("c_custkey % 11 = 0").withColumn("sign", F.lit(-1)))
+    parents = parents.unionByName(customers.filter(late & (F.col("c_custkey") % 11 == 0)).withColumn("sign", F.lit(-1)))
+    new = F.col("o_orderkey") % 5 == 0
+    old_orders = orders.filter(~new)
+    children = orders.filter(new & (F.col("o_orderkey") % 13 != 0)).withColumn("sign", F.lit(1)).unionByName(
+        old_orders.filter("o_orderkey % 13 = 0").withColumn("sign", F.lit(-1)))
+    sums = {"total": F.col("price")}
+    state = mviews.materialize_view(mviews.join_state(before, old_orders, ["c_custkey"], sums), shared_folder(spark, "mview"))
+    after = mviews.refresh_join(state, parents, old_orders, children, ["c_custkey"], sums)
+    return mviews.join_view(after).withColumn("total", F.col("total").cast("double"))
+
+
 @query("nextval", """
 SELECT o_orderkey, 100 + 10 * (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) AS nextval FROM orders
 """)
