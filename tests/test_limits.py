@@ -150,6 +150,27 @@ def test_refreshed_join_views_equal_the_recompute(spark):
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(((*r, *v) for r, v in by_hand.items()), key=repr)
 
 
+def test_deep_pages_by_order_statistics(spark, monkeypatch):
+    import datetime as dt
+
+    from veldspar import session
+
+    monkeypatch.setattr(ordering, "SAMPLE_KEYS", 40)
+    monkeypatch.setattr(ordering, "TOP_K_ROWS", 60)
+    monkeypatch.setattr(session, "materialize", lambda *_: pytest.fail("a copy was stored"))
+    when = dt.datetime(2020, 1, 1)
+    rows = [(i % 7 if i % 5 else None, ["b", "a", None, "é"][i % 4], when + dt.timedelta(hours=i % 50), float("nan") if i % 11 == 0 else i / 3) for i in range(1500)]
+    df = spark.createDataFrame(rows, "a int, b string, c timestamp_ntz, d double").repartition(5)
+    for order in (["a", "b desc"], ["d desc", "c"]):
+        rest = [x for x in df.columns if x not in {o.split(" ")[0] for o in order}]
+        want = [str(r) for r in df.orderBy(*ordering.ora_keys(*order, *rest)).collect()]
+        for offset, n in ((200, 30), (1480, 50), (5000, 9)):
+            assert sorted(str(r) for r in ordering.page(df, order, offset, n).collect()) == sorted(want[offset:offset + n]), (order, offset, n)
+    same = spark.range(3000).select(F.lit(1).alias("x"), (F.col("id") % 3).alias("y")).repartition(4)
+    assert [tuple(r) for r in ordering.page(same, ["x"], 1500, 70).collect()] == [(1, 1)] * 70
+    assert ordering.page(same.limit(0), ["x"], 1500, 70).count() == 0
+
+
 def test_user_rules_come_last_and_equal_orders_keep_their_patterns(spark):
     table = rules.add_user_rules(rules.rules_df(spark), rules.rules_df(spark, [Rule("U2", "T", "AUTO", "detect", "", "b", "", "d"),
                                                                               Rule("U1", "T", "AUTO", "detect", "", "a", "", "d")]))
