@@ -17,7 +17,8 @@ HEADLINE = [
     "active_view", "dept_summary", "in_subquery", "select_into", "listagg_by_order", "top_earners", "old_new", "rownum",
     "minus_nulls", "connect_by", "months_between", "merge_upsert", "insert_unique", "audit_rows", "mview_fast", "nextval",
     "ck_report", "typed_load", "split_statements", "columns", "functions_used", "rule_scan", "rewrite_text",
-    "rewrite_ledger", "rewrite_distinct", "category_matrix", "compose_output",
+    "rewrite_ledger", "rewrite_distinct", "category_matrix", "compose_output", "match_line", "run_totals", "file_details", "stream_audit", "split_archive",
+    "script_stream", "connect_by_tree", "changed_rows", "mview_join", "page_deep", "to_char_number",
 ]
 
 

@@ -115,8 +115,8 @@ def whole_word(rule: Rule) -> bool:
 class Candidates:
     """Which rules have to look at a text, worked out from one pass over its words.
 
-    The words of a text meet the rules' tokens once; each of the handful that remains names its rules by a map, one map per group of statement types.  Tokens that
-    are no words are looked for on their own.  For a rewrite, a token also names the rules whose token a rule of its own could bring in.
+    The words of a text meet the rules' tokens once; each of the handful that remains names its rules by a map.  Tokens that are no words are looked for on their
+    own.  For a rewrite, a token also names the rules whose token a rule of its own could bring in.  Statement types are checked where a rule acts.
     """
 
     def __init__(self, ruleset: list[Rule], rewriting: bool):
@@ -131,16 +131,11 @@ class Candidates:
         for e in range(len(ruleset) - 1, -1, -1):
             for i in brings[e]:
                 self.leads[e] |= self.leads[i]
-        kinds = sorted({k for r in ruleset for k in r.scope})
-        self.groups: dict[frozenset, list[str]] = {}
-        for k in kinds:
-            self.groups.setdefault(frozenset(i for i, r in enumerate(ruleset) if not r.scope or k in r.scope), []).append(k)
-        self.anywhere = frozenset(i for i, r in enumerate(ruleset) if not r.scope)
-
-    def ready(self, df: DataFrame, text: str, kind: str | None) -> DataFrame:
-        """``df`` with the column ``_due``: the numbers of the rules that have to look, in order; ``text`` and ``kind`` are SQL."""
+
+    def ready(self, df: DataFrame, text: str) -> DataFrame:
+        """``df`` with the column ``_due``: the numbers of the rules that have to look, in order; ``text`` is SQL."""
         found = df.withColumn("_upper", F.expr(self.upper_sql(text))).withColumn("_words", F.expr(self.words_sql("`_upper`")))
-        return found.withColumn("_due", F.expr(self.due_sql("`_upper`", "`_words`", kind))).drop("_upper", "_words")
+        return found.withColumn("_due", F.expr(self.due_sql("`_words`"))).drop("_upper", "_words")
 
     def upper_sql(self, text: str) -> str:
         """Letters A-Z only: what the patterns take as equal."""
@@ -155,22 +150,21 @@ class Candidates:
         parts = ", ".join(f"CASE WHEN contains({upper}, {sql_text(t)}) THEN {sql_text(t)} END" for t in self.parts)
         return f"concat({words}, array_compact(array({parts})))"
 
-    def due_sql(self, upper: str, words: str, kind: str | None) -> str:
+    def due_sql(self, words: str) -> str:
         """Numbers of the rules that have to look, in order."""
-        def named(allowed: frozenset[int]) -> str:
-            by_token: dict[str, set[int]] = {}
-            for i in allowed:
-                by_token.setdefault(self.rules[i].token, set()).update(self.leads[i] & allowed)
-            always = by_token.pop("", set())
-            pairs = ", ".join(f"{sql_text(t)}, array({', '.join(map(str, sorted(n)))})" for t, n in sorted(by_token.items()))
-            found = f"flatten(transform({words}, w -> coalesce(try_element_at(map({pairs}), w), CAST(array() AS array<int>))))" if pairs else "CAST(array() AS array<int>)"
-            found = f"concat(array({', '.join(map(str, sorted(always)))}), {found})" if always else found
-            return f"sort_array(array_distinct({found}))" if any(len(x) > 1 for x in self.leads) else f"sort_array({found})"
-
-        if not kind or not self.groups:
-            return named(frozenset(range(len(self.rules))) if not kind else self.anywhere)
-        cases = " ".join(f"WHEN {kind} IN ({', '.join(map(sql_text, kinds))}) THEN {named(allowed)}" for allowed, kinds in self.groups.items())
-        return f"CASE WHEN size({words}) = 0 AND {str(all(r.token for r in self.rules)).lower()} THEN CAST(array() AS array<int>) {cases} ELSE {named(self.anywhere)} END"
+        by_token: dict[str, set[int]] = {}
+        for i, r in enumerate(self.rules):
+            by_token.setdefault(r.token, set()).update(self.leads[i])
+        always = by_token.pop("", set())
+        pairs = ", ".join(f"{sql_text(t)}, array({', '.join(map(str, sorted(n)))})" for t, n in sorted(by_token.items()))
+        found = f"flatten(transform({words}, w -> try_element_at(map({pairs}), w)))" if pairs else "CAST(array() AS array<int>)"
+        found = f"concat(array({', '.join(map(str, sorted(always)))}), {found})" if always else found
+        return f"sort_array(array_distinct({found}))" if always or any(len(x) > 1 for x in self.leads) else f"sort_array({found})"
+
+    def of_kind(self, i: int, kind: str | None) -> str:
+        """Whether rule i is one for this statement type."""
+        scope = self.rules[i].scope
+        return f"{kind} IN ({', '.join(map(sql_text, scope))})" if scope and kind else "true"
 
 
 def _chosen(n: int, number: str, branch, otherwise: str) -> str:
@@ -200,12 +194,14 @@ def match_patterns(texts: DataFrame, rules: DataFrame | Iterable[Rule], text: st
     seen = texts.withColumn("_seen", F.expr(protect_sql(f"`{text}`"))) if protect else texts.withColumn("_seen", F.struct(F.col(text).alias("text")))
     if not ruleset:
         return texts.select(*kept, F.expr(f"CAST(NULL AS {_FACTS_TYPE})").alias("r")).select(*kept, "r.*").limit(0)
-    ready = Candidates(ruleset, rewriting=False).ready(seen, "`_seen`.text", f"`{stmt_type}`" if stmt_type else None)
+    candidates = Candidates(ruleset, rewriting=False)
+    ready = candidates.ready(seen, "`_seen`.text")
+    kind = f"`{stmt_type}`" if stmt_type else None
     if places:
-        at = _chosen(len(ruleset), "i", lambda i: f"regexp_instr(`_seen`.text, {sql_text(ruleset[i].pattern)})", "0")
+        at = _chosen(len(ruleset), "i", lambda i: f"CASE WHEN {candidates.of_kind(i, kind)} THEN regexp_instr(`_seen`.text, {sql_text(ruleset[i].pattern)}) ELSE 0 END", "0")
         found = ready.withColumn("_hits", F.expr(f"filter(transform(`_due`, i -> named_struct('i', i, 'at', {at})), h -> h.at > 0)"))
     else:
-        here = _chosen(len(ruleset), "i", lambda i: f"`_seen`.text RLIKE {sql_text(ruleset[i].pattern)}", "false")
+        here = _chosen(len(ruleset), "i", lambda i: f"{candidates.of_kind(i, kind)} AND `_seen`.text RLIKE {sql_text(ruleset[i].pattern)}", "false")
         found = ready.withColumn("_hits", F.expr(f"filter(`_due`, i -> {here})"))
     rows = unnest(found, [*kept, "_seen"], F.col("_hits"), "_pos", "_hit")
     number = F.col("_hit.i") if places else F.col("_hit")
@@ -264,7 +260,7 @@ def _with_line(placed: DataFrame, text: str, first_line: str) -> DataFrame:
 
 # --- rewrite --------------------------------------------------------------------------------
 
-def _apply_sql(ruleset: list[Rule], text: str, due: str) -> str:
+def _apply_sql(candidates: Candidates, text: str, due: str, kind: str) -> str:
     """struct(text, ledger): the due rules (numbers, in order) applied one after the other, and those that acted.
 
     Each rule is a branch with its own literal pattern, compiled once per task; the branches are found in two steps.  The replaced text is bound by
@@ -276,7 +272,11 @@ def _apply_sql(ruleset: list[Rule], text: str, due: str) -> str:
         return (f"transform(array(regexp_replace(acc.text, {sql_text(r.pattern)}, {sql_text(r.replacement)})), "
                 f"new -> CASE WHEN new <> acc.text THEN named_struct('text', new, 'ledger', array_append(acc.ledger, {i})) ELSE acc END)[0]")
 
-    step = _chosen(len(ruleset), "i", lambda i: act(i, ruleset[i]), "acc")
+    def acts(i: int) -> str:
+        rule = candidates.rules[i]
+        return f"CASE WHEN {candidates.of_kind(i, kind)} THEN {act(i, rule)} ELSE acc END" if rule.scope else act(i, rule)
+
+    step = _chosen(len(candidates.rules), "i", acts, "acc")
     return f"aggregate({due}, named_struct('text', {text}, 'ledger', CAST(array() AS array<int>)), (acc, i) -> {step})"
 
 
@@ -289,8 +289,8 @@ def rewrite_sql(text: str, kind: str, ruleset: list[Rule]) -> str:
         ("v", f"named_struct('seen', {protect_sql(text)}, 'kind', {kind})"),
         ("w", f"named_struct('seen', v.seen, 'kind', v.kind, 'upper', {c.upper_sql('v.seen.text')})"),
         ("u", f"named_struct('seen', w.seen, 'kind', w.kind, 'upper', w.upper, 'words', {c.words_sql('w.upper')})"),
-        ("d", f"named_struct('seen', u.seen, 'due', {c.due_sql('u.upper', 'u.words', 'u.kind')})"),
-        ("x", f"named_struct('seen', d.seen, 'done', {_apply_sql(ruleset, 'd.seen.text', 'd.due')})")]
+        ("d", f"named_struct('seen', u.seen, 'kind', u.kind, 'due', {c.due_sql('u.words')})"),
+        ("x", f"named_struct('seen', d.seen, 'done', {_apply_sql(c, 'd.seen.text', 'd.due', 'd.kind')})")]
     out = f"named_struct('text', {restore_sql('x.done.text', 'x.seen.kept')}, 'ledger', x.done.ledger)"
     for name, value in reversed(steps):
         out = f"transform(array({value}), {name} -> {out})[0]"
@@ -310,9 +310,9 @@ def rewrite(stmts: DataFrame, rules: DataFrame | Iterable[Rule], protect: bool =
         return stmts.withColumns({"new_text": F.col("text"), "ledger": facts})
     candidates = Candidates(ruleset, rewriting=True)
     seen = stmts.withColumn("_seen", F.expr(protect_sql("`text`")) if protect else F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("kept")))
-    due = candidates.ready(seen, "`_seen`.text", "`stmt_type`")
+    due = candidates.ready(seen, "`_seen`.text")
     untouched = F.struct(F.col("_seen.text").alias("text"), nothing.alias("ledger"))
-    done = due.withColumn("_done", F.when(F.size("_due") == 0, untouched).otherwise(F.expr(_apply_sql(ruleset, "`_seen`.text", "`_due`"))))
+    done = due.withColumn("_done", F.when(F.size("_due") == 0, untouched).otherwise(F.expr(_apply_sql(candidates, "`_seen`.text", "`_due`", "`stmt_type`"))))
     facts = rule_facts(ruleset)
     new_text = F.when(F.size("_done.ledger") == 0, F.col("text")).otherwise(F.expr(restore_sql("`_done`.text", "`_seen`.kept")))
     return done.withColumns({
