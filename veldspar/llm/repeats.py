@@ -212,13 +212,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     load = (F.col("at.n") + length - 1).cast("long")
     open_ = segments.join(several, "anchor").select("item", F.col("anchor").alias("component"), load.alias("load"), F.array("anchor").alias("buckets"), "at")
     open_ = stored(open_, "open-segments")
-    wanted = open_.select(F.col("at.key").alias("key"), F.struct("item", F.col("at.lo").alias("lo"), F.col("at.n").alias("n")).alias("w"))
+    # units are known before the bytes are cut out, so the bytes are shuffled once, to their unit
+    unit = pairs.units(open_.drop("at"), UNIT_BYTES, UNIT_SEGMENTS).select("item", "unit")
+    wanted = open_.select("item", "at").join(unit, "item").select(
+        F.col("at.key").alias("key"), F.struct("item", "unit", F.col("at.lo").alias("lo"), F.col("at.n").alias("n")).alias("w"))
     wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("w"))
-    part = lambda w, text: F.struct(w["item"].alias("item"), w["n"].alias("n"), F.substring(
+    part = lambda w, text: F.struct(w["item"].alias("item"), w["unit"].alias("unit"), w["n"].alias("n"), F.substring(
         text, (w["lo"] + 1).cast("int"), w["n"] + F.lit(length - 1)).alias("bytes"))
     texts = every.filter("text IS NOT NULL").select("key", "text").join(wanted, "key")
-    texts = texts.select(F.explode(F.transform("w", lambda w: part(w, F.col("text")))).alias("s")).select("s.*")
-    work = texts.join(pairs.units(open_.drop("at"), UNIT_BYTES, UNIT_SEGMENTS), "item")
+    work = texts.select(F.explode(F.transform("w", lambda w: part(w, F.col("text")))).alias("s")).select("s.*")
     covered = _repeated_runs(work, length)
     whole = segments.filter("copies > 1").select("item", F.lit(0).cast("long").alias("a"), load.alias("b"))
     state = stored(covered.union(whole).distinct(), "repeated-runs").groupBy("item").agg(F.collect_list(F.struct("a", "b")).alias("ab"))
