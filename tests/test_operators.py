@@ -217,3 +217,24 @@ def test_jumps_on_circles_and_double_places(spark):
         connect_by_doubling(loop.union(loop), "id", "mgr", F.col("id") == 5)
     assert connect_by_doubling(loop, "id", "mgr", F.col("id") == 99).count() == 0
     assert connect_by_doubling(loop.limit(0), "id", "mgr", F.lit(True), path="id", siblings="id").count() == 0
+
+
+def test_jumps_take_out_rows_of_the_middle(spark, monkeypatch):
+    from veldspar.operators import hierarchy
+
+    # a chain, a wide tree, a circle, a row under nobody and rows without an id: contracted to little, or not at all
+    data = [(k, k - 1 if k else None) for k in range(400)] + [(1000 + k, 1000 + (k - 1) // 3 if k else None) for k in range(200)]
+    data += [(5000 + k, 5000 + (k + 1) % 30) for k in range(30)] + [(6000, 5999), (None, 399), (None, 5999)]
+    df = spark.createDataFrame([(a, b, f"n{a}") for a, b in data], "id int, mgr int, n string")
+    start = F.col("mgr").isNull()
+    whole, contracted = (connect_by_doubling(df, "id", "mgr", start, path="n", siblings="n", contract_from=m) for m in (10**6, 200))
+    assert rows(contracted) == rows(whole) and len(rows(whole)) == 601
+    tree = df.filter("id BETWEEN 1000 AND 1999")
+    assert rows(contracted.filter("id BETWEEN 1000 AND 1999").drop("root")) == rows(connect_by(tree, "id", "mgr", start, path="n", siblings="n"))
+    # what a chain stores on the way does not grow with its rows times the rounds of its depth
+    deep = spark.range(4_000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("mgr"))
+    stored = []
+    monkeypatch.setattr(hierarchy, "materialize", lambda d, label: stored.append(materialize(d, label)) or stored[-1])
+    found = connect_by_doubling(deep, "id", "mgr", start, contract_from=500)
+    assert found.filter("level = id + 1 AND root = 0").count() == 4_000
+    assert sum(d.count() for d in stored) < 8 * 4_000
