@@ -68,3 +68,16 @@ def test_of_nothing(spark):
     none = spark.createDataFrame([], "path string, line_no long, line string")
     assert split_large(none).count() == 0
     assert split_large(as_lines(spark, "", "-- only\n")).select("text").collect() == [("-- only",)]
+
+
+def test_only_what_is_needed_is_stored(spark, tmp_path, monkeypatch):
+    import veldspar.sources.large_scripts as large
+
+    (tmp_path / "big.sql").write_text("".join(f"insert into log values ({i}, 'a;b');\n" for i in range(300)))
+    (tmp_path / "small.sql").write_text("select 1;\nselect 2;\n")
+    stored, plain = {}, large.materialize
+    monkeypatch.setattr(large, "materialize", lambda d, label: stored.setdefault(label, plain(d, label)))
+    found = large.split_archive(spark, str(tmp_path), 1_000)
+    assert found.count() == 302
+    assert stored["script-lines"].count() == 300  # not the lines of small scripts
+    assert "text" not in stored["chunk-facts"].columns

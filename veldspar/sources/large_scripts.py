@@ -21,7 +21,7 @@ from veldspar.functions.spans import BEGINS, PIECES, sql_text
 from veldspar.functions.text import BLOCK_COMMENT, LINE_COMMENT, LITERAL, QUOTED_NAME, WORD_RUN
 from veldspar.operators.statements import BLOCK_OPENER, split_statements
 from veldspar.session import materialize
-from veldspar.sources.scripts import EXTENSIONS, any_case_glob, read_scripts
+from veldspar.sources.scripts import EXTENSIONS, any_case_glob, decoded
 
 CHUNK_LINES = 1000
 # Chunks whose maps are composed in one row.
@@ -35,12 +35,12 @@ UNFINISHED = (rf"^(?:{LITERAL}|{QUOTED_NAME}|{LINE_COMMENT}|{BLOCK_COMMENT}|{WOR
 BLOCK_WORDS = rf"(?i)^[ \t]*{BLOCK_OPENER}|\b(?:DECLARE|BEGIN)\b"
 
 
-def read_lines(spark: SparkSession, path: str, exts: Iterable[str] = EXTENSIONS) -> DataFrame:
-    """(path, line_no, line) of UTF-8 script files; a large file is read by as many tasks as it has splits."""
+def read_lines(spark: SparkSession, path: str, exts: Iterable[str] = EXTENSIONS, only: DataFrame | None = None) -> DataFrame:
+    """(path, line_no, line) of UTF-8 script files, or of those whose ``path`` is in ``only``; a large file is read by as many tasks as it has splits."""
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", any_case_glob(exts)).text(path)
     rows = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
                        F.monotonically_increasing_id().alias("place"), F.make_valid_utf8("value").alias("line"))
-    rows = materialize(rows, "script-lines")
+    rows = materialize(rows if only is None else rows.join(only, "path", "left_semi"), "script-lines")
     # a split's lines are numbered within the split: places of one split are consecutive
     blocks = rows.groupBy("path", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,11 +84,14 @@ def _facts(state: Column, text: Column) -> Column:
         slash = F.transform(masked, lambda m: F.trim(m, F.lit(" \t")) == "/")
         semi = F.zip_with(masked, raw, lambda m, r: F.endswith(F.rtrim(m, F.lit(" \t")), F.lit(";")) & F.endswith(F.rtrim(r, F.lit(" \t")), F.lit(";")))
         block = F.transform(masked, lambda m: m.rlike(BLOCK_WORDS))
-        return F.struct(end.alias("end"), _first(slash).alias("slash"), _last(slash).alias("last_slash"), _first(semi).alias("semi"),
-                        _first(block).alias("block"), _last(block).alias("last_block"))
+        return let(F.struct(slash.alias("slash"), semi.alias("semi"), block.alias("block")), lambda f: F.struct(
+            end.alias("end"), _first(f["slash"]).alias("slash"), _last(f["slash"]).alias("last_slash"), _first(f["semi"]).alias("semi"),
+            _first(f["block"]).alias("block"), _last(f["block"]).alias("last_block")))
 
+    # the masked lines are bound: a column used in several places is worked out in each of them
     end = _plain_state(F.regexp_extract(F.concat(state, text), UNFINISHED, 2))  # the literal's mark is group 1
-    return let(end, lambda e: of_lines(e, _masked(state, text, e), F.split(text, "\n")))
+    return let(end, lambda e: let(F.struct(_masked(state, text, e).alias("masked"), F.split(text, "\n").alias("raw")),
+                                  lambda x: of_lines(e, x["masked"], x["raw"])))
 
 
 def _moved(fact: Column, dirty: Column) -> Column:
@@ -133,8 +136,10 @@ def sections(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """(path, first_line, text): the parts of each script that can be split on their own; ``lines`` has path, line_no (from 1, without gaps) and line."""
     chunk = F.floor((F.col("line_no") - 1) / chunk_lines).alias("chunk")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"])
-    chunks = lines.select("path", chunk, "line_no", F.coalesce("line", F.lit("")).alias("line")).groupBy("path", "chunk").agg(
-        F.array_join(parts, "\n").alias("text"), F.min("line_no").alias("first_line"))
+    # chunks are small when they are stored and slow to read through: as many parts as the session has, whatever their bytes
+    spread = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.select("path", chunk, "line_no", F.coalesce("line", F.lit("")).alias("line")).repartition(spread, "path", "chunk")
+    chunks = dealt.groupBy("path", "chunk").agg(F.array_join(parts, "\n").alias("text"), F.min("line_no").alias("first_line"))
     chunks = materialize(chunks, "script-chunks")
     marks = chunks.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?i)q'([^\s'])"), F.lit(1)))).alias("m")).distinct().limit(MOST_MARKS + 1).collect()
     if len(marks) > MOST_MARKS:
@@ -142,7 +147,7 @@ def sections(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     states = ["", "'", "/*", *sorted(f"q'{r['m']}" for r in marks)]
     facts = F.array(*[_facts(F.lit(s), F.col("text")) for s in states]) if len(states) < 8 else F.transform(
         F.array(*map(F.lit, states)), lambda s: _facts(s, F.col("text")))
-    known = materialize(chunks.withColumn("facts", facts), "chunk-facts")
+    known = materialize(chunks.select("path", "chunk", "first_line", facts.alias("facts")), "chunk-facts")
     placed = known.join(_starts(known, states), ["path", "chunk"])
     fact = F.expr(f"get(facts, CAST(array_position(array({', '.join(map(sql_text, states))}), state) AS INT) - 1)")
     clean_semi = ~F.col("dirty") & (F.col("f.semi") > 0) & ((F.col("f.block") == 0) | (F.col("f.block") > F.col("f.semi")))
@@ -180,8 +185,7 @@ def split_archive(spark: SparkSession, path: str, most: int | None = None, exts:
     limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
     most = limit if most is None else min(most, limit)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case_glob(exts)).load(path)
-    names = [f.name for f in listed.schema if f.name in ("path", "length")]
-    large = listed.select(*names).filter(F.col("length") > most).select("path")  # sizes come from the listing; no file is opened
-    small = split_statements(read_scripts(spark, path, exts, largest=most).select("path", "text"))
-    big = split_large(read_lines(spark, path, exts).join(large, "path", "left_semi"))
+    large = listed.select("path", "length").filter(F.col("length") > most).select("path")  # sizes come from the listing; no file is opened
+    small = split_statements(decoded(listed.filter(F.col("length") <= most), "utf-8").select("path", "text"))  # applied before a file is opened
+    big = split_large(read_lines(spark, path, exts, materialize(large, "large-scripts")))
     return small.withColumn("stmt_no", F.col("stmt_no").cast("int")).unionByName(big)
