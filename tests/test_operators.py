@@ -238,3 +238,13 @@ def test_jumps_take_out_rows_of_the_middle(spark, monkeypatch):
     found = connect_by_doubling(deep, "id", "mgr", start, contract_from=500)
     assert found.filter("level = id + 1 AND root = 0").count() == 4_000
     assert sum(d.count() for d in stored) < 8 * 4_000
+
+
+def test_unnest_works_out_what_it_keeps_once_per_row(spark):
+    from veldspar.functions.arrays import unnest
+
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "id int, t string")
+    each = unnest(df, ["id", F.upper("t").alias("u")], F.split("t", " "), "pos", "x")
+    assert rows(each) == [(1, "A B", 0, "a"), (1, "A B", 1, "b"), (3, "C", 0, "c")]
+    plan = each._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("upper(")

@@ -34,13 +34,14 @@ def running_totals(numbers: Column, block: int = 1024) -> Column:
             parts, lambda p, i: let(F.get(bases, i), lambda base: F.transform(
                 F.slice(p, 1, F.size(p) - 1), lambda v: v + base)))))
 
-    return let(numbers, lambda n: let(blocks(n), shifted))
+    return let(numbers, lambda n: F.when(F.size(n) < 2, F.slice(zero, F.lit(1), F.size(n))).otherwise(let(blocks(n), shifted)))
 
 
 def unnest(df: DataFrame, keep: list, array: Column, pos: str, value: str) -> DataFrame:
     """``keep`` columns with one row per array element.
 
     The outer form keeps the optimizer from computing the array twice more in an inferred
-    "array is not empty" filter below the generator.
+    "array is not empty" filter below the generator.  What is kept is worked out once per row, not once per element.
     """
-    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
+    ready = df.select(*keep, array.alias("_elements"))
+    return ready.select(*ready.columns[:-1], F.posexplode_outer("_elements").alias(pos, value)).filter(F.col(pos).isNotNull())

@@ -214,11 +214,12 @@ def parameters(stmts: DataFrame) -> DataFrame:
 
 def package_members(stmts: DataFrame) -> DataFrame:
     """Procedures and functions declared in packages, in order."""
-    text = mask_sql(F.col("text"))
+    text = F.col("masked")
     found = F.regexp_extract_all(text, F.lit(rf"(?i)\b((?:PROCEDURE|FUNCTION)\s+{NAME})"), F.lit(1))
     kept = [*KEYS, _plain(F.regexp_extract(text, rf"(?i){CREATE}PACKAGE\s+(?:BODY\s+)?{QUALIFIED}", 2)).alias("package"),
             (F.col("stmt_type") == "CREATE_PACKAGE_BODY").alias("is_body")]
-    rows = unnest(_of_type(stmts, "CREATE_PACKAGE", "CREATE_PACKAGE_BODY"), kept, found, "pos", "member")
+    packages = _of_type(stmts, "CREATE_PACKAGE", "CREATE_PACKAGE_BODY").select(*KEYS, "stmt_type", mask_sql(F.col("text")).alias("masked"))
+    rows = unnest(packages, kept, found, "pos", "member")
     return rows.select(*KEYS, "package", "is_body", (F.col("pos") + 1).alias("position"),
                        F.upper(F.regexp_extract("member", r"^(\w+)", 1)).alias("kind"),
                        _plain(F.regexp_extract("member", rf"^\w+\s+{NAME}$", 1)).alias("member_name"))

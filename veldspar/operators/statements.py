@@ -114,7 +114,8 @@ def _closing_line(lines: Column, package: Column) -> Column:
             bare_end = clean.rlike(r"(?i)\bEND\s*;?\s*$")
             return let(acc["depth"] + _depth_of(clean), lambda depth: moved(depth, bare_end & (depth <= 0)))
 
-        clean = F.regexp_replace(mask_sql(plain), r"/\*.*$", "")  # a comment left open hides the rest
+        masked = mask_sql(plain)
+        clean = F.when(F.contains(plain, F.lit("/*")), F.regexp_replace(masked, r"/\*.*$", "")).otherwise(masked)  # a comment left open hides the rest
         return F.when(acc["close"] >= 0, acc).when(counts, let(clean, counted)).otherwise(
             moved(acc["depth"], ~still & (F.trim(plain) == "/")))
 
@@ -232,9 +233,9 @@ def statement_structs(scripts: DataFrame, name: str = "statements") -> DataFrame
 
     def statement(part: Column, line: Column) -> Column:
         raw = F.regexp_replace(part["raw"], r"^(?:\s*+/[ \t]*+(?:\n|$))++", "")
-        skipped = newlines(part["raw"]) - newlines(raw)
 
         def split_lead(raw: Column, lead: Column) -> Column:
+            skipped = newlines(part["raw"]) - newlines(raw)
             body = F.substring(raw, F.char_length(lead) + 1, F.char_length(raw))
             only_comment = body == ""
             text = F.rtrim(F.when(only_comment, raw).otherwise(body), F.lit(" \t\n"))
