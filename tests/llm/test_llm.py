@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
+from veldspar.llm.decontaminate import HashFilter
 from veldspar.llm import (components, decontaminate, language_id, line_dedup, ngram_join, packing, quality, queries, repeats, text, topk, toxicity,
                           url_filter)
 from veldspar.llm.tables import free_name, learnable, row_keyed
@@ -662,6 +663,33 @@ def test_distance_of_any_threshold():
         assert line_dedup._close(x, y, t) == (line_dedup._plain_distance(x, y) <= t)
 
 
+def test_long_lines_share_a_bucket_after_different_bytes():
+    """However the edits lie, the shorter line's keys and the longer line's probes meet in a bucket that counts."""
+    rng = random.Random(12)
+    for n in range(240):
+        a = bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randint(48, 420)))
+        t = len(a) // 16
+        size = 16 * t // (t + 1)
+        if n % 3:  # two edits in every other segment, or one in each but the last
+            places = [size * (2 * k + 1) + m for k in range(t // 2) for m in (3, 9)] if n % 3 == 1 else [size * k + rng.randrange(size) for k in range(t)]
+        else:
+            places = rng.sample(range(len(a)), t)
+        b = list(a)
+        for p in sorted(places, reverse=True):
+            b[p:p + rng.randint(0, 1)] = [rng.choice(b"xyz")] * rng.randint(0, 1)
+        a, b = sorted((a, bytes(b)), key=len)
+        if len(a) < 48 or not line_dedup._close(a, b, len(a) // 16):
+            continue
+        cut = line_dedup.Cut(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]))
+        first, chains = HashFilter(1000), HashFilter(4000)
+        own, singles = line_dedup.index_keys(cut, np.array([0, 1]), 2, 16)
+        first.add(singles)
+        chains.add(own.bucket)
+        probes = line_dedup.probe_keys(cut, np.array([0, 1]), 2, 16, first, chains, (-1, 1000))
+        held = [{(x, y) for k in (own, probes) for z, x, y in zip(k.line.tolist(), k.bucket.tolist(), k.left.tolist()) if z == i} for i in (0, 1)]
+        assert a == b or any(x == z and y != w for x, y in held[0] for z, w in held[1])
+
+
 def test_line_dedup_of_nothing(nothing):
     assert line_dedup.line_classes(nothing).count() == 0
 

@@ -36,7 +36,10 @@ def candidates(tokens: DataFrame) -> DataFrame:
 
 
 def units(items: DataFrame, block_load: int = BLOCK_LOAD, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(item, unit, side) for stored ``items`` (item, component, load, buckets)."""
+    """(item, unit, side) for stored ``items`` (item, component, load, buckets).
+
+    With a column ``band``, a whole number, blocks hold items of one band, so if few bands share buckets few blocks do.
+    """
     totals = items.groupBy("component").agg(F.sum("load").alias("load"), F.count("*").alias("n"))
     need = F.ceil(F.greatest(F.col("load") / block_load, F.col("n") / block_items)).cast("long")
     totals = stored(totals.withColumn("blocks", F.greatest(need, F.lit(1))), "components")
@@ -49,6 +52,11 @@ def units(items: DataFrame, block_load: int = BLOCK_LOAD, block_items: int = BLO
     if not totals.filter("blocks > 1").limit(1).count():
         return alone
     large = placed.filter("blocks > 1")
+    if "band" in items.columns:
+        sizes = large.groupBy("component", "band").agg(F.sum("load").alias("l"), F.count("*").alias("n"))
+        sizes = sizes.select("component", "band", F.ceil(F.greatest(F.col("l") / block_load, F.col("n") / block_items)).cast("long").alias("of"))
+        large = large.join(sizes, ["component", "band"])
+        large = large.withColumn("block", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("item"), F.greatest("of", F.lit(1))))
     seen = stored(large.select("component", "block", F.explode("buckets").alias("bucket")).distinct(), "bucket-blocks")
     other = seen.select("component", "bucket", F.col("block").alias("to"))
     pairs = seen.join(other, ["component", "bucket"]).filter(F.col("block") < F.col("to")).select("component", "block", "to")
