@@ -6,6 +6,7 @@ import collections
 import datetime as dt
 import hashlib
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -634,6 +635,43 @@ def test_long_lines_with_replaced_words(spark):
     assert sum(n for _, _, n in want) > sum(r.n_links for r in line_dedup.line_classes(d).collect())
 
 
+def test_lines_of_hot_buckets_meet_in_units(spark):
+    rows = long_line_rows()
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (2, 5):
+        got = line_dedup.line_classes(d, per_edit=line_dedup.PER_EDIT, hot_lines=most).collect()
+        assert sorted((r.doc_id, len(r.repeats), r.n_links) for r in got) == brute_long_lines(rows)
+
+
+def test_pairs_that_share_many_buckets_are_listed_once(spark):
+    """Only where something else stands before each, and only for lengths that fit; the steps that have been read don't stay."""
+    tokens = [(k, 100, 7, k) for k in (1, 2, 3)] + [(k, 100, 8, k % 2) for k in (1, 2, 3)] + [(4, 120, 8, 4)] + [(k, 60, 9, k) for k in range(10, 20)]
+    t = spark.createDataFrame(tokens, "item long, bytes int, bucket long, left long")
+    got = sorted(map(tuple, line_dedup._pairs(t, 2, 16, 5).collect()))
+    assert got == [(1, 2), (1, 3), (2, 3)] + [(k, k) for k in range(10, 20)]
+    assert line_dedup._pairs(t.filter("bucket = 8 and item < 4"), 2, 16, 5).count() == 2
+
+
+def test_steps_that_were_read_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("veldspar.session.shared_folder", lambda _, label: f"{tmp_path}/{label}-{uuid.uuid4().hex}")
+    rows = long_line_rows()
+    got = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string"), per_edit=line_dedup.PER_EDIT)
+    kept = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "line-classes" in kept and not kept & {"line-texts", "repeated-texts", "probes", "index"}
+    assert sorted((r.doc_id, len(r.repeats), r.n_links) for r in got.collect()) == brute_long_lines(rows)
+
+
+def test_edits_of_many_pairs():
+    rng = random.Random(9)
+    a, b, most = [], [], []
+    for _ in range(1500):
+        x = bytes(rng.choice(b"abc\0") for _ in range(rng.randint(0, 30)))
+        y = bytes(rng.choice(b"abc\0") for _ in range(rng.randint(0, 30))) if rng.random() < 0.4 else x[:8] + b"b" * rng.randint(0, 3) + x[rng.randint(6, 10):]
+        a, b, most = [*a, x], [*b, y], [*most, rng.randint(0, 12)]
+    found = line_dedup.Edits(a + b).within(np.arange(len(a)), len(a) + np.arange(len(a)), np.array(most))
+    assert sorted(found.tolist()) == [k for k in range(len(a)) if line_dedup._plain_distance(a[k], b[k]) <= most[k]]
+
+
 def test_query_links_a_replaced_word(spark, tmp_path):
     rng = random.Random(4)
     line = prose(rng, 30)
