@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import datetime as dt
 import hashlib
+import itertools
 import random
 import uuid
 import zlib
@@ -652,6 +653,55 @@ def test_pairs_that_share_many_buckets_are_listed_once(spark):
     assert line_dedup._pairs(t.filter("bucket = 8 and item < 4"), 2, 16, 5).count() == 2
 
 
+def test_lines_meet_in_units_of_any_size_without_the_driver(spark, monkeypatch):
+    """No filter of keys goes through the driver, and small units, shards of a bin, parts of what they meet and several jobs find the same links."""
+    def refused(*_, **__):
+        raise AssertionError("rows are read by the driver one by one")
+
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", refused)
+    for name, size in (("UNIT_BYTES", 400), ("LEAST_UNIT", 400), ("PROBE_BYTES", 900), ("JOB_BYTES", 12_000)):
+        monkeypatch.setattr(line_dedup, name, size, raising=False)
+    rows = long_line_rows() + [(100, long_line_rows()[3][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.line_classes(d, per_edit=line_dedup.PER_EDIT).collect()
+    assert sorted((r.doc_id, len(r.repeats), r.n_links) for r in got) == brute_long_lines(rows)
+
+
+def test_units_cover_every_two_lengths_once():
+    least = line_dedup._bins()
+    sizes = {k: 50 + 37 * (k % 5) * (k % 7) for k in range(20, 600, 3)}
+    units = [u for job in line_dedup._units(sizes, 2, 16, 10**6) for u in job]
+    assert max(u.of for u in units) == 1
+    for k in sizes:
+        own = [u for u in units if u.lo <= k <= u.hi]
+        longest = int(least[k + 1]) - 1
+        reach = int(np.searchsorted(least, longest + max(2, longest // 16), "right")) - 1
+        assert all(sum(u.first <= m <= u.last for u in own) == 1 for m in sizes if k <= m <= reach)
+
+
+def test_lines_with_much_to_verify_are_left_to_blocks(monkeypatch):
+    """What a unit verifies itself and what its blocks find are the same pairs, each once."""
+    lines = sorted({x.encode() for _, t in long_line_rows() for x in t.split("\n")}, key=len)
+    sizes = np.array([len(x) for x in lines])
+    items = np.arange(len(lines)) * 7 + 1
+    chunk = line_dedup.Chunk(items.tobytes(), sizes.astype(np.int32).tobytes(), line_dedup._packed(lines))
+    found = []
+    for load in (1 << 40, 0):
+        for name in ("UNIT_LOAD", "LINE_LOAD"):
+            monkeypatch.setattr(line_dedup, name, load)
+        pairs, blocks = [], []
+        for batch in line_dedup._join_unit("u", line_dedup.Unit(0, 9, 0, 1, 0, 9), [(5, chunk)], 2, 16, 256):
+            for r in batch.to_pylist():
+                (blocks if r["a"] is None else pairs).append(r)
+        pairs = [(r["a"], r["b"]) for r in pairs]
+        for held, met in itertools.product(*([r for r in blocks if r["side"] == k] for k in (0, 1))):
+            pairs.extend(line_dedup._join_blocks(*(line_dedup.Chunk(r["items"], r["sizes"], r["line"]) for r in (held, met)), 2, 16).tolist())
+        assert bool(blocks) == (load == 0) and len(set(map(tuple, pairs))) == len(pairs)
+        found.append(sorted(map(tuple, pairs)))
+    close = sorted((7 * i + 1, 7 * j + 1) for j in range(len(lines)) for i in range(j) if line_dedup._close(lines[i], lines[j], max(2, len(lines[i]) // 16)))
+    assert found[0] == found[1] == close
+
+
 def test_steps_that_were_read_are_deleted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("veldspar.session.shared_folder", lambda _, label: f"{tmp_path}/{label}-{uuid.uuid4().hex}")
     rows = long_line_rows()
